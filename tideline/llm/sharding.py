@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import hashed
+from tideline.llm.frames import Settled, hashed
 
 BUCKETS = 1024
 SALTS = 64
@@ -30,11 +30,13 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text", key: str
     """doc_id, size, text_crc32, text_sha256, first_byte, row_number, shard, slot (gapless from 0 in each shard)."""
     content = F.coalesce(F.col(text), F.lit(""))
     # crc32 and sha2 read the text's UTF-8 bytes
+    # the text is read once: what follows reads these narrow rows from the shared folder
     rows = docs.select(
         F.col(key).alias("doc_id"), (F.octet_length(content) + 1).cast("long").alias("size"),
         F.crc32(content).alias("text_crc32"), F.sha2(content.cast("binary"), 256).alias("text_sha256"),
         (hashed(key) % SALTS).alias("salt"),
     )
+    rows = Settled(rows, "sizes").df
     group = ["text_sha256", "salt"]
     units = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("size").alias("size"))
     units = units.select(*group, "size", "n", (F.col("size") * F.col("n")).alias("unit_bytes"), F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long").alias("h"))
