@@ -105,14 +105,25 @@ def runs(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
         at = min(n, end)
 
 
-def row_words(column, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, word hashes, word offsets by row) of consecutive rows."""
+def row_words(column, most: int = PIECE, tags=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, word hashes, word offsets by row) of consecutive rows.
+
+    ``tags(hashes, ends)`` may change the hashes; ``ends`` has a number for the first and the last two bytes of each word.
+    """
     data, offsets = buffers(column)
+
+    def hashed(part):
+        hashes, starts, ends = piece_words(part)
+        if tags is not None and len(hashes):
+            code = _tables(1)[0]
+            hashes = tags(hashes, code[part[starts]] + np.uint64(3) * code[part[ends - 1]] + np.uint64(5) * code[part[np.maximum(ends - 2, starts)]])
+        return hashes, starts
+
     for a, b in runs(offsets, most):
         lo, hi = int(offsets[a]), int(offsets[b])
         if b - a == 1:
             space = _tables(1)[1]
-            parts = [piece_words(data[lo + s : lo + e])[0] for s, e in _cuts(data[lo:hi], space)]
+            parts = [hashed(data[lo + s : lo + e])[0] for s, e in _cuts(data[lo:hi], space)]
             hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield a, b, hashes, np.array([0, len(hashes)])
         else:  # a separator between rows keeps words apart
@@ -120,7 +131,7 @@ def row_words(column, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray,
             own = offsets[a : b + 1] - lo + np.arange(b - a + 1)
             joined = np.full(hi - lo + b - a, 32, dtype=np.uint8)
             joined[np.arange(hi - lo) + np.repeat(np.arange(b - a), lengths)] = data[lo:hi]
-            hashes, starts, _ = piece_words(joined)
+            hashes, starts = hashed(joined)
             yield a, b, hashes, np.searchsorted(starts, own)
 
 
