@@ -20,5 +20,34 @@ s AS (SELECT *, least(7, (CASE WHEN gb <= greatest(largest::DOUBLE, {GROUP_SHARE
 SELECT doc_id, size, {_CRC32}::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY n) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s"""
 
 
+def _fill(parents: str, children: str, keys: list[str], above: list[str]) -> str:
+    """Parts of each parent's budget for its children, by rising capacity per weight."""
+    cols, up = ", ".join(keys), ", ".join(above) or "1"
+    on = " AND ".join(f"n.{k} = p.{k}" for k in above) or "TRUE"
+    return f"""a AS (SELECT {", ".join("n." + k for k in keys)}, n.capacity, n.weight, p.budget FROM {children} n JOIN {parents} p ON {on}),
+    b AS (SELECT *, coalesce(sum(capacity) OVER (PARTITION BY {up} ORDER BY capacity::DOUBLE / weight, {cols} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+      sum(weight) OVER (PARTITION BY {up} ORDER BY capacity::DOUBLE / weight, {cols} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM a),
+    c AS (SELECT *, capacity * open <= (budget - filled) * weight AS is_full FROM b),
+    d AS (SELECT *, max(CASE WHEN NOT is_full THEN budget - filled END) OVER (PARTITION BY {up}) AS share, max(CASE WHEN NOT is_full THEN open END) OVER (PARTITION BY {up}) AS sharers FROM c)
+    SELECT {cols}, CASE WHEN is_full THEN capacity ELSE share * (sharers - open + weight) // sharers - share * (sharers - open) // sharers END AS budget FROM d"""
+
+
+_H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+OP7 = f"""WITH u AS (SELECT doc_id, 'domain' || {_H.format("coalesce(source, '')")} % 4 AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  sum(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)) AS tokens FROM documents GROUP BY ALL),
+n3 AS (SELECT domain, lang, source, sum(tokens) AS leaf_tokens, 2 * sum(tokens) AS capacity, 1 AS weight FROM u GROUP BY ALL),
+n2 AS (SELECT domain, lang, sum(capacity) AS capacity, sum(weight) AS weight FROM n3 GROUP BY ALL),
+n1 AS (SELECT domain, sum(capacity) AS capacity, sum(weight) AS weight FROM n2 GROUP BY ALL),
+p0 AS (SELECT sum(capacity) // 2 * 750 // 1000 AS budget FROM n1),
+p1 AS (WITH {_fill("p0", "n1", ["domain"], [])}),
+p2 AS (WITH {_fill("p1", "n2", ["domain", "lang"], ["domain"])}),
+p3 AS (WITH {_fill("p2", "n3", ["domain", "lang", "source"], ["domain", "lang"])}),
+t AS (SELECT domain, lang, source, budget AS target, CASE WHEN leaf_tokens = 0 THEN 0 ELSE budget // leaf_tokens END AS whole, leaf_tokens FROM p3 JOIN n3 USING (domain, lang, source)),
+r AS (SELECT *, target - whole * leaf_tokens AS left_over, {_H.format("'mix-1|' || whole::BIGINT || '|' || coalesce(doc_id::VARCHAR, '')")} AS place FROM u JOIN t USING (domain, lang, source)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, target::BIGINT AS target, (whole + CASE WHEN 2 * ahead + tokens <= 2 * left_over AND left_over > 0 THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM s WHERE copies > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1}
+    return {"op1_sharding": OP1, "op7_mixing_sources": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, html_text, language_model, media, neardup, pulearning, quality, sharding
+from tideline.llm import decontamination, html_text, language_model, media, mixing, neardup, pulearning, quality, sharding, token_counts
 from tideline.llm.frames import table
 
 
@@ -20,6 +20,24 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def edit_script() -> F.Column:
+    """Three edits of each text, by its length and id: a word put into the middle, the first 20 characters taken out, the last changed."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("int")
+    edit = lambda a, b, t: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"), t.alias("text"))
+    return F.array(
+        edit(n / 2, n / 2, F.concat(F.lit(" edit"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("!"))),
+        edit(F.lit(0), F.lit(20), F.lit("")), edit(F.greatest(n - 30, F.lit(0)), F.greatest(n - 25, F.lit(0)), F.lit("it's  ")),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), edit_script())
+
+
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), share=0.75)
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -47,5 +65,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_toxicity, op3_quality_classifier, op4_benchmark_decontamination, op5_html_extraction, op8_lm_scoring, op9_media_columns, op10_minhash_near_dedup]
+    own = [op1_sharding, op2_toxicity, op3_quality_classifier, op4_benchmark_decontamination, op5_html_extraction, op6_token_counts, op7_mixing_sources, op8_lm_scoring, op9_media_columns, op10_minhash_near_dedup]
     return {f.__name__: f for f in own}
