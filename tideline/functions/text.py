@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters and digits, joined by single apostrophes or hyphens inside a word (fixed value).
 TOKEN = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"
-NUMBER = r"(?<![A-Za-z])[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
+#: Signed numbers with thousands commas and decimals, not right after a letter (fixed value).
+NUMBER = r"(?<![A-Za-z])[-+]?\d[\d,]*(?:\.\d+)?"
 
 
 def folded(c) -> Column:

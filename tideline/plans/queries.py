@@ -220,12 +220,12 @@ def _dense(spark, d):
 
 @query
 def daily_series(spark, d):
-    return _daily(spark, d).select("user_id", "day", r("value").alias("value"), F.col("events").cast("bigint").alias("events"))
+    return _daily(spark, d).select("user_id", F.col("day").cast("string").alias("day"), r("value").alias("value"), F.col("events").cast("bigint").alias("events"))
 
 
 @query
 def daily_densified(spark, d):
-    return _dense(spark, d).select("user_id", "day", r("value").alias("value"))
+    return _dense(spark, d).select("user_id", F.col("day").cast("string").alias("day"), r("value").alias("value"))
 
 
 @query
@@ -322,7 +322,7 @@ def _spans(spark, d):
 
 @query
 def interval_day_minutes(spark, d):
-    return intervals.by_day(_spans(spark, d)).groupBy("user_id", "day").agg(r(F.sum("minutes")).alias("minutes")).where("minutes > 0")
+    return intervals.by_day(_spans(spark, d)).groupBy("user_id", F.col("day").cast("string").alias("day")).agg(r(F.sum("minutes")).alias("minutes")).where("minutes > 0")
 
 
 @query
@@ -413,7 +413,7 @@ def matrix_violations(spark, d):
 @query
 def duplicate_conflict_withhold(spark, d):
     rows = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.min("event_type").alias("first"))
-    return rows.select("user_id", "day", F.when(F.col("kinds") == 1, F.col("first")).alias("event_type"), F.when(F.col("kinds") > 1, "conflict").when(F.col("n") > 1, "repeated").alias("flag"))
+    return rows.select("user_id", F.col("day").cast("string").alias("day"), F.when(F.col("kinds") == 1, F.col("first")).alias("event_type"), F.when(F.col("kinds") > 1, "conflict").when(F.col("n") > 1, "repeated").alias("flag"))
 
 
 @query
