@@ -78,3 +78,77 @@ def class_scores(rows: DataFrame, gold: str, predicted: str, classes: list) -> D
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     per = per.select("label", "support", zero(ratio(F.col("tp"), F.col("pp"))).alias("precision"), zero(ratio(F.col("tp"), F.col("support"))).alias("recall"), zero(ratio(2 * F.col("tp"), F.col("pp") + F.col("support"))).alias("f1"))
     return per.withColumn("macro_f1", F.avg("f1").over(W.partitionBy()))
+
+
+def judged_metrics(ranking: DataFrame, judged: DataFrame, case: str, item: str, positive: str, negative: str) -> DataFrame:
+    """Per case at 5, 10 and 20: recall of known positives, share judged, share of negatives among the judged; and nDCG@10 of
+    the judged items only, moved up. ``positive`` and ``negative`` are boolean columns of ``judged``; unjudged is no negative."""
+    known = judged.groupBy(case).agg(F.count_if(F.col(positive)).alias("known_positives"))
+    rows = ranking.join(judged.select(case, item, positive, negative, F.lit(True).alias("_j")), [case, item], "left").withColumn("_j", F.coalesce("_j", F.lit(False)))
+    place = F.row_number().over(W.partitionBy(case, "_j").orderBy("rank"))
+    rows = rows.withColumn("_p", F.when(F.col("_j"), place))
+    top = lambda k, c: F.count_if((F.col("rank") <= k) & c)
+    aggs = [a for k in (5, 10, 20) for a in (top(k, F.col(positive)).alias(f"pos{k}"), top(k, F.col("_j")).alias(f"judged{k}"), top(k, F.col(negative)).alias(f"neg{k}"), top(k, F.lit(True)).alias(f"all{k}"))]
+    per = rows.groupBy(case).agg(*aggs, F.sum(F.when(F.col(positive) & (F.col("_p") <= 10), 1 / F.log2(F.col("_p") + 1.0)).otherwise(0.0)).alias("dcg")).join(known, case, "left")
+    ideal = F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(10)), F.lit(1), F.least(F.lit(10), F.coalesce("known_positives", F.lit(0)).cast("int"))), F.lit(0.0), lambda a, k: a + 1 / F.log2(k + 1.0))
+    out = [c for k in (5, 10, 20) for c in (ratio(F.col(f"pos{k}"), F.col("known_positives")).alias(f"known_recall{k}"), ratio(F.col(f"judged{k}"), F.col(f"all{k}")).alias(f"judged_share{k}"), ratio(F.col(f"neg{k}"), F.col(f"judged{k}")).alias(f"negative_share{k}"))]
+    return per.select(case, *out, (F.col("dcg") / F.nullif(ideal, F.lit(0.0))).alias("judged_ndcg10"))
+
+
+def error_rates(rows: DataFrame, gold: str, predicted: str, positive: str, unknown: str) -> DataFrame:
+    """One row: share of other gold classes predicted as positive, share of wrong positives, share of unknowns found."""
+    g, p = F.col(gold), F.col(predicted)
+    share = lambda num, den: ratio(F.count_if(num & den), F.count_if(den))
+    return rows.agg(share(p == positive, g != positive).alias("false_positive_rate"), share(g != positive, p == positive).alias("false_discovery_rate"), share(p == unknown, g == unknown).alias("unknown_found"))
+
+
+def agreement_under(rows: DataFrame, a: str, b: str, filters: dict) -> DataFrame:
+    """(scope, n, exact): agreement of two raters under several denominators."""
+    scopes = F.explode(F.array(*[F.struct(F.lit(n).alias("scope"), F.coalesce(c, F.lit(False)).alias("_in")) for n, c in filters.items()])).alias("x")
+    long = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), scopes).select("a", "b", "x.*")
+    return long.groupBy("scope").agg(F.count_if(F.col("_in")).alias("n"), ratio(F.count_if(F.col("_in") & (F.col("a") == F.col("b"))), F.count_if(F.col("_in"))).alias("exact"))
+
+
+def status_shares(rows: DataFrame, method: str, case: str, status: str, levels: list[str]) -> DataFrame:
+    """(method, status, n, by_row, by_case): shares of all rows, and the mean of the cases' shares."""
+    per = rows.groupBy(method, case).agg(F.count("*").alias("all"), *[F.count_if(F.col(status) == s).alias(f"n_{k}") for k, s in enumerate(levels)])
+    long = per.select(method, "all", F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"n_{k}").alias("n")) for k, s in enumerate(levels)])).alias("x")).select(method, "all", "x.*")
+    return long.groupBy(method, "status").agg(F.sum("n").alias("n"), ratio(F.sum("n"), F.sum("all")).alias("by_row"), F.avg(F.col("n") / F.col("all")).alias("by_case"))
+
+
+#: Stages of a call by what its id contains, first match wins (fixed values).
+CALL_STAGES = {"representations": "representations", "semantic-audit": "semantic_audit", "source.*audit|audit.*source": "source_audit", "adjudicator": "adjudication", "_P": "calibration", "judge_": "judges"}
+
+
+def call_stage(task: str):
+    out = None
+    for pattern, stage in CALL_STAGES.items():
+        hit = F.col(task).rlike(pattern)
+        out = F.when(hit, stage) if out is None else out.when(hit, stage)
+    return out.otherwise("other")
+
+
+def call_costs(calls: DataFrame, sets: list[list[str]], prompt: str, completion: str, cached: str, price_in: float, price_out: float, discount: float) -> DataFrame:
+    """Calls, tokens and cost per million tokens over grouping sets; calls without usage are counted as unknown."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    known = F.col(prompt).isNotNull() & F.col(completion).isNotNull()
+    cost = ((F.col(prompt) - F.coalesce(cached, F.lit(0)) * (1 - discount)) * price_in + F.col(completion) * price_out) / 1e6
+    return calls.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(F.count("*").alias("calls"), F.count_if(~known).alias("unknown"), F.sum(F.when(known, F.col(prompt))).alias("prompt"), F.sum(F.when(known, F.col(completion))).alias("completion"), F.sum(F.when(known, cost)).alias("cost"))
+
+
+def f1_bootstrap(rows: DataFrame, cluster: str, gold: str, predicted: str, classes: list, draws: int, seed: str, least: int = 8) -> DataFrame:
+    """Nearest-rank 95 per cent interval of the macro F1 over clusters drawn with replacement; null with fewer than ``least``
+    clusters or a class without gold. Clusters must be few (subjects), as each draw takes as many as there are."""
+    cells = rows.groupBy(cluster).agg(*[F.count_if(c).alias(f"{n}{k}") for k, x in enumerate(classes) for n, c in (("t", (F.col(gold) == x) & (F.col(predicted) == x)), ("p", F.col(predicted) == x), ("g", F.col(gold) == x))])
+    cells = cells.withColumn("_k", F.row_number().over(W.orderBy(cluster)) - 1)
+    names = [f"{n}{k}" for k in range(len(classes)) for n in "tpg"]
+    size = cells.agg(F.count("*").alias("n"), *[F.sum(f"g{k}").alias(f"all{k}") for k in range(len(classes))])  # one row
+    ready = F.col("n") >= least
+    for k in range(len(classes)):
+        ready = ready & (F.col(f"all{k}") > 0)
+    grid = cells.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(size.select("n", ready.alias("ready"))), F.lit(True)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "j")), 1, 8), 16, 10).cast("long") % F.col("n")
+    drawn = grid.withColumn("_k", pick).join(cells.drop(cluster), "_k").groupBy("draw", "ready").agg(*[F.sum(n).alias(n) for n in names])
+    f1 = sum((F.coalesce(ratio(2 * F.col(f"t{k}"), F.col(f"p{k}") + F.col(f"g{k}")), F.lit(0.0)) for k in range(len(classes))), F.lit(0.0)) / len(classes)
+    at = lambda q: F.element_at(F.array_sort(F.collect_list("f1")), int(q * (draws - 1)) + 1)
+    return drawn.select("ready", f1.alias("f1")).groupBy("ready").agg(F.count("*").alias("draws"), at(0.025).alias("low"), at(0.975).alias("high")).select("draws", F.when(F.col("ready"), F.col("low")).alias("low"), F.when(F.col("ready"), F.col("high")).alias("high"))

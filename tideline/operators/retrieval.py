@@ -81,3 +81,35 @@ def rrf(rankings: DataFrame, run: list[str], item: str, k: int = TOP) -> DataFra
     """Fuses several rankings of a run: sum of 1 / (RRF_K + rank)."""
     fused = rankings.groupBy(*run, item).agg(F.round(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))), 12).alias("score"))
     return top_k(fused, run, item, k)
+
+
+#: Words that don't count for the similarity of short texts (fixed values).
+STOP_WORDS = "a about after alone an and are as at be before by can do does each even for from if in is it its may more must needs not of on only or rather same should so some than that the then this to when with".split()
+
+
+def similar_pairs(items: DataFrame, key: str, text: str, least: float = 0.28) -> DataFrame:
+    """(left_id, right_id, jaccard) of texts with similar sets of words [a-z]+ without stop words, lower id first. Pairs come
+    from an equi-join on the words of each set's prefix: two sets that are similar enough share a word among the rarest
+    of each, so frequent words make no pairs."""
+    words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    sets = items.select(key, words.alias("_w")).where(F.size("_w") > 0)
+    terms = sets.select(key, F.explode("_w").alias("_t"))
+    rare = terms.join(terms.groupBy("_t").agg(F.count("*").alias("_n")), "_t")
+    ranked = rare.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_o"))  # one text's words
+    size = F.size("_o")
+    prefix = size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1
+    seeds = ranked.select(key, F.explode(F.slice("_o", F.lit(1), prefix)).alias("_s")).select(key, "_s._t")
+    near = seeds.join(seeds.select(F.col(key).alias("right_id"), "_t"), "_t").where(F.col(key) < F.col("right_id")).select(F.col(key).alias("left_id"), "right_id").distinct()
+    a, b = sets.select(F.col(key).alias("left_id"), F.col("_w").alias("_a")), sets.select(F.col(key).alias("right_id"), F.col("_w").alias("_b"))
+    both = near.join(a, "left_id").join(b, "right_id")
+    return both.select("left_id", "right_id", (F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def reranked(ranking: DataFrame, scores: DataFrame, run: list[str], item: str, k: int = TOP) -> DataFrame:
+    """The same top k in the order of another score; items without one come last."""
+    pool = ranking.where(F.col("rank") <= k).select(*run, item).join(scores.select(*run, item, "score"), [*run, item], "left")
+    return top_k(pool, run, item, k)
+
+
+#: Retrievers by name; each ranks (docs, queries, doc, query).
+RETRIEVERS = {"bm25": bm25, "dense": dense}

@@ -139,3 +139,9 @@ ORACLES["retention_probe"] = f"""WITH p AS (SELECT doc_id, contains(lower(text),
 SELECT doc_id, a AS alias_hit, c AS cue_hit, n AS number_hit, a AND (c OR n) AS candidate FROM p"""
 ORACLES["number_extraction"] = f"WITH n AS (SELECT doc_id, {_NUM} AS n FROM documents) SELECT doc_id, len(n)::BIGINT AS numbers, list_max(n) AS largest FROM n WHERE len(n) > 0"
 ORACLES["ranking_violations"] = "SELECT 'size' AS rule, '' AS key, '' AS detail WHERE FALSE"
+# RE2 has no look-ahead: a token ends where the next one can't begin, so the text is cut into tokens with what precedes them
+ORACLES["truncate_query"] = r"""WITH t AS (SELECT item_id, text, regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS x FROM benchmark) SELECT item_id, CASE WHEN len(x) > 12 THEN array_to_string(x[1:12], '') ELSE text END AS text FROM t"""
+ORACLES["greedy_pack"] = """WITH RECURSIVE o AS (SELECT conv_id, turn, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY -octet_length(encode(text)), turn) AS k FROM conversations),
+p AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS used, []::BIGINT[] AS kept FROM (SELECT DISTINCT conv_id FROM o) UNION ALL
+  SELECT p.conv_id, o.k, CASE WHEN used + n <= 600 THEN used + n ELSE used END, CASE WHEN used + n <= 600 THEN list_append(kept, turn) ELSE kept END FROM p JOIN o ON o.conv_id = p.conv_id AND o.k = p.k + 1)
+SELECT conv_id, used AS bytes, array_to_string(list_sort(kept), ',') AS turns FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1"""

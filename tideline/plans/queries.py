@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import logic, text
-from tideline.operators import checks, evaluation, intervals, retrieval, timeseries
+from tideline.operators import checks, evaluation, intervals, records, retrieval, timeseries
 from tideline.sources.files import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,8 +435,8 @@ def changed_hashes(spark, d):
 @query
 def seeded_shuffle_batches(spark, d):
     """Batches of 16 in the order of a seeded hash, numbered within each language."""
-    w = W.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("seed-7|"), F.col("doc_id").cast("string"))), "doc_id")
-    return table(spark, d, "documents").select("doc_id", "lang", F.floor((F.row_number().over(w) - 1) / 16).cast("bigint").alias("batch"))
+    rows = records.numbered(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], "seed-7", "doc_id")
+    return rows.select("doc_id", "lang", F.expr("place div 16").alias("batch"))
 
 
 @query
@@ -479,12 +479,8 @@ def near_duplicate_jaccard(spark, d):
 @query
 def greedy_pack(spark, d):
     """Turns of a conversation in falling length, each taken if it still fits into 600 bytes; what doesn't fit is passed over."""
-    turns = F.array_sort(F.collect_list(F.struct((-F.octet_length("text")).alias("o"), "turn")))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(acc["used"] - x["o"] <= 600, F.struct((acc["used"] - x["o"]).alias("used"), F.concat(acc["kept"], F.array(x["turn"])).alias("kept"))).otherwise(acc)
-    out = rows.select("conv_id", F.aggregate("t", start, step).alias("p"))
-    return out.select("conv_id", F.col("p.used").cast("bigint").alias("bytes"), F.concat_ws(",", F.array_sort("p.kept").cast("array<string>")).alias("turns"))
+    out = records.packed(table(spark, d, "conversations"), ["conv_id"], [-F.octet_length("text"), F.col("turn")], F.octet_length("text"), "turn", 600)
+    return out.select("conv_id", F.col("used").alias("bytes"), F.concat_ws(",", F.col("kept").cast("array<string>")).alias("turns"))
 
 
 @query
