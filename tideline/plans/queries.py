@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import logic, text
 from tideline.operators import checks, evaluation, intervals, records, retrieval, timeseries
-from tideline.sources.files import table
+from tideline.sources.files import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 START, END, BASELINE = "2024-01-01", "2024-01-30", 20
@@ -34,18 +34,18 @@ def minute_of_day(ts="ts"):
 
 @query
 def tokenize_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.tokens("text")).cast("bigint").alias("tokens"), F.size(F.array_distinct(text.tokens("text"))).cast("bigint").alias("distinct_tokens"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(text.tokens("text")).cast("bigint").alias("tokens"), F.size(F.array_distinct(text.tokens("text"))).cast("bigint").alias("distinct_tokens"))
 
 
 @query
 def normalized_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.normalized("text")).alias("digest"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(text.normalized("text")).alias("digest"))
 
 
 @query
 def number_extraction(spark, d):
     n = text.numbers("text")
-    return table(spark, d, "documents").select("doc_id", F.size(n).cast("bigint").alias("numbers"), F.array_max(n).alias("largest")).where("numbers > 0")
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(n).cast("bigint").alias("numbers"), F.array_max(n).alias("largest")).where("numbers > 0")
 
 
 @query
@@ -69,14 +69,14 @@ def retention_probe(spark, d):
     c = F.lower("text")
     alias, cue = F.contains(c, F.lit("license")), F.contains(c, F.lit("version"))
     near = F.exists(text.numbers("text"), lambda x: F.abs(x - 2.0) <= 0.05)
-    return table(spark, d, "documents").select("doc_id", alias.alias("alias_hit"), cue.alias("cue_hit"), near.alias("number_hit"), (alias & (cue | near)).alias("candidate"))
+    return spread(table(spark, d, "documents")).select("doc_id", alias.alias("alias_hit"), cue.alias("cue_hit"), near.alias("number_hit"), (alias & (cue | near)).alias("candidate"))
 
 
 def _passages(spark, d):
     """(item_id, doc_id) of documents that contain a benchmark item: an equi-join on three inner tokens, then the test."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), text.tokens("text").alias("t"))
     items = items.select("item_id", "passage", F.concat_ws(" ", F.slice("t", 2, 3)).alias("seed"))
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", text.tokens("text").alias("t"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text", "lang", "source", text.tokens("text").alias("t"))
     seeds = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3))))).alias("seed"))
     near = seeds.join(items.select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
     return near.join(docs.drop("t"), "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id", "lang", "source")
@@ -92,7 +92,7 @@ def quote_containment(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id", r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.bm25(spread(table(spark, d, "documents")), table(spark, d, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id", r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def gold(spark, d):

@@ -11,6 +11,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than half the cores is dealt out anew, since what follows is costly per row; a scan of
+    many files or row groups stays as it is. Only the columns that are used later are moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped, a broken line fails the scan."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
