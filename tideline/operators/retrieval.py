@@ -18,22 +18,111 @@ def top_k(scores: DataFrame, run: list[str], item: str, k: int = TOP, score: str
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", k: int = TOP) -> DataFrame:
-    """(query, doc, score, rank). Only postings of query terms are shuffled; documents without any term fill up to k with
-    score 0, least ids first; a query without tokens gets nothing."""
-    q = queries.select(query, F.explode(tokens(text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    words = docs.select(doc, tokens(text).alias("t"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    postings = words.select(doc, F.size("t").alias("len"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", doc).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row of totals
-    weighted = tf.join(df, "term").withColumn("w", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
-    hits = q.join(weighted, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
+def _query_blocks(queries: DataFrame, query: str, text: str, most: int, words: int):
+    """(ids, {term: [(query number, times)]}) of at most ``most`` queries, and about ``words`` terms, with tokens."""
+    ids, terms, size = [], {}, 0
+    for name, found in queries.select(query, tokens(text)).toLocalIterator():
+        if not found:
+            continue
+        for t in found:
+            own = terms.setdefault(t, {})
+            size += len(ids) not in own
+            own[len(ids)] = own.get(len(ids), 0) + 1
+        ids.append(name)
+        if len(ids) == most or size >= words:
+            yield ids, terms
+            ids, terms, size = [], {}, 0
+    if ids:
+        yield ids, terms
+
+
+def _best(q: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by falling score, then id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -s, q))
+    q, s, ids = q[order], s[order], ids[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], s[keep], ids[keep]
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", k: int = TOP, block: int = 2048, words: int = 200_000) -> DataFrame:
+    """(query, doc, score, rank). Blocks of queries, of a bounded number of terms, are sent to the documents: one pass counts
+    the documents of each term, one scores them, and each task keeps its k best per query before anything is shuffled.
+    Documents without any term fill up to k with score 0, least ids first; a query without tokens gets nothing. Query ids are
+    unique; documents with a null id are left out, those with a null text count as empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    bags = docs.where(F.col(doc).isNotNull()).select(doc, tokens(F.coalesce(text, F.lit(""))).alias("t"))
+    kinds = {query: queries.schema[query].dataType, doc: docs.schema[doc].dataType}
+    schema = f"{query} {kinds[query].simpleString()}, {doc} {kinds[doc].simpleString()}, score double"
+    query_type = to_arrow_type(kinds[query])
+    hits = spark.createDataFrame([], schema)
+    asked = spark.createDataFrame([], f"{query} {kinds[query].simpleString()}")
+    for ids, terms in _query_blocks(queries, query, text, block, words):
+        sent_terms = spark.sparkContext.broadcast(list(terms))
+
+        def count(batches, sent=sent_terms):
+            wanted = pa.array(sent.value, pa.string())
+            seen, n, length = np.zeros(len(wanted), np.int64), 0, 0
+            for batch in batches:
+                column = batch.column(1)
+                at = pc.index_in(column.flatten(), value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+                found = np.unique(row[at >= 0] * len(wanted) + at[at >= 0])
+                seen += np.bincount(found % len(wanted), minlength=len(wanted))
+                n, length = n + len(column), length + len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(wanted))), pa.array(np.concatenate([[length, n], seen]).astype(np.int64))], ["term", "n"])
+
+        # a row per term of the block
+        counted = dict(map(tuple, bags.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+        n, mean = counted.get(-1, 0), counted.get(-2, 0) / max(1, counted.get(-1, 0))
+        df = np.array([counted.get(i, 0) for i in range(len(terms))], dtype=float)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        starts = np.cumsum([0, *map(len, terms.values())])
+        who = np.array([q for own in terms.values() for q in own], dtype=np.int64)
+        times = np.array([c for own in terms.values() for c in own.values()], dtype=float)
+        sent = spark.sparkContext.broadcast((list(terms), ids, idf, starts, who, times, mean))
+
+        def run(batches, sent=sent):
+            wanted, ids, idf, starts, who, times, mean = sent.value
+            wanted = pa.array(wanted, pa.string())
+            kept = None
+            for batch in batches:
+                names = batch.column(0).to_numpy(zero_copy_only=False)
+                lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                at = pc.index_in(batch.column(1).flatten(), value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(names)), lengths)[at >= 0]
+                pair, tf = np.unique(row * len(wanted) + at[at >= 0], return_counts=True)
+                row, term = pair // len(wanted), pair % len(wanted)
+                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))
+                fan = np.diff(starts)[term]
+                # parts of at most some four million products, at document ends
+                work = np.concatenate([[0], np.cumsum(np.bincount(row, fan, len(names)))])
+                a = 0
+                while a < len(names):
+                    b = max(a + 1, min(int(np.searchsorted(work, work[a] + 4e6, side="right")) - 1, a + 4_000_000 // len(ids)))
+                    lo, hi = np.searchsorted(row, [a, b])
+                    f = fan[lo:hi]
+                    post = np.repeat(starts[term[lo:hi]] - np.concatenate([[0], np.cumsum(f)[:-1]]), f) + np.arange(f.sum())
+                    place = np.repeat(row[lo:hi] - a, f) * len(ids) + who[post]
+                    score = np.bincount(place, np.repeat(weight[lo:hi], f) * times[post], (b - a) * len(ids))
+                    hit = np.flatnonzero(score)
+                    part = (hit % len(ids), np.round(score[hit], 9), names[a:b][hit // len(ids)])
+                    kept = _best(*(part if kept is None else (np.concatenate(x) for x in zip(kept, part, strict=True))), k)
+                    a = b
+            if kept is not None and len(kept[0]):
+                q, s, found = kept
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], query_type), pa.array(found.tolist(), batch.column(0).type), pa.array(s)], [query, doc, "score"])
+
+        hits = hits.unionByName(bags.mapInArrow(run, schema))
+        asked = asked.unionByName(spark.createDataFrame([(i,) for i in ids], asked.schema))
     best = top_k(hits, [query], doc, k)
-    short = q.select(query).distinct().join(best.groupBy(query).agg(F.count("*").alias("have")), query, "left").where(F.coalesce("have", F.lit(0)) < k).select(query)
-    # at most 2k least ids can be needed
-    fill = docs.select(doc).orderBy(doc).limit(2 * k)
-    padded = short.join(F.broadcast(fill), F.lit(True)).join(hits.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
+    # where fewer than k are found, those are all there are; at most 2k least ids can be needed
+    short = asked.join(best.groupBy(query).agg(F.count("*").alias("have")), query, "left").where(F.coalesce("have", F.lit(0)) < k).select(query)
+    fill = docs.select(doc).where(F.col(doc).isNotNull()).orderBy(doc).limit(2 * k)
+    padded = short.join(F.broadcast(fill), F.lit(True)).join(best.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.drop("rank").unionByName(padded), [query], doc, k)
 
 
