@@ -11,9 +11,8 @@ all unseen words; so the tokens' probabilities sum to 1, too.
 What is gathered grows with the corpus: counts of all words of all training texts (map-side sums of word hashes, then
 one grouped sum). Only the FREQUENT most frequent words, a fixed number, are sent to the executors; the counts of the
 others meet the texts in a join on (word), after words were summed up within each text. The neural model is trained by
-local SGD on every partition of the training texts: each text contributes the positions whose hash is divisible by
-SKIP, so the number of training windows grows with the input. The parameters of all partitions are averaged by a
-grouped mean weighted by windows, ROUNDS times.
+local SGD on every partition of the training texts, on all positions of all texts, the ends included. The parameters of
+all partitions are averaged by a grouped mean weighted by windows, ROUNDS times.
 
 Nulls: a null text counts as empty (one token, the end); a null id counts as the text '' for the fold. Repeated rows are
 scored each. An empty table gives an empty result. Without training texts all words are unseen.
@@ -29,8 +28,8 @@ from tideline.llm.frames import Settled, crc_mod
 from tideline.llm.words import PIECE, mixed, row_words
 
 FREQUENT = 1 << 16
-OWN, RARE, CONTEXT, WIDTH = 127, 128, 5, 16
-SKIP, NOISE, EPOCHS, ROUNDS, RATE, BATCH = 32, 12, 2, 2, 0.35, 256
+OWN, RARE, CONTEXT, WIDTH = 255, 128, 5, 24
+NOISE, EPOCHS, ROUNDS, RATE, BATCH = 12, 2, 2, 0.35, 256
 LOG10 = float(np.log(10.0))
 
 
@@ -95,13 +94,6 @@ class Model:
             self.parts.append(self.parameters[at : at + k].reshape(s))
             at += k
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        vectors, _, weights, _ = self.parts
-        out = vectors[context[:, 0]] * weights[0]
-        for k in range(1, CONTEXT):
-            out += vectors[context[:, k]] * weights[k]
-        return out
-
     def log_probabilities(self, context: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of classes: normalised over all classes, in blocks of matrix products."""
         out = np.empty(len(kind))
@@ -128,31 +120,41 @@ class Model:
         past = [np.full(p.shape, 0.1, np.float32) for p in self.parts]
         cumulative = np.cumsum(noise)
 
-        def step(part: int, rows: np.ndarray, grad: np.ndarray, n: int) -> None:
-            order = np.argsort(rows, kind="stable")
-            rows, first = np.unique(rows[order], return_index=True)
-            g = np.add.reduceat(grad[order], first, axis=0).astype(np.float32) / n
-            past[part][rows] += g * g * n
-            self.parts[part][rows] -= rate * g / np.sqrt(past[part][rows]) * min(1.0, n / 64)
+        def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(order by row, distinct rows, first places) of the gradients' rows."""
+            order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            return order, rows[first], first
+
+        def step(part: int, group: tuple[np.ndarray, np.ndarray, np.ndarray], grad: np.ndarray, n: int) -> None:
+            order, rows, first = group
+            g = np.add.reduceat(grad.take(order, axis=0), first, axis=0).astype(np.float32) / n
+            now = past[part].take(rows, axis=0) + g * g * n
+            past[part][rows] = now
+            self.parts[part][rows] -= rate * g / np.sqrt(now) * min(1.0, n / 64)
 
         for _ in range(EPOCHS):
             order = rng.permutation(len(kind))
             for a in range(0, len(kind), BATCH):
                 i = order[a : a + BATCH]
-                c, n = context[i], len(i)
+                c, n = context.take(i, axis=0), len(i)
                 # the same noise for a block of positions: one matrix product
                 drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE * 4)), len(noise) - 1)
-                q = self.predicted(c)
+                around = vectors.take(c.ravel(), axis=0).reshape(n, CONTEXT, WIDTH)
+                q = np.einsum("nkd,kd->nd", around, weights)
                 t = kind[i]
-                good = 1 / (1 + np.exp(-((q * output[t]).sum(1) + bias[t] - log_noise[t]))) - 1
-                s = q @ output[drawn].T + bias[drawn] - log_noise[drawn]
+                own, other = output.take(t, axis=0), output.take(drawn, axis=0)
+                good = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", q, own) + bias[t] - log_noise[t]))) - 1
+                s = q @ other.T + (bias[drawn] - log_noise[drawn])
                 bad = (1 / (1 + np.exp(-s))) / 4  # NOISE of 4 * NOISE drawn, in expectation
-                g_q = good[:, None] * output[t] + bad @ output[drawn]
-                step(1, np.concatenate([t, drawn]), np.concatenate([good[:, None] * q, bad.T @ q]), n)
-                step(3, np.concatenate([t, drawn]), np.concatenate([good, bad.sum(0)]), n)
-                g_w = np.array([(g_q * vectors[c[:, k]]).sum(0) for k in range(CONTEXT)], np.float32)
-                step(0, c.T.ravel(), (g_q[None] * weights[:, None]).reshape(CONTEXT * n, -1), n)
-                step(2, np.arange(CONTEXT), g_w, n)
+                g_q = good[:, None] * own + bad @ other
+                group = grouped(np.concatenate([t, drawn]))
+                step(1, group, np.concatenate([good[:, None] * q, bad.T @ q]), n)
+                step(3, group, np.concatenate([good, bad.sum(0)]), n)
+                g_w = np.einsum("nd,nkd->kd", g_q, around)
+                step(0, grouped(c.ravel()), (g_q[:, None] * weights).reshape(CONTEXT * n, -1), n)
+                step(2, grouped(np.arange(CONTEXT)), g_w, n)
 
 
 def contexts(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,13 +241,9 @@ def train(docs: DataFrame, text: str, known: Vocabulary) -> Model:
 
             for batch in batches:
                 for _, _, hashes, offsets in text_words(batch.column(0)):
-                    c, kind, ends = contexts(sent_known.value.look_up(hashes)[0], offsets)
-                    last = np.zeros(len(kind), np.uint64)  # the position's hash: of the word and its neighbour
-                    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                    last[np.arange(len(hashes)) + row] = hashes
-                    pick = mixed(last + np.uint64(3) * np.roll(last, 1) + np.uint64(turn)) % np.uint64(SKIP) == 0
-                    if pick.any():
-                        windows.append((c[pick], kind[pick]))
+                    c, kind, _ = contexts(sent_known.value.look_up(hashes)[0], offsets)
+                    if len(kind):
+                        windows.append((c, kind))
                     if sum(len(x[1]) for x in windows) > 100_000:
                         learn()
                         windows.clear()
