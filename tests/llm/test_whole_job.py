@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tideline.llm import language_model
+from tideline.llm import language_model, neardup
 
 
 def test_language_model_learns_every_bigram(spark):
@@ -19,3 +21,33 @@ def test_language_model_learns_every_bigram(spark):
         context, kind, _ = language_model.contexts(known.look_up(hashes)[0], offsets)
         learned = np.exp(model.log_probabilities(context, kind))[1:-1:2]  # of the right word after the left one
         assert len(learned) == 40 and learned.min() > 5 / 80, learned  # 1 / 80 is a word's share of all words
+
+
+def test_small_buckets_give_all_pairs_though_their_leaders_coincide(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BANDS", 1)
+    hashes = spark.range(3000).select("id", *[F.xxhash64("id", F.lit(t)) for t in range(neardup.LEADERS)]).collect()
+    first = min(hashes, key=lambda r: max(r[1:]))[0]  # the leader by all orders
+    a, b = sorted(r[0] for r in sorted(hashes, key=lambda r: -min(r[1:]))[:2])
+    rng = random.Random(9)
+
+    def sketch(text):
+        for _, _, values, offsets in neardup._sets(pa.array([text]), 2):
+            return set(values.tolist()), neardup.registers(values, offsets)[0, : neardup.ROWS].tolist()
+
+    def alike(x, y):
+        return len(x & y) / len(x | y)
+
+    base = [f"w{i}" for i in range(100)]
+    one, band = sketch(" ".join(base))
+    texts = {a: " ".join(base)}
+    while len(texts) < 3:  # b like a, and one that shares their band but is like neither
+        w = list(base)
+        for k in rng.sample(range(100), 3 if len(texts) == 1 else 12):
+            w[k] = f"z{rng.randrange(10000)}"
+        got, its = sketch(" ".join(w))
+        if its == band and (alike(one, got) >= 0.8 if len(texts) == 1 else max(alike(x, got) for x in (one, two)) < 0.78):
+            if len(texts) == 1:
+                two = got
+            texts[b if len(texts) == 1 else first] = " ".join(w)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2, 80).collect()}
+    assert got == {a: a, b: a, first: first}
