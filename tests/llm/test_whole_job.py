@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tideline.llm import language_model, neardup
+from tideline.llm import decontamination, language_model, neardup
 
 
 def test_language_model_learns_every_bigram(spark):
@@ -51,3 +51,12 @@ def test_small_buckets_give_all_pairs_though_their_leaders_coincide(spark, monke
             texts[b if len(texts) == 1 else first] = " ".join(w)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2, 80).collect()}
     assert got == {a: a, b: a, first: first}
+
+
+def test_items_that_share_an_id_or_have_none_are_all_searched(spark):
+    items = [(7, "alpha beta gamma delta epsilon zeta"), (7, "one two three four five six"), (None, "red orange yellow green blue violet"), (None, "do re mi fa so la")]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(k, f"so {t} it is") for k, (_, t) in enumerate(items)] + [(9, "nothing of it")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in decontamination.find_leaks(docs, bench).collect())
+    assert got == [(0, 7, 6), (1, 7, 6), (2, None, 6), (3, None, 6)]
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()] == [9]

@@ -11,6 +11,8 @@ The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one
 block, so what is broadcast is bounded and no item is left out. Documents are handled row by row where they lie:
 nothing is shuffled by key, and frequent passages make no hot task. A row's result depends on that row alone.
 
+Each row of the benchmark is an item of its own, whatever its id: items may share an id or have none.
+
 Nulls: a null text counts as empty and is never flagged; a null id is carried on. Ties between equally long
 matches: the first place in the document, then in the item. Repeated rows give repeated results. An empty benchmark
 flags nothing. Other columns pass through ``drop_contaminated`` unchanged.
@@ -110,18 +112,21 @@ def tile(words: list[str], item: list[str], seeds: list[tuple[int, int]], least:
         # what marking has shortened may start anew at its first free word: seeds of least words inside are in the list
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
+def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list[tuple[int, list[str]]], list]]:
+    """Blocks of items, numbered by their row in the block, and the ids of these rows."""
     block: list = []
+    ids: list = []
     size = 0
     for row in benchmark.select(key, text).where(F.col(text).isNotNull()).toLocalIterator():
         w = _WORD.findall(row[1].lower())
         if block and size + len(w) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row[0], w))
+            yield block, ids
+            block, ids, size = [], [], 0
+        block.append((len(ids), w))
+        ids.append(row[0])
         size += len(w)
     if block:
-        yield block
+        yield block, ids
 
 
 def _matches(column, block: Block, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -143,13 +148,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     spark = docs.sparkSession
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {benchmark.schema[item_key].dataType.simpleString()}, item_words long, covered_words long, coverage double, tiles long, longest_tile long"
     out = spark.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_key, item_text):
-        sent = spark.sparkContext.broadcast(items)
+    for numbered in _blocks(benchmark, item_key, item_text):
+        sent = spark.sparkContext.broadcast(numbered)
 
         def run(batches, sent=sent):
-            block = Block(sent.value)
+            items, ids = sent.value
+            block = Block(items)
             for batch in batches:
-                rows = [(batch.column(0)[r].as_py(), i, len(block.items[i]), c, c / len(block.items[i]), n, m) for r, i, c, n, m in _matches(batch.column(1), block, coverage)]
+                rows = [(batch.column(0)[r].as_py(), ids[i], len(block.items[i]), c, c / len(block.items[i]), n, m) for r, i, c, n, m in _matches(batch.column(1), block, coverage)]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, item_key, "item_words", "covered_words", "coverage", "tiles", "longest_tile"])
@@ -162,7 +168,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     """The documents, with all their columns, into which no benchmark item leaks."""
     import pyarrow as pa
 
-    for items in _blocks(benchmark, item_key, item_text):
+    for items, _ in _blocks(benchmark, item_key, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(items)
         where = docs.columns.index(text)
 
