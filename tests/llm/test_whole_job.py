@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tideline.llm import decontamination, language_model, neardup
+from tideline.plans import record_queries
 
 
 def test_language_model_learns_every_bigram(spark):
@@ -60,3 +61,13 @@ def test_items_that_share_an_id_or_have_none_are_all_searched(spark):
     got = sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in decontamination.find_leaks(docs, bench).collect())
     assert got == [(0, 7, 6), (1, 7, 6), (2, None, 6), (3, None, 6)]
     assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()] == [9]
+
+
+def test_preference_cards_hold_all_parts_of_a_supplier(spark):
+    d = "/root/testdata/sf0.001"
+    want = {r[0]: r[1] for r in spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_suppkey").agg(F.countDistinct("l_partkey")).collect()}
+    got: dict = {}
+    for r in record_queries.preference_outcomes(spark, d).collect():
+        assert 1 <= r["applicable"] <= 10
+        got[r["l_suppkey"]] = got.get(r["l_suppkey"], 0) + r["applicable"]
+    assert got == want
