@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, language_model, neardup
+from tideline.llm import decontamination, html_text, language_model, neardup
 from tideline.plans import record_queries
 
 
@@ -71,3 +71,16 @@ def test_preference_cards_hold_all_parts_of_a_supplier(spark):
         assert 1 <= r["applicable"] <= 10
         got[r["l_suppkey"]] = got.get(r["l_suppkey"], 0) + r["applicable"]
     assert got == want
+
+
+def test_formulas_and_embedded_text_of_an_article_stay():
+    words = "Here is a sentence of the article that goes on for a while, with commas, and ends at last."
+    shell = "<html><head><title>Out</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>More</a></li></ul></nav><article><h1>Head</h1>%s<p>LAST " + words + "</p></article><footer>&copy; me</footer></body></html>"
+    pages = {
+        f"<p>{words} <math><mi>FORMULA</mi></math> {words}</p>": "FORMULA", f"<p>{words} <svg><title>DRAWN</title><text>SHAPE</text></svg> {words}</p>": "DRAWNSHAPE",
+        f"<p>{words}</p><xmp>{words} <b>&amp;</xmp>": "<b>&amp;", f"<p>{words}</p><noscript><p>{words} FALLBACK</p></noscript>": "FALLBACK", f"<p>{words}</p><object><p>{words} OBJECT</p></object>": "OBJECT",
+        f"<p>{words} <svg><path d=x></p><p>{words}</p>": words, f"<p>{words} <math><mi>OPEN</p><p>{words}</p>": "OPEN",
+    }
+    got = html_text.extract([shell % p for p in pages], html_text.train())
+    for text, want in zip(got, pages.values(), strict=True):
+        assert want in text and "LAST" in text and "Out" not in text and "Home" not in text and "me" not in text.split(), text

@@ -10,8 +10,9 @@ The trees are trained here, on PAGES pages from a seeded generator of layouts wi
 input is used, so results don't depend on what else is in the table.
 
 White space inside a block becomes one space; blocks are joined in page order by one space; character references are
-decoded once. Nulls and empty pages give the empty text. Broken markup is read as browsers do: open elements end with
-the page, stray end tags are ignored, a tag without its end is text. Any nesting depth works, as nothing recurses.
+decoded once. Scripts, styles, textareas and the page's title are skipped; formulas and drawings belong to the element
+around them, and the content of object, canvas, noscript, template, iframe and xmp is for the trees to judge. Nulls and empty pages give the empty text. Broken markup is read as browsers do: open elements end with
+the page, stray end tags are ignored, a tag without its end is text, an open svg or math ends at the next block tag. Any nesting depth works, as nothing recurses.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ from tideline.llm.boosting import Trees
 
 PAGES = 500
 #: HTML element names by their role.
-BLOCKS = "html body div section article main nav aside header footer p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre form fieldset figure figcaption address details summary dialog menu center button select option label hgroup search".split()
+BLOCKS = "html body div section article main nav aside header footer p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre form fieldset figure figcaption address details summary dialog menu center button select option label hgroup search xmp".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
+RAW = frozenset("script style textarea title".split())
+#: Nodes of their own without a block's edges, and elements that a block tag ends unless it is in one of the last.
+EMBEDDED = frozenset("noscript template iframe object canvas noframes".split())
+FOREIGN, GUESTS = frozenset(["svg", "math"]), frozenset("foreignobject annotation-xml".split())
 ENDS_P = frozenset(BLOCKS) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "select", "option", "label", "li", "dt", "dd"} | {"hr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl body html article section div select td th menu".split())
@@ -42,7 +46,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*")
-GROUPS = {"nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "button": 5, "select": 5, "option": 5, "label": 5, "fieldset": 5, "dialog": 5, "search": 5, "article": 6, "main": 7, "p": 8, "blockquote": 9, "pre": 9, "ul": 10, "ol": 10, "li": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "section": 13, "div": 14, "h1": 15, "h2": 16, "h3": 16, "h4": 16, "h5": 16, "h6": 16, "body": 17, "html": 17}
+GROUPS = {"nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "button": 5, "select": 5, "option": 5, "label": 5, "fieldset": 5, "dialog": 5, "search": 5, "article": 6, "main": 7, "p": 8, "blockquote": 9, "pre": 9, "xmp": 9, **dict.fromkeys(EMBEDDED, 14), "ul": 10, "ol": 10, "li": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "section": 13, "div": 14, "h1": 15, "h2": 16, "h3": 16, "h4": 16, "h5": 16, "h6": 16, "body": 17, "html": 17}
 
 
 def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
@@ -78,6 +82,13 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
                 segments.append((stack[-1][1], m[0][9:].removesuffix("]]>"), links > 0))
             continue
         tag = m[2].lower()
+        if tag in _ACT:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in FOREIGN:
+                    close(k)
+                    break
+                if stack[k][0] in GUESTS or stack[k][0] in _ACT:
+                    break
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -90,7 +101,7 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
                 if tag == "br" or tag == "p":
                     segments.append((0, None, False))
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag == "title" and any(t in FOREIGN for t, _ in stack)):
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at) if not m[3].endswith("/") else None
             if end:
                 stop = page.find(">", end.end())
@@ -123,7 +134,7 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
             against += len(parts & _AGAINST)
             kept += len(parts & _FOR)
         node = stack[-1][1]
-        if tag in _ACT or against or kept or hidden:
+        if tag in _ACT or tag in EMBEDDED or against or kept or hidden:
             nodes.append((node, tag, against, kept, int(hidden)))
             node = len(nodes) - 1
         if tag in _ACT:
@@ -132,6 +143,11 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
             continue
         links += tag == "a"
         stack.append((tag, node))
+        if tag == "xmp":  # its content is text, tags and references included
+            end = re.compile("</xmp", re.I).search(page, at)
+            stop = end.start() if end else n
+            segments.append((node, page[at:stop], links > 0))
+            at = stop
     return nodes, segments
 
 
