@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.frames import Settled, crc_mod, hashed
-from tideline.llm.words import _tables, buffers, mixed, runs
+from tideline.llm.words import _tables, buffers, cuts, runs
 
 POSITIVES, UNLABELLED = 5_000, 15_000
 SIZES = (3, 4, 5, 6, 7, 8, 9)
@@ -36,22 +36,24 @@ _BITS = 20
 
 
 def pieces(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, row of each piece, hash of each piece) of an Arrow column, with repetitions."""
+    """(first row, last row + 1, row of each piece, hash of each piece) of an Arrow column, with repetitions.
+
+    A row longer than PIECE is cut at white space, so its words stay whole."""
     data, offsets = buffers(column)
-    for a, b in runs(offsets, 1 << 19):
+    for a, b in runs(offsets):
         lo, hi = int(offsets[a]), int(offsets[b])
-        own = offsets[a : b + 1] - lo + np.arange(b - a + 1)
-        joined = np.full(hi - lo + b - a, 32, dtype=np.uint8)
-        joined[np.arange(hi - lo) + np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))] = data[lo:hi]
-        rows, values = [], []
-        for at in range(0, len(joined), 1 << 22):  # a longer row goes in parts; a word cut in two there gives odd pieces
-            r, v = _pieces(joined[at : at + (1 << 22)], at, own)
-            rows.append(r)
-            values.append(v)
-        yield a, b, np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(values or [np.zeros(0, np.uint64)])
-
-
-def _pieces(data: np.ndarray, at: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if b - a == 1:
+            parts = [(data[lo + s : lo + e], np.zeros(2, int)) for s, e in cuts(data[lo:hi], _tables(1)[1])]
+        else:
+            own = offsets[a : b + 1] - lo + np.arange(b - a + 1)
+            joined = np.full(hi - lo + b - a, 32, dtype=np.uint8)
+            joined[np.arange(hi - lo) + np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))] = data[lo:hi]
+            parts = [(joined, own)]
+        found = [_pieces(part, own) for part, own in parts]
+        yield a, b, np.concatenate([r for r, _ in found] or [np.zeros(0, int)]), np.concatenate([v for _, v in found] or [np.zeros(0, np.uint64)])
+
+
+def _pieces(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code, space, up, down = _tables(len(data) + 1)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = ~space[data]
@@ -59,7 +61,7 @@ def _pieces(data: np.ndarray, at: int, own: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(code[data] * up[: len(data)], out=total[1:])
-    row = np.searchsorted(own, starts + at, side="right") - 1
+    row = np.searchsorted(own[1:-1], starts, side="right")
     rows, values = [row], [(total[ends] - total[starts]) * down[starts] + np.uint64(7)]
     size = ends - starts
     for k in SIZES:

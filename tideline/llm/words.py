@@ -3,7 +3,7 @@
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D (the contract's ``[^\\x20\\x09-\\x0D]+``),
 after lower-casing A-Z. Words are known by 64-bit hashes; two different words of a corpus of a billion
 distinct words collide with a probability of about 3 per cent in total. Texts are hashed in pieces of
-PIECE bytes that end at word ends, so memory follows the longest text and not the batch.
+PIECE bytes that end at word ends, and of ROWS rows at most, so memory follows neither the batch nor its shape.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes hashed at once.
-PIECE = 1 << 20
+#: Bytes and rows hashed at once.
+PIECE = 1 << 18
+ROWS = 1 << 10
 #: Odd multipliers (fixed values): the powers of STEP weigh the bytes of a word, FOLD those of a shingle's words.
 STEP = 0x9E3779B97F4A7C15
 FOLD = 0xC2B2AE3D27D4EB4F
@@ -67,7 +68,7 @@ def piece_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def _cuts(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+def cuts(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of about PIECE bytes that end at white space; one huge word stays whole."""
     at, n = 0, len(data)
     while at < n:
@@ -97,12 +98,13 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``most`` bytes together, or a single longer row."""
+    """Ranges of at most ROWS rows with at most ``most`` bytes together, or a single longer row."""
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield at, min(n, end)
-        at = min(n, end)
+        end = min(n, end, at + ROWS)
+        yield at, end
+        at = end
 
 
 def row_words(column, most: int = PIECE, tags=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -123,7 +125,7 @@ def row_words(column, most: int = PIECE, tags=None) -> Iterator[tuple[int, int,
         lo, hi = int(offsets[a]), int(offsets[b])
         if b - a == 1:
             space = _tables(1)[1]
-            parts = [hashed(data[lo + s : lo + e])[0] for s, e in _cuts(data[lo:hi], space)]
+            parts = [hashed(data[lo + s : lo + e])[0] for s, e in cuts(data[lo:hi], space)]
             hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield a, b, hashes, np.array([0, len(hashes)])
         else:  # a separator between rows keeps words apart
