@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,14 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The application's folder in spark.checkpoint.dir, deleted when the driver ends.
+
+    Where the setting is missing, a local master gets a folder of its own; a cluster must name one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        kept = spark.sparkContext.getCheckpointDir()
-        folder = kept or tempfile.mkdtemp(prefix="tideline-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/tideline-{spark.sparkContext.applicationId}"
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tideline-")
+        context.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/tideline-{context.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), path)
+    return path
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(configuration).delete(where, True)
 
 
 class Settled:
@@ -38,9 +56,19 @@ class Settled:
 
     def drop(self) -> None:
         """Deletes the files; nothing may read ``df`` afterwards."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = self.spark.sparkContext
+        _delete(context._jvm, context._jsc.hadoopConfiguration(), self.path)
+
+
+def unclashing(df: DataFrame, *names: str) -> list[str]:
+    """The names, or others after them, that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def hashed(*columns) -> F.Column:
@@ -51,3 +79,39 @@ def hashed(*columns) -> F.Column:
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+class Spread:
+    """Equi-joins whose left side has hot keys: rows of a key with more than a thousandth of all rows (so at most 1,000
+    keys, which are broadcast) are dealt over parts by a salt, and the right side's row is copied to each part."""
+
+    SHARE, LEAST = 1000, 256
+
+    def __init__(self, df: DataFrame, keys: list[str], count: str | None = None):
+        """``count``: the column of ``df`` with a key's number of rows, if they are counted already."""
+        self.keys = keys
+        counts = df.groupBy(*keys).agg(F.count("*").alias("rows_of_key")) if count is None else df.select(*keys, F.col(count).alias("rows_of_key"))
+        total = (df.count() if count is None else df.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0])
+        limit = max(self.LEAST, total // self.SHARE)
+        hot = counts.where(F.col("rows_of_key") > limit).select(*keys, F.ceil(F.col("rows_of_key") / limit).cast("int").alias("parts"))
+        rows = hot.collect()
+        self.hot = df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+    def salted(self, df: DataFrame, tag: str) -> DataFrame:
+        """``df`` with the part of each row, by the hash of its column ``tag``."""
+        if self.hot is None:
+            return df.withColumn("salt", F.lit(0))
+        rows = df.join(F.broadcast(self.hot), self.keys, "left")
+        return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(tag), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+
+    def copied(self, df: DataFrame) -> DataFrame:
+        """``df`` with one row per part of its key."""
+        if self.hot is None:
+            return df.withColumn("salt", F.lit(0))
+        rows = df.join(F.broadcast(self.hot), self.keys, "left")
+        return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    def join(self, left: DataFrame, right: DataFrame, tag: str, how: str = "inner") -> DataFrame:
+        if self.hot is None:
+            return left.join(right, self.keys, how)
+        return self.salted(left, tag).join(self.copied(right), [*self.keys, "salt"], how).drop("salt")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import Settled, hashed
+from tideline.llm.frames import Settled, hashed, unclashing
 
 SEED, EPOCHS, BUCKETS, DEFAULT_WEIGHT = "mix-1", 2, 256, 1
 LEVELS = ("domain", "lang", "source")
@@ -107,6 +107,9 @@ def mix(docs: DataFrame, share: float, weights: DataFrame | None = None, epochs:
 
 def keep_mixed(docs: DataFrame, share: float, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents, with all their columns, that ``mix`` chooses with one epoch: each once."""
-    chosen = mix(docs, share, epochs=1, text=text, key=key, **options).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"), F.col("source").alias("chosen_source"))
-    same = F.col(key).eqNullSafe(F.col("chosen_id")) & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("chosen_lang")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("chosen_source"))
+    names = unclashing(docs, "chosen_id", "chosen_lang", "chosen_source")
+    chosen = mix(docs, share, epochs=1, text=text, key=key, **options).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "lang", "source"), names, strict=True)])
+    same = F.col(key).eqNullSafe(F.col(names[0]))
+    for c, n in zip(("lang", "source"), names[1:], strict=True):
+        same = same & (F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(n))
     return docs.join(chosen, same, "left_semi")

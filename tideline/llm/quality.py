@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import Settled, hashed
+from tideline.llm.frames import Settled, hashed, unclashing
 from tideline.llm.words import _tables, buffers, piece_words
 
 SAMPLE = 20_000
@@ -132,5 +132,6 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **names) -> DataFrame:
     """The documents, with all their columns, that ``judge`` keeps."""
-    good = judge(docs, labels, text=text, key=key, **names).where("kept").select(F.col(key).alias("good_key"), F.col("text_hash").alias("good_hash"))
-    return docs.join(good, F.col(key).eqNullSafe(F.col("good_key")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("good_hash")), "left_semi")
+    good_key, good_hash = unclashing(docs, "good_key", "good_hash")
+    good = judge(docs, labels, text=text, key=key, **names).where("kept").select(F.col(key).alias(good_key), F.col("text_hash").alias(good_hash))
+    return docs.join(good, F.col(key).eqNullSafe(F.col(good_key)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(good_hash)), "left_semi")
