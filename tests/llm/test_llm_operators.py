@@ -112,6 +112,7 @@ def test_components_by_rounds(spark, monkeypatch):
     from tideline.llm import components as c
 
     monkeypatch.setattr(c, "AT_ONCE", 0)
+    monkeypatch.setattr(c, "FOLD", 2)
     edges = spark.createDataFrame([(k, k + 1) for k in range(10, 20)] + [(40, 30), (41, 30)], "a long, b long")
     found = {r["node"]: r["component"] for r in c.components(edges).df.collect()}
     assert all(found[k] == 10 for k in range(10, 21)) and found[40] == found[41] == found[30] == 30 and len(found) == 14
