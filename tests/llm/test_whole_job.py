@@ -1,6 +1,7 @@
 """Tests that each operator covers all of its input: every case here was once left out."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,12 @@ def test_language_model_learns_every_bigram(spark):
     pairs = [(f"left{i}", f"right{i}") for i in range(40)]
     rows = [(i, " ".join(w for _ in range(60) for w in rng.choice(pairs))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    known = language_model.vocabulary(language_model.word_counts(docs, "text"))
-    model = language_model.train(docs, "text", known)
+    _, known, model = language_model.fit(docs)
     words = spark.createDataFrame([(" ".join(w for p in pairs for w in p),)], "text string").toArrow().column(0).combine_chunks()
     for _, _, hashes, offsets in language_model.text_words(words):
-        context, kind, _ = language_model.contexts(known.look_up(hashes)[0], offsets)
-        learned = np.exp(model.log_probabilities(context, kind))[1:-1:2]  # of the right word after the left one
+        kind, given, _ = known.look_up(hashes)
+        inputs, classes, _ = language_model.laid_out(kind, given, offsets)
+        learned = np.exp(model.log_probabilities(inputs, classes))[1:-1:2]  # of the right word after the left one
         assert len(learned) == 40 and learned.min() > 5 / 80, learned  # 1 / 80 is a word's share of all words
 
 
@@ -84,3 +85,59 @@ def test_formulas_and_embedded_text_of_an_article_stay():
     got = html_text.extract([shell % p for p in pages], html_text.train())
     for text, want in zip(got, pages.values(), strict=True):
         assert want in text and "LAST" in text and "Out" not in text and "Home" not in text and "me" not in text.split(), text
+
+
+def test_probabilities_of_all_words_sum_to_one_and_scores_equal_plain_python(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(700)]  # more than have classes of their own
+    rows = [(i, " ".join(rng.choices(words, weights=range(700, 0, -1), k=rng.randint(0, 40)))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, known, model = language_model.fit(docs)
+    count = {}
+    for _, t in rows:
+        for w in t.split():
+            count[w] = count.get(w, 0) + 1
+    assert known.tokens == sum(count.values()) and known.words == len(count) > language_model.OWN and known.ends == 500
+    (_, _, hashes, _) = next(language_model.text_words(pa.array([" ".join(count)])))
+    kind, given, n = known.look_up(hashes)
+    assert n.tolist() == list(count.values())
+    place = {w: (int(k), int(g)) for w, k, g in zip(count, kind, given, strict=True)}
+    vectors, output, weights, bias = (p.astype(float) for p in model.parts)
+
+    def chances(context):
+        """Of each word, of the end, and of all unseen words, after inputs ``context`` (the latest first)."""
+        q = sum(vectors[c] * w for c, w in zip(context, weights, strict=True))
+        e = np.exp(output @ q + bias)
+        e /= e.sum()
+        share = lambda w: 1 if place[w][0] < language_model.OWN else (count[w] + 0.1) / known.rare_total[place[w][0] - language_model.OWN - 1]
+        unseen = (0.1 / known.rare_total * e[language_model.OWN + 1 :]).sum()
+        return {w: e[place[w][0]] * share(w) for w in place} | {None: e[language_model.OWN]}, unseen
+
+    start = language_model.START
+    for context in ([start] * 5, [place["w0"][1], place[min(count, key=count.get)][1], start, start, start], [place[f"w{k}"][1] for k in range(5)]):
+        of, unseen = chances(context)
+        assert abs(sum(of.values()) + unseen - 1) < 1e-6
+    some = spark.createDataFrame(rows[:20], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(some.union(docs.where("doc_id >= 20"))).collect()}
+    _, known, model = language_model.fit(docs.where("crc32(cast(doc_id as string)) % 10 <> 0"))
+    count = {}
+    for i, t in rows:
+        for w in t.split() * (zlib.crc32(str(i).encode()) % 10 != 0):
+            count[w] = count.get(w, 0) + 1
+    kind, given, _ = known.look_up(next(language_model.text_words(pa.array([" ".join(count)])))[2])
+    place = {w: (int(k), int(g)) for w, k, g in zip(count, kind, given, strict=True)}
+    vectors, output, weights, bias = (p.astype(float) for p in model.parts)
+    base = language_model.Model(vocabulary=known).parts[1]
+    assert len(got) == 500 and all(x < 0 for x in got.values()) and not np.allclose(base, output)
+    checked = 0
+    for i, t in rows[:60]:
+        w = t.split()
+        if set(w) <= set(place):
+            near, total = [start] * 5, 0.0
+            for x in [*w, None]:
+                total += np.log10(chances(near)[0][x])
+                near = [place[x][1] if x else 0, *near[:-1]]
+            # partitions differ between the two fits, so the parameters do a little, too
+            assert abs(total - got[i]) < 0.05 * abs(total) + 0.05
+            checked += 1
+    assert checked > 20

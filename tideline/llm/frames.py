@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ def _delete(jvm, configuration, path: str) -> None:
         where.getFileSystem(configuration).delete(where, True)
 
 
+def send(spark: SparkSession, value):
+    """A broadcast of the value, pickled with the code of its classes, so executors need no repository on their path."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    return pickle.loads(sent.value)
+
+
 class Settled:
     """A DataFrame written to the shared folder and read back: later jobs start from files that outlive executors."""
 
