@@ -1,13 +1,15 @@
 """Tests that each operator covers all of its input: every case here was once left out."""
 
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, html_text, language_model, neardup
+from tideline.llm import decontamination, frames, html_text, language_model, media, mixing, neardup, pulearning, quality
 from tideline.plans import record_queries
 
 
@@ -141,3 +143,44 @@ def test_probabilities_of_all_words_sum_to_one_and_scores_equal_plain_python(spa
             assert abs(total - got[i]) < 0.05 * abs(total) + 0.05
             checked += 1
     assert checked > 20
+
+
+def test_hostile_containers_give_a_status():
+    nested = b""
+    for _ in range(3000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+    assert media.describe(nested)["status"] == "error"
+    good = media.wrap(media.padded(b"some bytes" * 500))
+    at = good.index(b"stsz")
+    assert media.describe(good[: at + 8] + struct.pack(">II", 1, 0xFFFFFFFF) + good[at + 16 :])["status"] == "error"
+    at = good.index(b"stss")
+    assert media.describe(good[: at + 12] + struct.pack(">I", 0) + good[at + 16 :])["status"] == "error"
+    rng = random.Random(4)
+    for _ in range(500):  # any change of bytes gives a status
+        b = bytearray(good[:700])
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        assert media.describe(bytes(b) + good[700:])["status"] in ("ok", "error")
+
+
+def test_fragments_are_samples_too():
+    box = media._box
+    full = media._full
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    trak = box(b"trak", full(b"tkhd", u(0, 0, 7, 0, 0)), box(b"mdia", full(b"mdhd", u(0, 0, 1000, 0), bytes(4)), box(b"minf", box(b"stbl", full(b"stsd", u(1), box(b"avc1", bytes(78))), full(b"stts", u(0)), full(b"stsc", u(0)), full(b"stsz", u(0, 0)), full(b"stco", u(0))))))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", u(7, 1, 40, 5, 0x10000))))
+    frames_ = [b"AAAAA", b"BBBBB", b"CCC", b"DDDDDDD"]
+
+    def fragment(parts, own):
+        def moof(offset):
+            run = full(b"trun", u(len(parts)), struct.pack(">i", offset), u(0), b"".join(u(len(x)) for x in parts), flags=0x205) if own else full(b"trun", u(len(parts)), struct.pack(">i", offset), flags=1)
+            return box(b"moof", full(b"mfhd", u(1)), box(b"traf", full(b"tfhd", u(7), flags=0x20000), run))
+
+        return moof(len(moof(0)) + 8) + box(b"mdat", b"".join(parts))
+
+    data = moov + fragment(frames_[:2], False) + fragment(frames_[2:], True)
+    found = media.describe(data)
+    assert found["status"] == "ok", found
+    (track,) = found["tracks"]
+    assert [data[a : a + n] for a, n in track["samples"].tolist()] == frames_ and track["codec"] == "avc1" and track["sample_time"] == 160
+    assert [data[a:b] for a, b in track["keyframes"]] == [b"CCC"]

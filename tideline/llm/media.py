@@ -1,12 +1,14 @@
 """Media columns: ISO media containers (boxes) written and read without decoding payloads.
 
 ``walk`` goes through nested boxes of any ISO base media file (32- and 64-bit sizes, size 0 for "to the end", uuid
-boxes, full boxes of version 0 and 1); ``describe`` decodes the sample tables (stts, stsc, stsz or stz2, stco or
-co64, stss) of each track into sample byte ranges and gives codec, duration and the byte ranges of keyframes.
-Broken files give status ``error`` and a message, never an exception. ``wrap`` stores bytes as a track of 8-bit
-samples, with the same output for equal input (all times are 0).
-
-Nulls: a null text counts as empty, a null container gives status ``error``. Other columns are ignored.
+boxes, full boxes of version 0 and 1, at most DEEPEST in one another); ``describe`` decodes the sample tables (stts, stsc, stsz or stz2, stco
+or co64, stss) and the fragments (trex, tfhd, trun) of each track into sample byte ranges and gives codec, duration and
+the byte ranges of keyframes. Broken files give status ``error`` and a message, never an exception; what a table claims
+is compared with the file's size before memory is taken for it. ``wrap`` stores bytes as a track of 8-bit samples, with
+the same output for equal input (all times are 0).
+
+Nulls: a null text counts as empty, a null container gives status ``error``; null ids are carried on. Repeated rows give
+repeated results, an empty table an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 #: Boxes whose content is boxes (fixed values).
@@ -24,6 +27,8 @@ CONTAINERS = frozenset(b"moov trak mdia minf stbl dinf edts udta mvex moof traf
 FRAME, GOP, CHUNK = 1024, 8, 16
 RATE = 8000
 UNIT = 64
+#: Boxes in one another; real files have some ten.
+DEEPEST = 64
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -78,10 +83,13 @@ def wrap(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(start), _box(b"mdat", payload)))
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, start of content, end) of every box, parents first."""
-    end = len(data) if end is None else end
-    while at < end:
+def walk(data: bytes) -> Iterator[tuple[tuple, int, int, int]]:
+    """(path, start, start of content, end) of every box, parents first."""
+    waiting = [(0, len(data), ())]
+    while waiting:
+        at, end, path = waiting.pop()
+        if at >= end:
+            continue
         if end - at < 8:
             raise ValueError(f"{end - at} stray bytes at {at}")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -93,46 +101,106 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()) ->
         head += 16 * (kind == b"uuid")
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} at {at} has the size {size}")
-        yield (own := (*path, kind)), at + head, at + size
+        if len(path) >= DEEPEST:
+            raise ValueError(f"more than {DEEPEST} boxes in one another")
+        yield (own := (*path, kind)), at, at + head, at + size
+        waiting.append((at + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, own)
-        at += size
+            waiting.append((at + head, at + size, own))
 
 
-def _numbers(data: bytes, at: int, end: int, code: str, per: int = 1) -> tuple:
+def _numbers(data: bytes, at: int, end: int, code: str, per: int = 1) -> np.ndarray:
     n = struct.unpack_from(">I", data, at)[0]
-    if at + 4 + n * per * struct.calcsize(code) > end:
+    size = struct.calcsize(f">{code}")
+    if at + 4 + n * per * size > end:
         raise ValueError("a table is longer than its box")
-    return struct.unpack_from(f">{n * per}{code}", data, at + 4)
+    return np.frombuffer(data, f">u{size}", n * per, at + 4).astype(np.int64)
 
 
-def _sizes(data: bytes, at: int, end: int, compact: bool) -> list[int]:
+def _sizes(data: bytes, at: int, end: int, compact: bool) -> np.ndarray:
     same, n = struct.unpack_from(">II", data, at + 4)
     if compact:
         bits = same & 255
-        if n * bits > 8 * (end - at - 12):
+        if bits not in (4, 8, 16) or n * bits > 8 * (end - at - 12):
             raise ValueError("a table is longer than its box")
-        raw = data[at + 12 : end]
         if bits == 4:
-            return [raw[k // 2] >> 4 * (1 - k % 2) & 15 for k in range(n)]
-        return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", raw))
+            raw = np.frombuffer(data, np.uint8, -(-n // 2), at + 12)
+            return np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n].astype(np.int64)
+        return np.frombuffer(data, f">u{bits // 8}", n, at + 12).astype(np.int64)
     if same:
-        return [same] * n
+        if n * same > len(data):
+            raise ValueError("samples are longer than the file")
+        return np.full(n, same, dtype=np.int64)
     if 4 * n > end - at - 12:
         raise ValueError("a table is longer than its box")
-    return list(struct.unpack_from(f">{n}I", data, at + 12))
+    return np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+
+
+def _run(data: bytes, at: int, end: int, fragment: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, sizes, durations and key marks of a trun box's samples; ``fragment`` has the defaults and the next byte."""
+    flags, n = struct.unpack_from(">II", data, at)
+    place = at + 8
+    if flags & 1:
+        fragment["next"] = fragment["base"] + struct.unpack_from(">i", data, place)[0]
+        place += 4
+    first = struct.unpack_from(">I", data, place)[0] if flags & 4 else None
+    place += 4 * (flags & 4 > 0)
+    names = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if place + 4 * len(names) * n > end or n > len(data):
+        raise ValueError("a table is longer than its box")
+    rows = np.frombuffer(data, ">u4", n * len(names), place).reshape(n, len(names)).astype(np.int64)
+    field = {name: rows[:, names.index(name)] if name in names else np.full(n, fragment[name], dtype=np.int64) for name in ("duration", "size", "flags")}
+    if first is not None and n and "flags" not in names:
+        field["flags"][0] = first
+    offsets = fragment["next"] + np.cumsum(field["size"]) - field["size"]
+    fragment["next"] += int(field["size"].sum())
+    if n and (offsets[0] < 0 or fragment["next"] > len(data)):
+        raise ValueError("a sample lies beyond the end")
+    return offsets, field["size"], field["duration"], field["flags"] & 0x10000 == 0
 
 
 def _tracks(data: bytes) -> list[dict]:
+    none = np.zeros(0, np.int64)
     tracks: list[dict] = []
-    for path, at, end in walk(data):
+    defaults: dict[int, tuple] = {}
+    fragment: dict = {}
+    moof = 0
+    for path, start, at, end in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"handler": "", "codec": "", "timescale": 0, "duration": 0, "times": (), "runs": (), "sizes": [], "chunks": (), "keys": None})
+            tracks.append({"id": 0, "handler": "", "codec": "", "timescale": 0, "duration": 0, "times": none, "runs": none, "sizes": none, "chunks": none, "keys": None, "fragments": []})
+        elif kind == b"trex":
+            number, _, *rest = struct.unpack_from(">5I", data, at + 4)
+            defaults[number] = tuple(rest)
+        elif kind == b"moof":
+            moof = start
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", data, at)
+            own = next((t for t in tracks if t["id"] == number), None)
+            if own is None:
+                raise ValueError(f"a fragment of an unknown track {number}")
+            # the second track of a fragment goes on where the first ended, unless it says otherwise
+            base = moof if flags & 0x20000 or fragment.get("moof") != moof else fragment["next"]
+            place = at + 8
+            if flags & 1:
+                base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+            place += 4 * (flags & 2 > 0)
+            found = list(defaults.get(number, (0, 0, 0)))
+            for k, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    found[k] = struct.unpack_from(">I", data, place)[0]
+                    place += 4
+            fragment = {"track": own, "moof": moof, "base": base, "next": base} | dict(zip(("duration", "size", "flags"), found, strict=True))
+        elif kind == b"trun" and b"moof" in path:
+            if fragment.get("moof") != moof:
+                raise ValueError("a run of samples without a header")
+            fragment["track"]["fragments"].append(_run(data, at, end, fragment))
         if b"trak" not in path or not tracks:
             continue
         t = tracks[-1]
-        if kind == b"hdlr":
+        if kind == b"tkhd":
+            t["id"] = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+        elif kind == b"hdlr":
             t["handler"] = data[at + 8 : at + 12].decode("latin-1")
         elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
@@ -151,46 +219,50 @@ def _tracks(data: bytes) -> list[dict]:
     return tracks
 
 
-def samples(track: dict, length: int) -> list[tuple[int, int]]:
-    """(offset, size) of each sample, from chunk offsets, samples per chunk and sample sizes."""
-    out: list[tuple[int, int]] = []
-    runs, chunks, sizes, k = track["runs"], track["chunks"], track["sizes"], 0
-    for r in range(0, len(runs), 3):
-        last = runs[r + 3] - 1 if r + 3 < len(runs) else len(chunks)
-        for chunk in range(runs[r] - 1, last):
-            at = chunks[chunk]
-            for size in sizes[k : k + runs[r + 1]]:
-                out.append((at, size))
-                at += size
-            if at > length:
-                raise ValueError("a sample lies beyond the end")
-            k += runs[r + 1]
-    if len(out) != len(sizes):
-        raise ValueError(f"chunks hold {len(out)} of {len(sizes)} samples")
-    return out
+def samples(track: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and sizes of all samples, from chunk offsets, samples per chunk and sample sizes."""
+    runs, chunks, sizes = track["runs"].reshape(-1, 3), track["chunks"], track["sizes"]
+    bounds = np.append(runs[:, 0] - 1, len(chunks))
+    if len(runs) and (bounds[0] != 0 or (np.diff(bounds) < 0).any()):
+        raise ValueError("chunks of samples out of order")
+    each = np.repeat(runs[:, 1], np.diff(bounds))
+    if int(each.sum()) != len(sizes) or len(each) != len(chunks):
+        raise ValueError(f"chunks hold {int(each.sum())} of {len(sizes)} samples")
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.cumsum(each) - each
+    offsets = ends[:-1] - np.repeat(ends[first], each) + np.repeat(chunks, each)
+    if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > length):
+        raise ValueError("a sample lies beyond the end")
+    return offsets, sizes
 
 
 def describe(data: bytes | None) -> dict:
-    """status, error and, per track: codec, handler, timescale, duration, samples, keyframes and their byte ranges."""
+    """status, error and, per track: codec, handler, timescale, duration, samples (offset, size), keyframes' byte ranges."""
     if data is None:
         return {"status": "error", "error": "no file", "tracks": []}
     try:
         tracks = []
         for t in _tracks(data):
-            where = samples(t, len(data))
-            keys = range(1, len(where) + 1) if t["keys"] is None else t["keys"]
-            ranges = [(where[k - 1][0], sum(where[k - 1])) for k in keys]
-            length = sum(a * b for a, b in zip(t["times"][::2], t["times"][1::2], strict=True))
-            tracks.append({k: t[k] for k in ("codec", "handler", "timescale", "duration")} | {"samples": where, "sample_time": length, "keyframes": ranges})
+            offsets, sizes = samples(t, len(data))
+            key = np.full(len(offsets), t["keys"] is None)
+            if t["keys"] is not None:
+                if len(t["keys"]) and not 1 <= t["keys"].min() <= t["keys"].max() <= len(offsets):
+                    raise ValueError("a keyframe that no sample is")
+                key[t["keys"] - 1] = True
+            time = int((t["times"][::2] * t["times"][1::2]).sum())
+            for o, n, d, k in t["fragments"]:
+                offsets, sizes, key, time = np.concatenate([offsets, o]), np.concatenate([sizes, n]), np.concatenate([key, k]), time + int(d.sum())
+            ranges = np.stack([offsets, offsets + sizes], axis=1)[key].tolist()
+            tracks.append({k: t[k] for k in ("codec", "handler", "timescale", "duration")} | {"samples": np.stack([offsets, sizes], axis=1), "sample_time": time, "keyframes": [tuple(x) for x in ranges]})
         return {"status": "ok", "error": "", "tracks": tracks}
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         return {"status": "error", "error": str(e) or type(e).__name__, "tracks": []}
 
 
 def payload_of(data: bytes, track: dict) -> bytes:
     """The stored bytes of a track's samples, in order."""
     view = memoryview(data)
-    return b"".join([view[a : a + n] for a, n in track["samples"]])
+    return b"".join([view[a : a + n] for a, n in track["samples"].tolist()])
 
 
 def probe(df: DataFrame, column: str, key: str) -> DataFrame:
