@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.llm import decontamination, media, mixing, pulearning, quality, sharding
@@ -90,11 +91,20 @@ def test_posteriors_equal_plain_sums(spark):
     for r in rows:
         hosts[r["host"]].append(r["document_score"])
         paths[r["host"], r["path"]].append(r["document_score"])
+    mean = lambda x: sum(x) / len(x)
+    inside = lambda groups: sum((v - mean(x)) ** 2 for x in groups for v in x) / (len(rows) - len(groups))
+    n, k = len(rows), len(hosts)
+    s = inside(hosts.values())
+    between = (sum(len(x) * (mean(x) - prior) ** 2 for x in hosts.values()) - (k - 1) * s) / (n - sum(len(x) ** 2 for x in hosts.values()) / n)
+    of_hosts = max(1.0, s / between) if between > s / quality.MOST else quality.MOST
+    s = inside(paths.values())
+    between = (sum(len(y) * (mean(y) - mean(hosts[h])) ** 2 for (h, _), y in paths.items()) - (len(paths) - k) * s) / (n - sum(len(y) ** 2 / len(hosts[h]) for (h, _), y in paths.items()))
+    of_paths = max(1.0, s / between) if between > s / quality.MOST else quality.MOST
     odds = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
     for r in rows:
         x, y = hosts[r["host"]], paths[r["host"], r["path"]]
-        host = (sum(x) + quality.HOST_WEIGHT * prior) / (len(x) + quality.HOST_WEIGHT)
-        path = (sum(y) + quality.PATH_WEIGHT * host) / (len(y) + quality.PATH_WEIGHT)
+        host = (sum(x) + of_hosts * prior) / (len(x) + of_hosts)
+        path = (sum(y) + of_paths * host) / (len(y) + of_paths)
         assert r["host_posterior"] == pytest.approx(host) and r["path_posterior"] == pytest.approx(path)
         p = r["document_score"]
         score = 0.0 if p == 0 else 1 / (1 + math.exp(-(math.log(p / (1 - p)) + quality.SITE_SHARE * (odds(path) - odds(prior)))))
@@ -252,3 +262,17 @@ def test_pipeline_equals_plain_python(spark):
     want = sharded(mixed(clean, corpus_pipeline.MIX_SHARE), corpus_pipeline.SHARDS)
     got = {r["doc_id"]: (r["size"], r["shard"], r["slot"]) for r in corpus_pipeline.run(spark, DATA).collect()}
     assert got == want and 0 < len(want) < len(clean) < len(rest) < len(docs)
+
+
+def test_sites_that_differ_get_weak_priors_and_equal_ones_shrink_to_all(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "host string, path string, s double, ss double, n long")
+
+    def found(paths):
+        of = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("ss").alias("host_ss"), F.sum("n").alias("host_n"))
+        return quality.strengths(paths, of)
+
+    prior, host, path = found(frame([("a", "x", 90.0, 82.0, 100), ("b", "x", 10.0, 2.0, 100)]))
+    assert prior == 0.5 and host == 1.0 and path == quality.MOST
+    prior, host, path = found(frame([(h, p, 50.0, 30.0, 100) for h in "abc" for p in "xy"]))
+    assert (host, path) == (quality.MOST, quality.MOST)
+    assert found(frame([])) == (0.5, quality.MOST, quality.MOST)

@@ -56,6 +56,18 @@ def received(sent):
     return pickle.loads(sent.value)
 
 
+def text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def at_most(rows: DataFrame, place: F.Column, most: int, of: int) -> DataFrame:
+    """About ``most`` different rows and no more, of ``of``: those whose ``place``, evenly spread over 32 bits, lies under a
+    threshold. ``rows`` are narrow."""
+    if of > most:
+        rows = rows.where(place < F.lit(int((most - 5 * most**0.5) / of * (1 << 32))))
+    return rows.distinct().limit(most)
+
+
 class Settled:
     """A DataFrame written to the shared folder and read back: later jobs start from files that outlive executors."""
 

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning, in numpy.
 
-Learned from bounded samples (documented bounds): POSITIVES confirmed toxic rows and UNLABELLED texts whose labels, if
-there are any, aren't looked at; in both cases the rows with the least md5 of the id. The class prior is the share of
+Learned from bounded samples (documented bounds): at most POSITIVES different confirmed toxic rows and UNLABELLED different
+rows whose labels, if there are any, aren't looked at; in both cases those under a threshold of the md5 of id and text. The class prior is the share of
 toxic rows among all labelled training rows. The risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  is minimised
 with the sigmoid loss; where its second part falls under 0, that part's gradient is reversed (non-negative correction).
 
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import Settled, crc_mod, hashed
+from tideline.llm.frames import Settled, at_most, crc_mod, hashed, text_hash
 from tideline.llm.words import _tables, buffers, cuts, runs
 
 POSITIVES, UNLABELLED = 5_000, 15_000
@@ -149,15 +149,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     import pyarrow as pa
 
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc_mod(key, folds) != held)).groupBy(key).agg(F.max(label).alias("y"))
-    ids = docs.where(F.col(key).isNotNull() & (crc_mod(key, folds) != held)).select(key)
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     nothing = np.zeros(0, np.uint64), np.zeros(0), -np.inf
     if not toxic or toxic == total:
         return nothing if not toxic else (*nothing[:2], np.inf)
-    least = lambda x, n: x.select(key).orderBy(hashed(key), key).limit(n)
-    side = lambda x, y: docs.select(key, text).join(F.broadcast(x), key, "left_semi").select(F.lit(y).alias("y"), F.col(text).alias("text"))
-    # at most POSITIVES and UNLABELLED ids are broadcast
-    sample = Settled(side(least(known.where("y = 1"), POSITIVES), 1).union(side(least(ids, UNLABELLED), 0)), "sample")
+    rows = docs.where(F.col(key).isNotNull() & (crc_mod(key, folds) != held)).select(F.col(key).alias("k"), text_hash(text).alias("h"), F.col(text).alias("text"))
+    place = hashed("k", "h")
+    confirmed = Settled(rows.select("k", "h").join(known.where("y = 1").select(F.col(key).alias("k")), "k").distinct(), "confirmed")
+    # POSITIVES and UNLABELLED rows of ids and hashes are broadcast
+    chosen = at_most(confirmed.df, place, POSITIVES, confirmed.df.count()), at_most(rows.select("k", "h"), place, UNLABELLED, rows.count())
+    positive, unlabelled = (rows.join(F.broadcast(x), ["k", "h"]).dropDuplicates(["k", "h"]).select(F.lit(y).alias("y"), "text") for x, y in zip(chosen, (1, 0), strict=True))
+    sample = Settled(positive.union(unlabelled), "sample")
+    confirmed.drop()
     positive = sample.df.where("y = 1")
     n_p, n_u = positive.count(), sample.df.where("y = 0").count()
     if not n_p or not n_u:

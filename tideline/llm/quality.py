@@ -1,20 +1,24 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 Document evidence: a logistic regression (numpy, full batch, fixed steps) on shape features of the whole text, learned
-from labelled rows: at most SAMPLE of them, those with the least md5 of the id (a documented bound).
+from labelled rows: at most SAMPLE different ones (a documented bound), those under a threshold of the md5 of id and text.
 
 Site evidence: with the host (``source``) and the path below it (here ``lang``), all documents are grouped. The mean
-document probability is the global prior; a host's posterior mean is (sum + HOST_WEIGHT * global) / (n + HOST_WEIGHT),
-and a path's is (sum + PATH_WEIGHT * host) / (n + PATH_WEIGHT): sparse sites shrink towards their host, and sparse hosts
-towards all. The log-odds of the result are the document's plus SITE_SHARE times the path's distance from the global
-prior, so a site moves documents in doubt, but no clear one. A document is kept if the probability is at least KEEP.
+document probability is the global prior. How much a site can be trusted is estimated from all sites by moments: with the
+variance of documents inside hosts and that between hosts, the strength of the prior is the first over the second (in
+documents), and likewise for paths inside hosts (see strength). A host's posterior mean is (sum + strength * global) /
+(n + strength), a path's is (sum + strength * host) / (n + strength): sparse sites shrink towards their host, and sparse
+hosts towards all; where sites don't differ the strength is MOST and all shrink. The log-odds of the result are the
+document's plus SITE_SHARE times the path's distance from the global prior, so a site moves documents in doubt, but no
+clear one. A document is kept if the probability is at least KEEP.
 
 Sites are summed up before the shuffle (a hot host sends one row per task), and the host and path tables meet the
 documents in joins on keys with a salt of the document's row, so a hot site is spread over SALTS tasks.
 
 Nulls: a null text counts as empty; null hosts and paths are sites of their own. Empty texts have no shape and are
 rejected. Without labels of both kinds every non-empty document has the probability 0.5 and is kept. Repeated rows are
-judged alike. Other columns are ignored by ``judge`` and kept by ``keep_good``.
+judged alike, and learned from once. An empty table gives an empty result. Other columns are ignored by ``judge`` and
+kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import Settled, hashed, unclashing
+from tideline.llm.frames import Settled, at_most, hashed, text_hash, unclashing
 from tideline.llm.words import _tables, buffers, piece_words
 
 SAMPLE = 20_000
 STEPS, RATE, DECAY = 600, 0.1, 1e-3
-HOST_WEIGHT, PATH_WEIGHT, SITE_SHARE = 50.0, 20.0, 0.5
+SITE_SHARE, MOST = 0.5, 1e6
 KEEP, SALTS = 0.5, 32
 FEATURES = 9
 
@@ -90,9 +94,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str) -> np.ndarray | None:
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("label_of_row"))
-    known = known.orderBy(hashed(key), key).limit(SAMPLE)  # SAMPLE rows are broadcast
-    rows = docs.select(key, F.col(text).alias("text_of_row")).join(F.broadcast(known), key)
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key_of_row")).agg(F.max(label).alias("label_of_row"))
+    rows = docs.select(F.col(key).alias("key_of_row"), text_hash(text).alias("hash_of_row"))
+    rows = Settled(rows.join(known, "key_of_row").distinct(), "labelled")
+    chosen = at_most(rows.df, hashed("key_of_row", "hash_of_row"), SAMPLE, rows.df.count())  # SAMPLE rows are broadcast
+    texts = docs.select(F.col(key).alias("key_of_row"), text_hash(text).alias("hash_of_row"), F.col(text).alias("text_of_row"))
+    texts = texts.join(F.broadcast(chosen), ["key_of_row", "hash_of_row"]).dropDuplicates(["key_of_row", "hash_of_row"])
+    rows = texts.select("label_of_row", "text_of_row")
     found = _shapes(rows, ["label_of_row"], "text_of_row").where("shape IS NOT NULL").toPandas()
     y = found["label_of_row"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
@@ -100,10 +108,33 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str) -
     return fit(np.array(found["shape"].tolist()), y)
 
 
+def strength(inside: float, between: float) -> float:
+    """Documents that the prior counts for: the variance inside groups over that between them, from 1 to MOST."""
+    return MOST if between <= inside / MOST else max(1.0, inside / between)
+
+
+def strengths(paths: DataFrame, hosts: DataFrame) -> tuple[float, float, float]:
+    """The global prior, and the strengths of a host's and a path's prior, by moments of (s, ss, n): the sum, the sum of
+    squares and the number of the scores of each site.
+
+    With groups of n scores, mean m and N scores in all: inside = sum(ss - n m^2) / (N - groups); the variance between
+    groups is (sum of n (m - mean)^2 - (groups - 1) * inside) / (N - sum(n^2) / N); for paths, the mean, the 1 and the N of
+    the last part are those of the host."""
+    s, ss, n, k, nn, within = hosts.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).cast("double") for x in (F.col("host_s"), F.col("host_ss"), F.col("host_n"), F.lit(1), F.col("host_n").cast("double") ** 2, F.col("host_s") ** 2 / F.col("host_n"))]).first()
+    if not n:
+        return 0.5, MOST, MOST
+    inside = max(0.0, ss - within) / max(1.0, n - k)
+    of_hosts = strength(inside, (within - s * s / n - (k - 1) * inside) / max(1e-12, n - nn / n))
+    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"]))
+    p, below, rest = both.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).cast("double") for x in (F.lit(1), F.col("s") ** 2 / F.col("n"), F.col("n").cast("double") ** 2 / F.col("host_n"))]).first()
+    inside = max(0.0, ss - below) / max(1.0, n - p)
+    return s / n, of_hosts, strength(inside, (below - within - (p - k) * inside) / max(1e-12, n - rest))
+
+
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", host: str = "source", path: str = "lang") -> DataFrame:
     """key, text_hash, host, path, document_score, host_posterior, path_posterior, score, kept of every row."""
     weights = learn(docs, labels, label, text, key)
-    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
+    named = docs.select(F.col(key).alias("doc_id"), text_hash(text).alias("text_hash"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     shapes = _shapes(named, ["doc_id", "text_hash", "host", "path"], "text")
     if weights is None:
         logit = F.lit(0.0)
@@ -116,11 +147,13 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     scores = Settled(shapes.select("doc_id", "text_hash", "host", "path", F.when(F.col("shape").isNotNull(), clipped).alias("logit")), "quality").df
     scores = scores.withColumn("document_score", F.when(F.col("logit").isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.col("logit")))))
 
-    paths = scores.groupBy("host", "path").agg(F.sum("document_score").alias("s"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"))
-    every = hosts.agg((F.sum("host_s") / F.sum("host_n")).alias("prior"))  # one row
-    hosts = hosts.crossJoin(F.broadcast(every)).withColumn("host_posterior", (F.col("host_s") + HOST_WEIGHT * F.col("prior")) / (F.col("host_n") + HOST_WEIGHT)).select(F.col("host").alias("h"), "prior", "host_posterior")
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("path_posterior", (F.col("s") + PATH_WEIGHT * F.col("host_posterior")) / (F.col("n") + PATH_WEIGHT))
+    p = F.col("document_score")
+    paths = scores.groupBy("host", "path").agg(F.sum(p).alias("s"), F.sum(p * p).alias("ss"), F.count("*").alias("n"))
+    paths = Settled(paths, "sites").df
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("ss").alias("host_ss"), F.sum("n").alias("host_n"))
+    prior, host_strength, path_strength = strengths(paths, hosts)
+    hosts = hosts.select(F.col("host").alias("h"), "host_s", "host_n", ((F.col("host_s") + host_strength * prior) / (F.col("host_n") + host_strength)).alias("host_posterior"))
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("path_posterior", (F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).withColumn("prior", F.lit(prior))
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     paths = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior", (SITE_SHARE * (odds(F.col("path_posterior")) - odds(F.col("prior")))).alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_of_site"))
     salted = scores.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
@@ -134,4 +167,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """The documents, with all their columns, that ``judge`` keeps."""
     good_key, good_hash = unclashing(docs, "good_key", "good_hash")
     good = judge(docs, labels, text=text, key=key, **names).where("kept").select(F.col(key).alias(good_key), F.col("text_hash").alias(good_hash))
-    return docs.join(good, F.col(key).eqNullSafe(F.col(good_key)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(good_hash)), "left_semi")
+    return docs.join(good, F.col(key).eqNullSafe(F.col(good_key)) & (text_hash(text) == F.col(good_hash)), "left_semi")
