@@ -53,10 +53,10 @@ def test_tiling_equals_all_places():
             k = rng.randint(0, len(item))
             at = rng.randint(0, len(words))
             words[at:at] = item[k : k + rng.randint(3, 12)]
-        block = decontamination.Block([(1, item)])
-        got = {i: (c, n, m) for i, c, n, m in block.found(words, decontamination.codes(words))}
+        block = decontamination.Block([decontamination.codes(item)])
+        got = {i: (c, n, m) for i, c, n, m in block.found(decontamination.codes(words), 0.0)}
         want = greedy_tiles(words, item, min(decontamination.SEED, len(item)))
-        assert got == ({1: (sum(want), len(want), max(want))} if want else {})
+        assert got == ({0: (sum(want), len(want), max(want))} if want else {})
         some += bool(want)
     assert some > 50
 

@@ -184,3 +184,23 @@ def test_fragments_are_samples_too():
     (track,) = found["tracks"]
     assert [data[a : a + n] for a, n in track["samples"].tolist()] == frames_ and track["codec"] == "avc1" and track["sample_time"] == 160
     assert [data[a:b] for a, b in track["keyframes"]] == [b"CCC"]
+
+
+def test_a_benchmark_of_several_blocks_is_searched_in_full(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 30)
+    rng = random.Random(3)
+    items = [(k, " ".join(f"{chr(97 + k % 26)}{rng.randrange(1000)}" for _ in range(12))) for k in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after", "x") for k, t in items] + [(20, "clean", "y"), (21, None, None)], "doc_id long, text string, item string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()) == [(k, k) for k in range(9)]
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [20, 21]
+
+
+def test_a_seed_of_very_many_items_is_tiled_only_where_it_may_be_enough():
+    common = [f"c{k}" for k in range(6)]
+    items = [decontamination.codes([*common, *[f"i{k}x{j}" for j in range(14)]]) for k in range(3000)]
+    block = decontamination.Block(items)
+    words = common * 500 + [f"i7x{j}" for j in range(14)]
+    got = list(block.found(decontamination.codes(words), 0.6))
+    assert got == [(7, 20, 1, 20)]

@@ -1,21 +1,25 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become words (runs of letters and digits, lower-cased, so punctuation and line breaks don't matter). Seeds are
-runs of SEED words that a document shares with a benchmark item (all words of a shorter item). For each pair with a
-seed, the longest match of unmarked words is marked again and again (running Karp-Rabin: window hashes find the
-places, words are compared before marking) until none of SEED words is left; so a passage that was cut and put back
-in another order is still covered by its tiles. An item leaks into a document if its tiles cover at least COVERAGE
-of the item's words. An item of no words never leaks.
+Texts become words (runs of letters and digits, lower-cased, so punctuation and line breaks don't matter), known by
+64-bit hashes. Seeds are runs of SEED words (all words of a shorter item). The seeds of a document are joined with the
+sorted seeds of the benchmark; a bitmap passes most others by. The words of an item that lie in shared seeds bound what
+tiles can cover, so items that can't reach COVERAGE go before any tiling, also where a seed is in very many items.
+For each pair left, the longest match of unmarked words is marked again and again until none of SEED words is left: how
+far each shared place reaches is found with running Karp-Rabin sums, window lengths falling by halves, and cut at what is
+marked. So a passage that was cut and put back in another order is still covered by its tiles. An item leaks into a
+document if its tiles cover at least COVERAGE of the item's words. An item of no words never leaks.
 
 The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one pass over the documents for each
-block, so what is broadcast is bounded and no item is left out. Documents are handled row by row where they lie:
-nothing is shuffled by key, and frequent passages make no hot task. A row's result depends on that row alone.
+block, so what is broadcast is bounded and no item is left out; between the passes of ``drop_contaminated`` the rest is
+written to the shared folder, so a task holds one block. Documents are handled row by row where they lie: nothing is
+shuffled by key, and frequent passages make no hot task. A row's result depends on that row alone.
 
 Each row of the benchmark is an item of its own, whatever its id: items may share an id or have none.
 
 Nulls: a null text counts as empty and is never flagged; a null id is carried on. Ties between equally long
 matches: the first place in the document, then in the item. Repeated rows give repeated results. An empty benchmark
-flags nothing. Other columns pass through ``drop_contaminated`` unchanged.
+flags nothing, and an empty table gives an empty result. Other columns pass through ``drop_contaminated`` unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,46 +30,97 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tideline.llm.words import shingles
+from tideline.llm.frames import Settled, received, send
+from tideline.llm.words import _tables, shingles
 
 SEED = 5
 COVERAGE = 0.6
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 22
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], starts[i] + 1, ... of each range of ``counts[i]``, one after the other."""
+    first = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(starts - first, counts)
+
+
 class Block:
-    """The seeds of some benchmark items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int = SEED):
-        self.items = {i: w for i, w in items if w}
-        self.seed = seed
-        self.short = {i for i, w in self.items.items() if len(w) < seed}
-        places: dict[int, list[tuple[int, int]]] = {}
-        for i, w in self.items.items():
-            for k, s in enumerate(shingles(codes(w), min(seed, len(w))).tolist()):
-                places.setdefault(s, []).append((i, k))
-        self.places = places
-        self.sizes = sorted({min(seed, len(w)) for w in self.items.values()})
+    """The words and the sorted seeds of some benchmark items."""
+
+    def __init__(self, items: list[np.ndarray], seed: int = SEED):
+        self.sizes = np.array([len(w) for w in items], dtype=np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.words = np.concatenate([*items, np.zeros(0, np.uint64)]).astype(np.uint64)
+        self.least = np.minimum(self.sizes, seed)
+        self.tables = {}
         self.sieve = np.zeros(1 << _BITS, dtype=bool)
-        if places:
-            self.sieve[np.array(list(places), dtype=np.uint64) >> np.uint64(64 - _BITS)] = True
-
-    def found(self, words: list[str], hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, words covered, tiles, longest tile) for each item that shares a seed."""
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for size in self.sizes:
-            own = shingles(hashes, size)
-            for at in np.flatnonzero(self.sieve[own >> np.uint64(64 - _BITS)]).tolist():
-                for item, k in self.places.get(int(own[at]), ()):
-                    if min(self.seed, len(self.items[item])) == size:
-                        hits.setdefault(item, []).append((at, k))
-        for item, where in hits.items():
-            got = tile(words, self.items[item], where, min(self.seed, len(self.items[item])))
-            if got:
-                yield item, sum(got), len(got), max(got)
+        for size in sorted(set(self.least.tolist()) - {0}):
+            own = [i for i in range(len(items)) if self.least[i] == size]
+            seeds = [shingles(items[i], size) for i in own]
+            values = np.concatenate(seeds)
+            item = np.repeat(np.array(own, dtype=np.int32), [len(x) for x in seeds])
+            place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in seeds])
+            order = np.argsort(values, kind="stable")
+            keys, starts = np.unique(values[order], return_index=True)
+            self.tables[size] = keys, np.append(starts, len(values)), item[order], place[order]
+            self.sieve[keys >> np.uint64(64 - _BITS)] = True
+
+    def found(self, words: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int]]:
+        """(item, words covered, tiles, longest tile) for each item that leaks into the words."""
+        for size, (keys, starts, item, place) in self.tables.items():
+            own = shingles(words, size)
+            at = np.flatnonzero(self.sieve[own >> np.uint64(64 - _BITS)])
+            if not len(at):
+                continue
+            seed = np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)
+            hit = keys[seed] == own[at]
+            at, seed = at[hit], seed[hit]
+            if not len(at):
+                continue
+            shared = np.unique(seed)
+            count = starts[shared + 1] - starts[shared]
+            rows = _spread(starts[shared], count)
+            i, k, s = item[rows], place[rows], np.repeat(shared, count)
+            order = np.lexsort((k, i))
+            i, k, s = i[order], k[order], s[order]
+            reach = np.full(len(i), size)
+            reach[:-1] = np.where(i[1:] == i[:-1], np.minimum(size, k[1:] - k[:-1]), size)
+            some, first = np.unique(i, return_index=True)
+            covered = np.add.reduceat(reach, first)
+            bounds = np.append(first, len(i))
+            by_seed = np.argsort(seed, kind="stable")
+            seed, at = seed[by_seed], at[by_seed]
+            for n in np.flatnonzero(covered >= coverage * self.sizes[some]).tolist():
+                one = int(some[n])
+                mine, where = s[bounds[n] : bounds[n + 1]], k[bounds[n] : bounds[n + 1]]
+                lo, hi = np.searchsorted(seed, mine, side="left"), np.searchsorted(seed, mine, side="right")
+                got = tile(words, self.words[self.offsets[one] : self.offsets[one + 1]], at[_spread(lo, hi - lo)], np.repeat(where, hi - lo).astype(np.int64), size)
+                if got and sum(got) >= coverage * self.sizes[one]:
+                    yield one, sum(got), len(got), max(got)
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * _tables(len(words) + 1)[2][: len(words)], out=out[1:])
+    return out
+
+
+def reaches(a: np.ndarray, b: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """How many words from a[at] on equal those from b[k] on: windows of falling lengths, compared by their running sums."""
+    (one, two), down = (_sums(a), _sums(b)), _tables(max(len(a), len(b)) + 1)[3]
+    most = np.minimum(len(a) - at, len(b) - k)
+    out = np.zeros(len(at), dtype=np.int64)
+    step = 1 << int(most.max(initial=1)).bit_length()
+    while step := step // 2:
+        go = np.flatnonzero(out + step <= most)
+        x, y = at[go] + out[go], k[go] + out[go]
+        same = (one[x + step] - one[x]) * down[x] == (two[y + step] - two[y]) * down[y]
+        out[go[same]] += step
+    return out
 
 
 _CODES: dict[str, int] = {}
@@ -87,42 +142,40 @@ def codes(words: list[str]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def tile(words: list[str], item: list[str], seeds: list[tuple[int, int]], least: int) -> list[int]:
-    """Lengths of the tiles: longest common run of unmarked words first, ``seeds`` being where runs may start."""
-    free_a, free_b = set(range(len(item))), set()  # free_b holds marked places of the document
+def tile(words: np.ndarray, item: np.ndarray, at: np.ndarray, k: np.ndarray, least: int) -> list[int]:
+    """Lengths of the tiles: longest common run of unmarked words first; (at, k) are all places where runs may start."""
+    low = int(at.min())
+    at = at - low
+    order = np.lexsort((k, at))
+    at, k = at[order], k[order]
+    near = words[low : low + int(at.max()) + len(item)]
+    full = reaches(near, item, at, k)
+    next_a, next_b = np.full(len(near), len(near)), np.full(len(item), len(item))  # the first marked place from here on
     tiles: list[int] = []
     while True:
-        best, length = None, least - 1
-        for at, k in seeds:
-            if k not in free_a or at in free_b:
-                continue
-            if k and at and k - 1 in free_a and at - 1 not in free_b and item[k - 1] == words[at - 1]:
-                continue  # inside a longer run that starts earlier
-            n = 0
-            while k + n < len(item) and at + n < len(words) and k + n in free_a and at + n not in free_b and item[k + n] == words[at + n]:
-                n += 1
-            if n > length or n == length and best is not None and (at, k) < best:
-                best, length = (at, k), n
-        if best is None:
+        length = np.minimum(full, np.minimum(next_a[at] - at, next_b[k] - k))
+        best = int(length.argmax())  # the first of equal ones
+        n = int(length[best])
+        if n < least:
             return tiles
-        at, k = best
-        free_a.difference_update(range(k, k + length))
-        free_b.update(range(at, at + length))
-        tiles.append(length)
-        # what marking has shortened may start anew at its first free word: seeds of least words inside are in the list
+        for following, start in ((next_a, int(at[best])), (next_b, int(k[best]))):
+            following[start : start + n] = np.arange(start, start + n)
+            before = np.flatnonzero(following[:start] >= start)
+            following[before] = start
+        tiles.append(n)
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list[tuple[int, list[str]]], list]]:
-    """Blocks of items, numbered by their row in the block, and the ids of these rows."""
+def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list[np.ndarray], list]]:
+    """Blocks of items as hashes of words, and the ids of their rows."""
     block: list = []
     ids: list = []
     size = 0
     for row in benchmark.select(key, text).where(F.col(text).isNotNull()).toLocalIterator():
-        w = _WORD.findall(row[1].lower())
+        w = codes(_WORD.findall(row[1].lower()))
         if block and size + len(w) > BLOCK_WORDS:
             yield block, ids
             block, ids, size = [], [], 0
-        block.append((len(ids), w))
+        block.append(w)
         ids.append(row[0])
         size += len(w)
     if block:
@@ -135,10 +188,8 @@ def _matches(column, block: Block, coverage: float) -> Iterator[tuple[int, int,
         text = x.as_py()
         if not text:
             continue
-        words = _WORD.findall(text.lower())
-        for item, covered, tiles, longest in block.found(words, codes(words)):
-            if covered >= coverage * len(block.items[item]):
-                yield r, item, covered, tiles, longest
+        for item, covered, tiles, longest in block.found(codes(_WORD.findall(text.lower())), coverage):
+            yield r, item, covered, tiles, longest
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -148,16 +199,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     spark = docs.sparkSession
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {benchmark.schema[item_key].dataType.simpleString()}, item_words long, covered_words long, coverage double, tiles long, longest_tile long"
     out = spark.createDataFrame([], schema)
-    for numbered in _blocks(benchmark, item_key, item_text):
-        sent = spark.sparkContext.broadcast(numbered)
+    id_kind = to_arrow_type(benchmark.schema[item_key].dataType)
+    for items, ids in _blocks(benchmark, item_key, item_text):
+        sent = send(spark, (Block(items), ids))
 
         def run(batches, sent=sent):
-            items, ids = sent.value
-            block = Block(items)
+            block, ids = received(sent)
             for batch in batches:
-                rows = [(batch.column(0)[r].as_py(), ids[i], len(block.items[i]), c, c / len(block.items[i]), n, m) for r, i, c, n, m in _matches(batch.column(1), block, coverage)]
+                rows = [(batch.column(0)[r].as_py(), ids[i], n, c, c / n, t, m) for r, i, c, t, m in _matches(batch.column(1), block, coverage) for n in [int(block.sizes[i])]]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                kinds = [batch.column(0).type, id_kind, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, item_key, "item_words", "covered_words", "coverage", "tiles", "longest_tile"])
 
         out = out.unionByName(docs.select(key, text).mapInArrow(run, schema))
@@ -168,12 +219,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     """The documents, with all their columns, into which no benchmark item leaks."""
     import pyarrow as pa
 
+    where, before = docs.columns.index(text), None
     for items, _ in _blocks(benchmark, item_key, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-        where = docs.columns.index(text)
+        if before is not None:
+            docs = Settled(docs, "clean").df  # one block in a task at a time
+        before = sent = send(docs.sparkSession, Block(items))
 
-        def run(batches, sent=sent, where=where):
-            block = Block(sent.value)
+        def run(batches, sent=sent):
+            block = received(sent)
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for r, *_ in _matches(batch.column(where), block, coverage):
