@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -204,3 +205,19 @@ def test_a_seed_of_very_many_items_is_tiled_only_where_it_may_be_enough():
     words = common * 500 + [f"i7x{j}" for j in range(14)]
     got = list(block.found(decontamination.codes(words), 0.6))
     assert got == [(7, 20, 1, 20)]
+
+
+def test_broken_pages_take_time_by_their_length():
+    trees = html_text.train()
+    for part in ("<a ", '<a "', "<!", "<a '\"", "<div>", "<p><b>", "</i><b>", "<![CDATA[", "<math>", "</p>"):
+        began = time.time()
+        html_text.extract([part * 30_000], trees)
+        assert time.time() - began < 5, part
+
+
+def test_pages_keep_ids_and_handle_nulls_and_clashing_names(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int, depth int"
+    rows = [(1, "u", "<article><h1>Head</h1><p>A first long sentence of the article, with commas, goes on here.</p></article>", "x", 1, 2)] * 2 + [(None, None, None, None, None, None), (3, "v", "", "y", 0, 0)]
+    got = html_text.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 70), (1, 70), (3, 0)]
+    assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0

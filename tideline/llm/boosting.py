@@ -11,7 +11,7 @@ class Trees:
     def __init__(self, rounds: int = 50, depth: int = 4, rate: float = 0.25, least: float = 3.0, smooth: float = 1.0):
         self.rounds, self.depth, self.rate, self.least, self.smooth = rounds, depth, rate, least, smooth
         self.cuts: list[np.ndarray] = []
-        self.features = self.thresholds = self.leaves = np.zeros(0)
+        self.features = self.thresholds = self.leaves = self.odds = np.zeros(0)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, k], side="right") for k, c in enumerate(self.cuts)], axis=1).astype(np.int16)

@@ -7,26 +7,37 @@ belongs to the article. Decoding picks the set of nodes with the greatest sum of
 parent is kept, too (one pass from the leaves up, one down), so no choice contradicts an ancestor's or a descendant's.
 
 The trees are trained here, on PAGES pages from a seeded generator of layouts with known article nodes; no page of the
-input is used, so results don't depend on what else is in the table.
+input is used, so results don't depend on what else is in the table. What attribute tokens say is learned, too: from the
+layouts come the log-odds of hashed tokens, which the trees take as features (while they learn, each half of the pages
+with the odds of the other half) beside two counts by fixed lists, by which tokens that no layout has are known. One fit
+serves a whole process.
 
 White space inside a block becomes one space; blocks are joined in page order by one space; character references are
 decoded once. Scripts, styles, textareas and the page's title are skipped; formulas and drawings belong to the element
-around them, and the content of object, canvas, noscript, template, iframe and xmp is for the trees to judge. Nulls and empty pages give the empty text. Broken markup is read as browsers do: open elements end with
-the page, stray end tags are ignored, a tag without its end is text, an open svg or math ends at the next block tag. Any nesting depth works, as nothing recurses.
+around them, and the content of object, canvas, noscript, template, iframe and xmp is for the trees to judge.
+Broken markup: open elements end with the page, stray end tags are ignored, a tag without its end is text, an open svg or
+math ends at the next block tag. Any nesting depth works, as nothing recurses, and time grows with the page's length.
+
+Nulls and empty pages give the empty text; null ids and urls are carried on. Repeated rows give repeated results, an
+empty table an empty one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from tideline.llm.boosting import Trees
+from tideline.llm.frames import received, send
 
-PAGES = 500
+PAGES = 700
 #: HTML element names by their role.
 BLOCKS = "html body div section article main nav aside header footer p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre form fieldset figure figcaption address details summary dialog menu center button select option label hgroup search xmp".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,19 +53,46 @@ AGAINST = "ad ads advert advertisement sponsor sponsored promo promotion banner
 FOR = "article content post entry story text body main page prose copy detail".split()
 _ACT = {t: k for k, t in enumerate(BLOCKS)}
 _AGAINST, _FOR = frozenset(AGAINST), frozenset(FOR)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TOKENS = 4096
+#: A comment, a marked section, a declaration, or the start of a tag: its slash and its name.
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*")
 GROUPS = {"nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "button": 5, "select": 5, "option": 5, "label": 5, "fieldset": 5, "dialog": 5, "search": 5, "article": 6, "main": 7, "p": 8, "blockquote": 9, "pre": 9, "xmp": 9, **dict.fromkeys(EMBEDDED, 14), "ul": 10, "ol": 10, "li": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "section": 13, "div": 14, "h1": 15, "h2": 16, "h3": 16, "h4": 16, "h5": 16, "h6": 16, "body": 17, "html": 17}
 
 
+class _Ends:
+    """Where tags end: at the first ``>`` outside quotes. Places from which a search has run to the page's end are kept, so
+    that no part is searched again in the same state."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def find(self, at: int) -> int:
+        passed = [at]
+        while at not in self.dead and at <= self.last[">"]:
+            m = _STOP.search(self.page, at)
+            if m[0] == ">":
+                return m.start()
+            if m.start() == self.last[m[0]]:
+                break
+            at = self.page.find(m[0], m.end()) + 1
+            passed.append(at)
+        self.dead.update(passed)
+        return -1
+
+
 def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
-    """Nodes (parent, tag, marks against, marks for, hidden) and segments (node, text, or None for a block's edge)."""
-    nodes: list[tuple] = [(-1, "html", 0, 0, 0)]
+    """Nodes (parent, tag, marks against, marks for, hidden, attribute tokens) and segments (node, text, or None for a
+    block's edge)."""
+    nodes: list[tuple] = [(-1, "html", 0, 0, 0, ())]
     segments: list[tuple[int, str | None, bool]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # (tag, node); inline elements have the node around them
-    links = 0
+    open_: Counter = Counter()  # elements of each name in the stack
+    ends, links = _Ends(page), 0
     at, n = 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -66,30 +104,41 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
         nonlocal links
         while len(stack) > k:
             tag, _ = stack.pop()
+            open_[tag] -= 1
             links -= tag == "a"
             if tag in _ACT:
                 segments.append((0, None, False))
 
+    said = 0  # the text before is in segments
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
-            text(at, n)
             break
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                segments.append((stack[-1][1], m[0][9:].removesuffix("]]>"), links > 0))
+        stop = m.end()
+        if m[3] is not None or m.end() - m.start() == 2:
+            stop = (ends.find(m.end()) if m[3] is not None else page.find(">", m.end()) if m.end() <= ends.last[">"] else -1) + 1
+            if not stop:  # no tag
+                at = m.end()
+                continue
+        text(said, m.start())
+        at = said = stop
+        if m[3] is None:
+            if m[1] is not None:
+                segments.append((stack[-1][1], m[1], links > 0))
             continue
-        tag = m[2].lower()
-        if tag in _ACT:
+        tag, rest = m[3].lower(), page[m.end() : stop - 1]
+        if tag in _ACT and (open_["svg"] or open_["math"]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in FOREIGN:
                     close(k)
                     break
                 if stack[k][0] in GUESTS or stack[k][0] in _ACT:
                     break
-        if m[1]:
+        if m[2] and not open_[tag]:
+            if tag == "br" or tag == "p":
+                segments.append((0, None, False))
+            continue
+        if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -101,23 +150,21 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
                 if tag == "br" or tag == "p":
                     segments.append((0, None, False))
             continue
-        if tag in RAW and not (tag == "title" and any(t in FOREIGN for t, _ in stack)):
-            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at) if not m[3].endswith("/") else None
-            if end:
-                stop = page.find(">", end.end())
-                at = n if stop < 0 else stop + 1
-            elif not m[3].endswith("/"):
-                at = n
+        if tag in RAW and not (tag == "title" and (open_["svg"] or open_["math"])):
+            if not rest.endswith("/"):
+                end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+                stop = page.find(">", end.end()) if end else -1
+                at = said = n if stop < 0 else stop + 1
             continue
-        if tag == "head" or tag in ("html", "body") and any(t == tag for t, _ in stack) and tag != "body":
+        if tag == "head" or tag == "html":
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                if tag == "hr":
+                if tag == "hr" and open_["p"]:
                     _end_p(stack, close)
                 segments.append((0, None, False))
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"]:
             _end_p(stack, close)
         if tag in SAME:
             for k in range(len(stack) - 1, 0, -1):
@@ -127,27 +174,30 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
                 if stack[k][0] in SCOPES and stack[k][0] not in SAME[tag]:
                     break
         against = kept = 0
-        hidden = bool(m[3]) and _HIDDEN.search(m[3]) is not None
-        named = _ATTRIBUTE.findall(m[3]) if m[3] else ()
-        for _, a, b, c in named:
+        hidden = bool(rest) and _HIDDEN.search(rest) is not None
+        tokens: set = set()
+        for _, a, b, c in _ATTRIBUTE.findall(rest) if rest else ():
             parts = {x.lower() for x in _PART.findall(a or b or c)}
             against += len(parts & _AGAINST)
             kept += len(parts & _FOR)
+            tokens |= {zlib.crc32(x.encode()) % _TOKENS for x in parts}
         node = stack[-1][1]
         if tag in _ACT or tag in EMBEDDED or against or kept or hidden:
-            nodes.append((node, tag, against, kept, int(hidden)))
+            nodes.append((node, tag, against, kept, int(hidden), tuple(sorted(tokens))))
             node = len(nodes) - 1
         if tag in _ACT:
             segments.append((0, None, False))
-        if m[3].endswith("/") and tag not in _ACT:
+        if rest.endswith("/") and tag not in _ACT:
             continue
         links += tag == "a"
         stack.append((tag, node))
+        open_[tag] += 1
         if tag == "xmp":  # its content is text, tags and references included
             end = re.compile("</xmp", re.I).search(page, at)
             stop = end.start() if end else n
             segments.append((node, page[at:stop], links > 0))
-            at = stop
+            at = said = stop
+    text(said, n)
     return nodes, segments
 
 
@@ -160,15 +210,26 @@ def _end_p(stack, close) -> None:
             return
 
 
-def features(pages: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the nodes of all pages, their parents, depths and pages."""
-    parent, page, tag, marks, own, link, commas, words = [], [], [], [], [], [], [], []
+def _layers(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth from 1 on."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:] if len(depth) else []
+
+
+def features(pages: list[tuple[list, list]], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the nodes of all pages, their parents, depths and pages; ``odds``: log-odds of hashed attribute tokens."""
+    parent, page, tag, marks, own, link, commas, words, level, said = [], [], [], [], [], [], [], [], [], []
     for i, (nodes, segments) in enumerate(pages):
         base = len(parent)
         parent += [x[0] + base if x[0] >= 0 else -1 for x in nodes]
         page += [i] * len(nodes)
         tag += [GROUPS.get(x[1], 0) for x in nodes]
-        marks += [x[2:] for x in nodes]
+        marks += [x[2:5] for x in nodes]
+        said += [float(odds[list(x[5])].sum()) if x[5] else 0.0 for x in nodes]
+        depths = [0] * len(nodes)  # parents come before their children
+        for i_, x in enumerate(nodes):
+            depths[i_] = depths[x[0]] + 1 if x[0] >= 0 else 0
+        level += depths
         o, k, c, w = ([0] * len(nodes) for _ in range(4))
         for at, s, linked in segments:
             if s is not None and not s.isspace():
@@ -184,18 +245,13 @@ def features(pages: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray, np
     marks, n = np.array(marks, dtype=float).reshape(-1, 3), len(parent)
     own, link, commas, words = (np.array(x, dtype=float) for x in (own, link, commas, words))
     up = np.maximum(parent, 0)
-    depth = np.zeros(n, dtype=np.int64)
-    level = np.flatnonzero(parent >= 0)  # parents come before their children: deepen until nothing changes
-    while len(level):
-        new = depth[parent[level]] + 1
-        level = level[new != depth[level]]
-        depth[level] = depth[parent[level]] + 1
-    layers = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    depth, said = np.array(level, dtype=np.int64), np.array(said, dtype=float)
+    layers = _layers(depth)
     sums = np.stack([own, link, commas, words, np.ones(n), (tag == 8) * 1.0, (tag == 11) * 1.0, (tag == 15) * 1.0, marks[:, 0] * 1.0, (tag == 6) * 1.0], axis=1)
     for layer in reversed(layers):
         np.add.at(sums, parent[layer], sums[layer])
-    above = np.zeros((n, 8))  # ancestors: against, for, hidden, nav or header or footer or aside, form, article or main, list, table
-    mine = np.stack([marks[:, 0], marks[:, 1], marks[:, 2], (tag >= 1) & (tag <= 4), tag == 5, (tag == 6) | (tag == 7), tag == 10, tag == 12], axis=1).astype(float)
+    above = np.zeros((n, 9))  # ancestors: against, for, hidden, nav or header or footer or aside, form, article or main, list, table, odds of tokens
+    mine = np.stack([marks[:, 0], marks[:, 1], marks[:, 2], (tag >= 1) & (tag <= 4), tag == 5, (tag == 6) | (tag == 7), tag == 10, tag == 12, said], axis=1).astype(float)
     for layer in layers:
         above[layer] = above[parent[layer]] + mine[parent[layer]]
     root = np.maximum.accumulate(np.where(parent < 0, np.arange(n), 0)) if n else up
@@ -208,7 +264,7 @@ def features(pages: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray, np
     alike = np.bincount(same)[same] if n else own
     total = np.maximum(sums[:, 0], 1)
     cols = [
-        tag, marks[:, 0], marks[:, 1], marks[:, 2], *above.T, depth, np.log1p(own), np.log1p(sums[:, 0]), sums[:, 1] / total, link / np.maximum(own, 1), np.log1p(sums[:, 2]), sums[:, 2] / np.maximum(sums[:, 3], 1),
+        tag, marks[:, 0], marks[:, 1], marks[:, 2], said, *above.T, depth, np.log1p(own), np.log1p(sums[:, 0]), sums[:, 1] / total, link / np.maximum(own, 1), np.log1p(sums[:, 2]), sums[:, 2] / np.maximum(sums[:, 3], 1),
         np.log1p(sums[:, 3]), np.log1p(sums[:, 4]), sums[:, 0] / sums[:, 4], sums[:, 5], sums[:, 6] / sums[:, 4], sums[:, 7], sums[:, 8] / sums[:, 4], sums[:, 9],
         siblings[up], place / np.maximum(siblings[up], 1), alike, sums[:, 0] / total[up], sums[:, 0] / total[root], (np.arange(n) - root) / sums[root, 4],
     ]
@@ -218,7 +274,7 @@ def features(pages: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray, np
 def decode(logit: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The kept nodes: the closed set under parents with the greatest sum; roots are kept for free."""
     best = np.where(parent < 0, 0.0, logit)
-    layers = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    layers = _layers(depth)
     for layer in reversed(layers):
         np.add.at(best, parent[layer], np.maximum(best[layer], 0))
     keep = parent < 0
@@ -283,8 +339,9 @@ def _layout(rng: random.Random) -> tuple[str, list[str]]:
     return page
 
 
+@functools.cache
 def train() -> Trees:
-    """Trees from PAGES generated pages; the same each time."""
+    """Trees from PAGES generated pages, with the odds of attribute tokens; the same each time, fitted once a process."""
     rng = random.Random(7)
     pages = [parse(_layout(rng)) for _ in range(PAGES)]
     good = []
@@ -296,14 +353,24 @@ def train() -> Trees:
                     y[at] = 1
                     at = nodes[at][0]
         good.append(y)
-    return Trees().fit(features(pages)[0], np.concatenate(good))
+    half = PAGES // 2
+    seen = np.zeros((2, 2, _TOKENS))
+    for i, (nodes, _) in enumerate(pages):
+        for x, kind in zip(nodes, good[i], strict=True):
+            for token in x[5]:
+                seen[i // half, int(kind), token] += 1
+    odds = lambda n: np.log((n[1] + 0.5) / (n[0] + 0.5))
+    x = [features(own, odds(seen[1 - k]))[0] for k, own in enumerate((pages[:half], pages[half:]))]
+    trees = Trees().fit(np.concatenate(x), np.concatenate(good))
+    trees.odds = odds(seen.sum(0))
+    return trees
 
 
 def extract(pages: list[str], trees: Trees) -> list[str]:
     parsed = [parse(p) for p in pages]
     if not parsed:
         return []
-    x, parent, depth, page = features(parsed)
+    x, parent, depth, page = features(parsed, trees.odds)
     keep = decode(trees.logits(x), parent, depth)
     first = np.searchsorted(page, np.arange(len(pages) + 1))
     return [join_blocks(segments, keep[first[i] : first[i + 1]]) for i, (_, segments) in enumerate(parsed)]
@@ -313,9 +380,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     """key, url, text, n_chars of every page."""
     import pyarrow as pa
 
-    sent = pages.sparkSession.sparkContext.broadcast(train())  # some kilobytes
+    sent = send(pages.sparkSession, train())  # some kilobytes
 
     def run(batches):
+        trees = received(sent)
         for batch in batches:
             k = 0
             while k < batch.num_rows:  # parts of at most 2 MB, or one page
@@ -324,7 +392,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
                     size += len(batch.column(2)[end].as_buffer() or b"") if batch.column(2)[end].is_valid else 0
                     end += 1
                 part = batch.slice(k, end - k)
-                texts = extract([x or "" for x in part.column(2).to_pylist()], sent.value)
+                texts = extract([x or "" for x in part.column(2).to_pylist()], trees)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
                 k = end
 
