@@ -157,11 +157,21 @@ def test_token_counts_follow_edits(docs, nothing):
             a, n = rng.randint(0, len(d.text) + 1), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 9, 200])))
             b = a + rng.choice([0, 1, 50])
             want = d.text[:a] + n + d.text[b:]
+            if rng.random() < 0.5:  # kept and taken up again
+                d = token_counts.Document(d.text, counter, d.tree.packed())
             d.edit(a, b, n)
             parts = counter.split(want)
             assert d.text == want and d.tree.total.tolist() == [len(want), len(parts), len(counter.encoding.encode_ordinary(want))]
     assert token_counts.count_tokens(docs, edit_script()).count() == docs.count()
     assert token_counts.count_tokens(nothing[0]).count() == 0
+    stored = token_counts.build_trees(docs)
+    once = token_counts.apply_edits(stored, edit_script())
+    twice = token_counts.apply_edits(once.select("doc_id", "text", "tree"), F.array(F.struct(F.lit(0).alias("first"), F.lit(1).alias("last"), F.lit("Xy ").alias("text"))))
+    for r in twice.collect():  # the tree of the tree's edits counts as the text itself does
+        parts = counter.split(r["text"])
+        assert r["text"][:3] == "Xy " and [r["n_chars_after"], r["n_pretokens_after"], r["n_tokens_after"]] == [len(r["text"]), len(parts), len(counter.encoding.encode_ordinary(r["text"]))]
+    long = once.where("n_pretokens > 10000").first()
+    assert long["n_reencoded"] < 100
 
 
 def test_mixing_fills_and_redistributes(docs, nothing, spark):

@@ -218,6 +218,7 @@ def test_broken_pages_take_time_by_their_length():
 def test_pages_keep_ids_and_handle_nulls_and_clashing_names(spark):
     schema = "page_id long, url string, html string, text string, n_chars int, depth int"
     rows = [(1, "u", "<article><h1>Head</h1><p>A first long sentence of the article, with commas, goes on here.</p></article>", "x", 1, 2)] * 2 + [(None, None, None, None, None, None), (3, "v", "", "y", 0, 0)]
+    n = len("Head A first long sentence of the article, with commas, goes on here.")
     got = html_text.main_text(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 70), (1, 70), (3, 0)]
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, n), (1, n), (3, 0)]
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
