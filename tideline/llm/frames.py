@@ -104,6 +104,14 @@ def crc_mod(column: str, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def buckets_for(rows: int, least: int, most: int, each: int = 50_000) -> int:
+    """A power of two from ``least`` to ``most``: the buckets in which ``rows`` rows are about ``each``."""
+    n = least
+    while n < most and rows > n * each:
+        n *= 2
+    return n
+
+
 class Spread:
     """Equi-joins whose left side has hot keys: rows of a key with more than a thousandth of all rows (so at most 1,000
     keys, which are broadcast) are dealt over parts by a salt, and the right side's row is copied to each part."""
@@ -117,6 +125,10 @@ class Spread:
         total = (df.count() if count is None else df.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0])
         limit = max(self.LEAST, total // self.SHARE)
         hot = counts.where(F.col("rows_of_key") > limit).select(*keys, F.ceil(F.col("rows_of_key") / limit).cast("int").alias("parts"))
+        # at most SHARE keys: a filter of a written table where they are counted already, else collected once
+        if count is not None:
+            self.hot = None if hot.isEmpty() else hot
+            return
         rows = hot.collect()
         self.hot = df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 

@@ -8,7 +8,8 @@ exact: children by rising capacity per weight, running sums of capacities and we
 
 A leaf's target is met from seeded epochs: target div tokens whole epochs, then from the next epoch, in the order of
 md5(seed, epoch, id), the documents whose middle token lies before what is left of the target. Running sums in a leaf
-are taken per bucket of that hash (BUCKETS a leaf), after the buckets' totals, so a hot leaf is spread over all tasks.
+are taken per bucket of that hash, after the buckets' totals; the buckets of a leaf, BUCKETS at least, grow with the
+largest leaf, and hot leaves meet their targets in parts, so a hot leaf is spread over all tasks.
 
 A document is all rows of one id in one leaf. Tokens are words ([^\\x20\\x09-\\x0D]+); a document without words takes no
 tokens and comes with its place in the order. Nulls: null languages, sources and ids are values of their own; a null text
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import Settled, hashed, unclashing
+from tideline.llm.frames import Settled, Spread, buckets_for, hashed, unclashing
 
-SEED, EPOCHS, BUCKETS, DEFAULT_WEIGHT = "mix-1", 2, 256, 1
+SEED, EPOCHS, BUCKETS, DEFAULT_WEIGHT = "mix-1", 2, (256, 1 << 16), 1
 LEVELS = ("domain", "lang", "source")
 
 
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, share: float, weights: DataFrame | None = None, epochs:
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("")).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), _tokens(F.col(text)).alias("tokens"))
     # the text is read once: later steps read these narrow rows
     units = Settled(rows.groupBy("doc_id", *LEVELS).agg(F.sum("tokens").alias("tokens")), "units").df
-    leaves = units.groupBy(*LEVELS).agg(F.sum("tokens").alias("leaf_tokens"))
+    leaves = units.groupBy(*LEVELS).agg(F.sum("tokens").alias("leaf_tokens"), F.count("*").alias("leaf_docs"))
     if weights is None:
         leaves = leaves.withColumn("weight", F.lit(DEFAULT_WEIGHT).cast("long"))
     else:
@@ -91,10 +92,10 @@ def mix(docs: DataFrame, share: float, weights: DataFrame | None = None, epochs:
     budget = F.expr(f"(c div {epochs}) * {permille} div 1000")
     targets = allocate(leaves, budget).join(leaves.select(*LEVELS, "leaf_tokens"), list(LEVELS))
     targets = targets.withColumn("whole", F.expr("CASE WHEN leaf_tokens = 0 THEN 0 ELSE target div leaf_tokens END")).withColumn("left_over", F.col("target") - F.col("whole") * F.col("leaf_tokens"))
-    targets = Settled(targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))), "targets").df
-    # the leaf's row meets its documents in BUCKETS parts
-    salted = units.withColumn("salt", (hashed("doc_id") % BUCKETS).cast("int")).join(targets, [*LEVELS, "salt"])
-    salted = salted.withColumn("place", hashed(F.lit(seed), F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.expr(f"place * {BUCKETS} div 4294967296"))
+    targets = Settled(targets, "targets").df
+    buckets = buckets_for(leaves.agg(F.coalesce(F.max("leaf_docs"), F.lit(0))).first()[0], *BUCKETS)
+    salted = Spread(leaves, list(LEVELS), "leaf_docs").join(units, targets, "doc_id")
+    salted = salted.withColumn("place", hashed(F.lit(seed), F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.expr(f"place * {buckets} div 4294967296"))
     placed = Settled(salted.select("doc_id", *LEVELS, "tokens", "target", "whole", "left_over", "place", "bucket"), "placed").df
     sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
     sums = sums.select(*LEVELS, "bucket", F.coalesce(F.sum("bucket_tokens").over(W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))

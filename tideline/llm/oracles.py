@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm.sharding import BUCKETS, GROUP_SHARE, SALTS
+from tideline.llm.sharding import GROUP_SHARE, SALTS
 
 #: The remainder table of the CRC-32 polynomial for half bytes (fixed values of the standard).
 _CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
@@ -35,7 +35,7 @@ def _fill(parents: str, children: str, keys: list[str], above: list[str]) -> str
 _H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 OP7 = f"""WITH u AS (SELECT doc_id, 'domain' || {_H.format("coalesce(source, '')")} % 4 AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   sum(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)) AS tokens FROM documents GROUP BY ALL),
-n3 AS (SELECT domain, lang, source, sum(tokens) AS leaf_tokens, 2 * sum(tokens) AS capacity, 1 AS weight FROM u GROUP BY ALL),
+n3 AS (SELECT domain, lang, source, sum(tokens) AS leaf_tokens, 2 * sum(tokens) AS capacity, 1 + {_H.format("'weight|' || lang || '|' || source")} % 5 AS weight FROM u GROUP BY domain, lang, source),
 n2 AS (SELECT domain, lang, sum(capacity) AS capacity, sum(weight) AS weight FROM n3 GROUP BY ALL),
 n1 AS (SELECT domain, sum(capacity) AS capacity, sum(weight) AS weight FROM n2 GROUP BY ALL),
 p0 AS (SELECT sum(capacity) // 2 * 750 // 1000 AS budget FROM n1),

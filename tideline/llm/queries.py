@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontamination, html_text, language_model, media, mixing, neardup, pulearning, quality, sharding, token_counts
-from tideline.llm.frames import table
+from tideline.llm.frames import hashed, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), edit_script())
 
 
+def target_weights(docs: DataFrame) -> DataFrame:
+    """The table of target weights: 1 to 5 for each domain, language and source, by a hash of the last two."""
+    leaves = docs.select(mixing.domain_of(F.col("source")).alias("domain"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    return leaves.withColumn("weight", 1 + hashed(F.lit("weight"), "lang", "source") % 5)
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), share=0.75)
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, share=0.75, weights=target_weights(docs))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

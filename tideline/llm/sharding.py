@@ -1,12 +1,14 @@
 """Sharding by global byte-size prefix sums [native: DataFrame functions only].
 
 Every row has the size octet_length(text) + 1 (null text: 1). Rows are laid out in one global order: by the
-sha-256 of the text, then a salt of the id, then the id. Bucket totals (BUCKETS ranges of the hash) give each
+sha-256 of the text, then a salt of the id, then the id. Bucket totals (ranges of the hash, some 50,000 rows each,
+BUCKETS[0] to BUCKETS[1] of them, so what is broadcast has a bound) give each
 bucket its global byte offset; running sums inside a bucket give each row its own. The line of bytes is cut at
 equal targets, and a row goes where its middle lies, so shards are contiguous and differ by about one row.
 
 Equal texts are neighbours. Their group stays in one shard if it has at most GROUP_SHARE of a shard's target or
-no more bytes than the largest row has; larger groups are cut like the rest. Hot groups never meet in one task:
+no more bytes than the largest row has (GROUP_SHARE is a parameter of the law, the same at every size); larger groups
+are cut like the rest. Hot groups never meet in one task:
 running numbers are taken per (text, salt), and only one row per (text, salt) enters the sums.
 
 Nulls: a null text counts as empty, a null id sorts first. Repeated rows are rows of their own. An empty table
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import Settled, hashed
+from tideline.llm.frames import Settled, buckets_for, hashed
 
-BUCKETS = 1024
+BUCKETS = 1024, 1 << 20
 SALTS = 64
 GROUP_SHARE = 0.02
 
@@ -37,11 +39,12 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text", key: str
         (hashed(key) % SALTS).alias("salt"),
     )
     rows = Settled(rows, "sizes").df
+    buckets = buckets_for(rows.count(), *BUCKETS)
     group = ["text_sha256", "salt"]
     units = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("size").alias("size"))
     units = units.select(*group, "size", "n", (F.col("size") * F.col("n")).alias("unit_bytes"), F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long").alias("h"))
-    units = units.withColumn("bucket", F.expr(f"h * {BUCKETS} div 4294967296"))
-    # one row per bucket: BUCKETS rows at most meet in one task and are sent to all
+    units = units.withColumn("bucket", F.expr(f"h * {buckets} div 4294967296"))
+    # one row per bucket: BUCKETS[1] rows at most meet in one task and are sent to all
     totals = units.groupBy("bucket").agg(F.sum("unit_bytes").alias("b"), F.sum("n").alias("c"), F.max("size").alias("m"))
     before, everything = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     totals = totals.select(
