@@ -266,11 +266,17 @@ PAGE = "<html><body><nav><p>Navigation text here</p></nav><main><h2>The heading
 
 
 def test_page_text(spark):
-    assert pages.paragraphs(PAGE) == [("P0001", "The heading line", "The heading line"), ("P0002", "The heading line", "A paragraph & more text"), ("P0003", "The heading line", "Item that is nested inside"), ("P0004", "The heading line", "cell one text two")]
-    assert pages.paragraphs("") == [] and pages.paragraphs("plain text without any markup") == []
-    assert pages.visible_lines("<div>a  b<style>x{}</style><p>c &lt; d<br>e</div>\n\n f") == "a b\nc < de\nf"
-    df = spark.createDataFrame([(1, PAGE), (2, None)], "page_id int, html string")
-    assert pages.page_lines(df).where("text = ''").count() == 1 and pages.page_paragraphs(df).count() == 4
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "plain text without any markup"), (5, "<div>a  b<style>x{}</style><p>c &lt; d<br>e</div>\n\n f")], "page_id int, html string")
+    assert sorted(tuple(r) for r in pages.page_paragraphs(df).collect()) == [(1, "P0001", "The heading line", "The heading line"), (1, "P0002", "The heading line", "A paragraph & more text"), (1, "P0003", "The heading line", "Item that is nested inside"), (1, "P0004", "The heading line", "cell one text two")]
+    lines = {r["page_id"]: r["text"] for r in pages.page_lines(df).collect()}
+    assert lines[2] == lines[3] == "" and lines[4] == "plain text without any markup" and lines[5] == "a b\nc < de\nf"
+
+
+def test_paragraphs_of_the_first_region_and_with_their_last_heading(spark):
+    page = """<body><p>Not in the region at all</p><div role=main><article><h2>Head</h2><p>First paragraph of it<p>Second paragraph of it
+    <ul><li>An item with <b>bold</b> words<li>Another item here</ul></i><h3></h3><p>After an empty heading</p></article></div><article><p>In the second article</p></article>"""
+    got = [tuple(r)[1:] for r in pages.page_paragraphs(spark.createDataFrame([(1, page)], "page_id int, html string")).orderBy("paragraph_id").collect()]
+    assert got == [("P0001", "Head", "First paragraph of it"), ("P0002", "Head", "Second paragraph of it An item with bold words Another item here"), ("P0003", "Head", "An item with bold words"), ("P0004", "Head", "Another item here"), ("P0005", "", "After an empty heading")]
 
 
 class Letters:

@@ -1,135 +1,121 @@
-"""Text of web pages by fixed rules: visible lines, and paragraphs with their headings. Parsed in Arrow batches, since
-markup needs a parser with a state."""
+"""Text of web pages by fixed rules: visible lines, and paragraphs with their headings.
+
+One pass of a tokeniser (Python, since markup needs a state) turns a page into rows: each start tag and each piece of text
+with the path of the elements it lies in. All rules are expressions over these rows. An element ends with its end tag, with
+that of an element around it, or with the page; stray end tags are ignored; void elements are none.
+"""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Elements by their role (fixed values).
-UNSEEN, LINES = {"script", "style", "noscript"}, {"p", "li", "h1", "h2", "h3", "h4", "tr", "div"}
-DROPPED, PARTS = {"script", "style", "nav", "footer", "header", "form", "aside"}, {"h1", "h2", "h3", "h4", "p", "li", "tr"}
-SHORTEST = 12
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements by their role, the least characters of a paragraph, and the format of its id (fixed values).
+UNSEEN, LINES = ("script", "style", "noscript"), ("p", "li", "h1", "h2", "h3", "h4", "tr", "div")
+DROPPED, PARTS = ("script", "style", "nav", "footer", "header", "form", "aside"), ("h1", "h2", "h3", "h4", "p", "li", "tr")
+REGIONS = ("main", "article", "role", "body")
+SHORTEST, NUMBERED = 12, "P%04d"
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Line ends and white space as Unicode has them.
+_BREAK, _BLANK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]", r"(?U)[\s\x1C-\x1F]+"
+EVENTS = "n int, path array<struct<tag: string, node: int, main: boolean>>, text string"
 
 
-class _Lines(HTMLParser):
-    def __init__(self):
+class _Walk(HTMLParser):
+    def __init__(self, page: str):
         super().__init__()
-        self.out: list[str] = []
-        self.unseen = 0
+        self.path: list[dict] = []
+        self.rows: list[tuple] = []
+        self.feed(page)
+        self.close()
+
+    def note(self, text: str | None) -> None:
+        self.rows.append((len(self.rows), list(self.path), text))
+
+    def cut(self, tag: str, deepest: int = 0) -> None:
+        """Ends the innermost element of that name, and all inside it, unless it lies ``deepest`` or less deep."""
+        for k in range(len(self.path) - 1, deepest - 1, -1):
+            if self.path[k]["tag"] == tag:
+                del self.path[k:]
+                return
 
     def handle_starttag(self, tag, attrs):
-        self.unseen += tag in UNSEEN
-        if tag in LINES:
-            self.out.append("\n")
+        if tag in VOID:
+            return
+        if tag == "p":
+            self.cut(tag)
+        elif tag in ("li", "tr"):
+            self.cut(tag, len(self.path) - 1 if self.path else 0)
+        self.path.append({"tag": tag, "node": len(self.rows), "main": ("role", "main") in attrs})
+        self.note(None)
 
     def handle_endtag(self, tag):
-        self.unseen = max(0, self.unseen - (tag in UNSEEN))
+        self.cut(tag)
 
     def handle_data(self, data):
-        if not self.unseen:
-            self.out.append(data)
+        self.note(data)
 
 
-def visible_lines(page: str) -> str:
-    """Lines at block elements, without hidden elements, white space collapsed, empty lines left out."""
-    parser = _Lines()
-    parser.feed(page)
-    parser.close()
-    lines = (" ".join(x.split()) for x in "".join(parser.out).splitlines())
-    return "\n".join(x for x in lines if x)
+def events(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, n, path, text): the start tags (text null, path with the element itself) and texts of a page in order, after a
+    first row with an empty path and text."""
 
+    def run(batches):
+        import pyarrow as pa
 
-class _Tree(HTMLParser):
-    """Collects parts with the region (main, article, role=main, body) they are in."""
+        kinds = [pa.int32(), pa.list_(pa.struct([("tag", pa.string()), ("node", pa.int32()), ("main", pa.bool_())])), pa.string()]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = [(-1, [], ""), *_Walk(batch.column(1)[k].as_py() or "").rows]
+                own = [batch.column(0)[k].as_py()] * len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(own, batch.column(0).type), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], [key, "n", "path", "text"])
 
-    def __init__(self):
-        super().__init__()
-        self.stack: list[str] = []
-        self.open: list[int] = []  # parts that are open, by their number
-        self.parts: list[tuple[str, list[str], frozenset[str]]] = []
-        self.seen: list[str] = []
-        self.regions: list[tuple[str, int, int]] = []  # kind, which of its kind, depth
+    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, {EVENTS}")
 
-    def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            return
-        if tag == "p" and "p" in self.stack:
-            self.handle_endtag("p")
-        if tag in ("li", "tr") and self.stack and self.stack[-1] == tag:
-            self.handle_endtag(tag)
-        self.stack.append(tag)
-        kinds = [tag] * (tag in ("main", "article", "body")) + ["role"] * (dict(attrs).get("role") == "main")
-        for k in kinds:
-            self.regions.append((k, self.seen.count(k), len(self.stack)))
-            self.seen.append(k)
-        dropped = any(t in DROPPED for t in self.stack)
-        inside = any(t in ("li", "tr") for t in self.stack[:-1])
-        if tag in PARTS and not dropped and not inside:
-            self.parts.append((tag, [], frozenset(k for k, n, _ in self.regions if n == 0)))
-            self.open.append(len(self.parts) - 1)
-        else:
-            self.open.append(-1)
 
-    def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack:
-                last = self.stack.pop()
-                self.open.pop()
-                self.regions = [r for r in self.regions if r[2] <= len(self.stack)]
-                if last == tag:
-                    return
-
-    def handle_data(self, data):
-        if data.strip() and not any(t in DROPPED for t in self.stack):
-            for k in self.open:
-                if k >= 0:
-                    self.parts[k][1].append(data.strip())
-
-
-def paragraphs(page: str) -> list[tuple[str, str, str]]:
-    """(id, running heading, text) of the first main, article, role=main or body: headings, paragraphs, items and rows of at
-    least SHORTEST characters, each text once."""
-    tree = _Tree()
-    tree.feed(page)
-    tree.close()
-    region = next((k for k in ("main", "article", "role", "body") if k in tree.seen), None)
-    out, seen, heading = [], set(), ""
-    for tag, texts, regions in tree.parts:
-        if region not in regions:
-            continue
-        text = " ".join(" ".join(texts).split())
-        if tag.startswith("h"):
-            heading = text
-        if len(text) >= SHORTEST and text not in seen:
-            seen.add(text)
-            out.append((f"P{len(out) + 1:04d}", heading, text))
-    return out
+def _within(names: tuple[str, ...], path="path") -> Column:
+    return F.exists(path, lambda x: x["tag"].isin(*names))
 
 
-def page_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, text); a null page has the empty text."""
+def _collapsed(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, _BLANK, " "))
 
-    def run(frames):
-        for f in frames:
-            yield f[[key]].assign(text=[visible_lines(x or "") for x in f[html]])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
+def page_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, text): lines at block elements, without hidden elements, white space collapsed, empty lines left out; a null
+    page has the empty text. A key names one page."""
+    starts = F.col("text").isNull() & F.element_at("path", -1)["tag"].isin(*LINES)
+    piece = F.when(starts, "\n").when(_within(UNSEEN), "").otherwise(F.coalesce("text", F.lit("")))
+    rows = events(pages, key, html).select(key, F.struct("n", piece.alias("piece")).alias("e"))
+    whole = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["piece"]), "").alias("t"))
+    lines = F.filter(F.transform(F.split("t", _BREAK), _collapsed), lambda x: x != "")
+    return whole.select(key, F.array_join(lines, "\n").alias("text"))
 
 
 def page_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, paragraph_id, heading, text) of all pages."""
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            yield pd.DataFrame([(k, *p) for k, x in zip(f[key], f[html]) for p in paragraphs(x or "")], columns=[key, "paragraph_id", "heading", "text"])
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, paragraph_id string, heading string, text string")
+    """(key, paragraph_id, heading, text): headings, paragraphs, items and rows of at least SHORTEST characters in the first
+    main, article, role=main or body element of a page, each text once, with the last heading so far."""
+    rows = events(pages, key, html)
+    # the region: of the first kind there is, its first element
+    kind = lambda x: F.when(x["tag"].isin("main", "article", "body"), x["tag"]).when(x["main"], "role")
+    last = F.element_at("path", -1)
+    found = rows.where(F.col("text").isNull()).select(key, F.explode(F.array_compact(F.array(kind(last), F.when(last["main"], "role")))).alias("kind"), last["node"].alias("node"))
+    region = found.groupBy(key).agg(F.min(F.struct(F.array_position(F.lit(list(REGIONS)), F.col("kind")).alias("place"), "node"))["node"].alias("region"))
+    # the elements that a text counts for: parts that don't lie in an item or a row
+    place = lambda x: F.array_position(F.transform("path", lambda y: y["node"]), x["node"]).cast("int")
+    part = lambda x: x["tag"].isin(*PARTS) & ~_within(("li", "tr"), F.slice("path", 1, place(x) - 1))
+    inside = rows.join(region.withColumnRenamed(key, "page_of"), F.col(key) == F.col("page_of")).where(F.exists("path", lambda x: x["node"] == F.col("region")) & ~_within(DROPPED))
+    inside = inside.select(key, "n", "region", _collapsed(F.col("text")).alias("text"), F.explode(F.filter("path", part)).alias("x")).where(F.col("x.node") >= F.col("region"))
+    text = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda e: e["text"] != ""), lambda e: e["text"]), " ")
+    parts = inside.groupBy(key, F.col("x.node").alias("node"), F.col("x.tag").alias("tag")).agg(text.alias("text"))
+    order = W.partitionBy(key).orderBy("node")
+    heading = F.last(F.when(F.col("tag").startswith("h"), F.col("text")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = parts.withColumn("heading", F.coalesce(heading, F.lit(""))).where(F.length("text") >= SHORTEST)
+    once = parts.withColumn("nth", F.row_number().over(W.partitionBy(key, "text").orderBy("node"))).where("nth = 1")
+    return once.select(key, F.format_string(NUMBERED, F.row_number().over(order)).alias("paragraph_id"), "heading", "text")
 
 
 def overlap(a, b):
