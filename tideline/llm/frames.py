@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import copy
 import pickle
 import tempfile
 import uuid
@@ -132,6 +133,13 @@ class Spread:
         rows = hot.collect()
         self.hot = df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
+    def named(self, key: str) -> Spread:
+        """The same with its only key column under another name."""
+        out = copy.copy(self)
+        out.keys = [key]
+        out.hot = None if self.hot is None else self.hot.withColumnRenamed(self.keys[0], key)
+        return out
+
     def salted(self, df: DataFrame, tag: str) -> DataFrame:
         """``df`` with the part of each row, by the hash of its column ``tag``."""
         if self.hot is None:
