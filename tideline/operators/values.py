@@ -50,7 +50,7 @@ def grade_status(value: Column, status: Column, pending_allowed: bool = False) -
     """``ok`` where status and grade agree: labeled with a grade, or (if allowed) needs_review without one; else the fault."""
     known = grade(value).isNotNull()
     empty = F.coalesce(value, F.lit("")) == ""
-    wait = (F.col("status") if status is None else status) == "needs_review"
+    wait = status == "needs_review"
     return F.when(~known & ~empty, "invalid label").when((status == "labeled") & known, "ok").when(F.lit(pending_allowed) & wait & empty, "ok").otherwise("unresolved")
 
 

@@ -133,8 +133,7 @@ ORACLES["kleene_applicability"] = """WITH j AS (SELECT doc_id, quality = 1 AS go
 c AS (SELECT doc_id, (NOT tox) AND (CASE WHEN lng IS NULL THEN NULL WHEN NOT lng THEN TRUE ELSE good END) AND (good OR lng) AS c FROM j)
 SELECT doc_id, CASE WHEN c THEN 'applicable' WHEN NOT c THEN 'not_applicable' ELSE 'insufficient_information' END AS status FROM c"""
 ORACLES["preference_closure"] = """WITH RECURSIVE e AS (SELECT DISTINCT x, y FROM (SELECT n_nationkey AS x, unnest([n_nationkey * 2 % 25, (n_nationkey + 7) % 25]) AS y FROM nation) WHERE x <> y),
-c AS (SELECT x, y, 1 AS n FROM e UNION SELECT c.x, e.y, c.n + 1 FROM c JOIN e ON e.x = c.y WHERE c.n < 4) SELECT DISTINCT x, y FROM c"""
-ORACLES["near_duplicate_jaccard"] = f"WITH t AS (SELECT item_id, list_distinct({_tok('text')}) AS t FROM benchmark), p AS (SELECT a.item_id AS left_id, b.item_id AS right_id, len(list_intersect(a.t, b.t)) AS c, len(a.t) + len(b.t) AS n FROM t a JOIN t b ON a.item_id < b.item_id) SELECT left_id, right_id, round(c / (n - c)::DOUBLE, 6) AS jaccard FROM p WHERE round(c / (n - c)::DOUBLE, 6) >= 0.12"
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x, y FROM r"""
 ORACLES["retention_probe"] = f"""WITH p AS (SELECT doc_id, contains(lower(text), 'license') AS a, contains(lower(text), 'version') AS c, len(list_filter({_NUM}, lambda x: abs(x - 2.0) <= 0.05)) > 0 AS n FROM documents)
 SELECT doc_id, a AS alias_hit, c AS cue_hit, n AS number_hit, a AND (c OR n) AS candidate FROM p"""
 ORACLES["number_extraction"] = f"WITH n AS (SELECT doc_id, {_NUM} AS n FROM documents) SELECT doc_id, len(n)::BIGINT AS numbers, list_max(n) AS largest FROM n WHERE len(n) > 0"

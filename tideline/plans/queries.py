@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 START, END, BASELINE = "2024-01-01", "2024-01-30", 20
 
 
+#: Items of one or two tokens that are looked for in one pass over the texts.
+SHORT = 10_000
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -72,14 +78,37 @@ def retention_probe(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", alias.alias("alias_hit"), cue.alias("cue_hit"), near.alias("number_hit"), (alias & (cue | near)).alias("candidate"))
 
 
+def _word_runs(n: int):
+    """The different runs of ``n`` tokens of t."""
+    places = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1)))
+    return F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.slice("t", i, n))))
+
+
 def _passages(spark, d):
-    """(item_id, doc_id) of documents that contain a benchmark item: an equi-join on three inner tokens, then the test."""
+    """(item_id, doc_id) of documents that contain a benchmark item: an equi-join on up to three inner tokens, then the test.
+
+    The first and the last token of an item may be parts of longer words in a document, so items of one or two tokens have
+    no seed: blocks of at most SHORT of them, which are broadcast, are looked for in each text."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), text.tokens("text").alias("t"))
-    items = items.select("item_id", "passage", F.concat_ws(" ", F.slice("t", 2, 3)).alias("seed"))
+    items = items.select("item_id", "passage", F.least(F.size("t") - 2, F.lit(3)).alias("n"), "t").where("passage IS NOT NULL")
+    seeded = items.where("n > 0").select("item_id", "passage", "n", F.concat_ws(" ", F.slice("t", F.lit(2), F.col("n"))).alias("seed"))
     docs = spread(table(spark, d, "documents")).select("doc_id", "text", "lang", "source", text.tokens("text").alias("t"))
-    seeds = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3))))).alias("seed"))
-    near = seeds.join(items.select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
-    return near.join(docs.drop("t"), "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id", "lang", "source")
+    near = None
+    for n in sorted(x["n"] for x in seeded.select("n").distinct().collect()):  # 1, 2 and 3 at most
+        own = docs.select("doc_id", F.explode(_word_runs(n)).alias("seed"))
+        found = own.join(seeded.where(F.col("n") == n).select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
+        near = found if near is None else near.union(found)
+    kept = ["item_id", "doc_id", "lang", "source"]
+    if near is None:
+        out = docs.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), *kept[1:]).where("false")
+    else:
+        out = near.join(docs.drop("t"), "doc_id").join(seeded.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select(kept)
+    short = items.where("n <= 0").select("item_id", "passage")
+    blocks = math.ceil(short.count() / SHORT)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k)
+        out = out.union(docs.join(F.broadcast(block), F.contains("text", "passage")).select(kept))
+    return out
 
 
 @query
@@ -457,25 +486,17 @@ def kleene_applicability(spark, d):
 
 @query
 def preference_closure(spark, d):
-    """Pairs of nations reachable over at most four steps of a preference n -> 2n mod 25, n -> n + 7 mod 25, in one region."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("x"), "n_regionkey")
-    edges = n.select("x", F.explode(F.array((F.col("x") * 2) % 25, (F.col("x") + 7) % 25)).alias("y")).where("x <> y").distinct()
-    reach = edges
-    for _ in range(3):
-        step = reach.withColumnRenamed("y", "m").join(edges.withColumnRenamed("x", "m"), "m").select("x", "y")
+    """Pairs of nations reachable over any number of steps of a preference n -> 2n mod 25, n -> n + 7 mod 25.
+
+    Paths of up to 2^k steps are joined to ones of up to 2^(k+1), so log2 of the number of nodes is enough."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("x"))
+    reach = n.select("x", F.explode(F.array((F.col("x") * 2) % 25, (F.col("x") + 7) % 25)).alias("y")).where("x <> y").distinct()
+    for _ in range(math.ceil(math.log2(max(2, n.count())))):
+        step = reach.withColumnRenamed("y", "m").join(reach.withColumnRenamed("x", "m"), "m").select("x", "y")
         reach = reach.union(step).distinct()
     return reach
 
 
-@query
-def near_duplicate_jaccard(spark, d):
-    """Benchmark items of similar words: an equi-join on tokens, lower id first."""
-    t = table(spark, d, "benchmark").select("item_id", F.array_distinct(text.tokens("text")).alias("t"))
-    t = t.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    both = t.alias("a").join(t.alias("b"), F.expr("a.term = b.term AND a.item_id < b.item_id")).groupBy(F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    return both.select("left_id", "right_id", r(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where("jaccard >= 0.12")
-
-
 @query
 def greedy_pack(spark, d):
     """Turns of a conversation in falling length, each taken if it still fits into 600 bytes; what doesn't fit is passed over."""

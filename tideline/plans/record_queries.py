@@ -91,9 +91,9 @@ def false_claims(spark, d):
     return wrong.withColumn("same_value_days", F.concat_ws(",", F.col("same_value_days").cast("array<string>")))
 
 
-@query("SELECT doc_id, 'lang.0' AS ref, lang AS text FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, 'words.' || k, split(text, ' ')[k + 1] FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS k) WHERE len(split(text, ' ')) > k")
+@query("SELECT doc_id, 'lang.0' AS ref, lang AS text FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, 'words.' || k, w[k + 1] FROM (SELECT doc_id, w, unnest(range(len(w))) AS k FROM (SELECT doc_id, split(text, ' ') AS w FROM documents))")
 def condition_references(spark, d):
-    fields = F.create_map(F.lit("lang"), F.array_compact(F.array("lang")), F.lit("words"), F.slice(F.split("text", " "), 1, 2))
+    fields = F.create_map(F.lit("lang"), F.array_compact(F.array("lang")), F.lit("words"), F.split("text", " "))
     return records.conditions(table(spark, d, "documents").select("doc_id", fields.alias("m")), ["doc_id"], "m")
 
 
