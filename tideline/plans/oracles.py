@@ -55,7 +55,10 @@ ORACLES["dense_topk"] = f"WITH {_DENSE_TOP} SELECT query_id, vec_id, round(score
 ORACLES["dense_metrics"] = f"WITH {_DENSE_TOP}, gold AS (SELECT q.vec_id AS query_id, e.vec_id, CASE WHEN q.vec_id = e.vec_id THEN 2 ELSE 1 END AS relevance FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.label = e.label), {_metrics('query_id', 'vec_id', 'dt')} SELECT query_id, {_COLS} FROM m"
 ORACLES["rrf_fusion"] = f"WITH {_DENSE_TOP}, f AS (SELECT own AS run_label, vec_id, round(sum(1 / (60.0::DOUBLE + rank)), 12) AS score FROM dt GROUP BY 1, 2) SELECT run_label, vec_id, round(score, 9) AS score, row_number() OVER (PARTITION BY run_label ORDER BY score DESC, vec_id) AS rank FROM f QUALIFY rank <= 20"
 ORACLES["retriever_union"] = f"WITH {_BM25}, {_DENSE_TOP} SELECT 'bm25' AS retriever, item_id AS run, doc_id AS item, rank FROM top UNION ALL SELECT 'dense', query_id, vec_id, rank FROM dt"
-ORACLES["recovery_lost_sets"] = f"WITH {_BM25}, {_GOLD}, g AS (SELECT t.* FROM top t SEMI JOIN gold g ON g.item_id = t.item_id AND g.doc_id = t.doc_id) SELECT item_id, doc_id, CASE WHEN rank < 6 THEN 'lost' WHEN rank > 10 THEN 'recovered' ELSE 'both' END AS status FROM g"
+_CUT = r"""cut AS (SELECT item_id, CASE WHEN len(x) > 6 THEN array_to_string(x[1:6], '') ELSE text END AS text FROM (SELECT item_id, text, regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS x FROM benchmark))"""
+ORACLES["recovery_lost_sets"] = f"""WITH {_GOLD}, {_CUT}, a AS (WITH {_BM25} SELECT item_id, doc_id FROM top SEMI JOIN gold USING (item_id, doc_id) WHERE rank <= 10),
+b AS (WITH {_BM25.replace('FROM benchmark', 'FROM cut')} SELECT item_id, doc_id FROM top SEMI JOIN gold USING (item_id, doc_id) WHERE rank <= 10)
+SELECT item_id, doc_id, CASE WHEN b.doc_id IS NULL THEN 'lost' WHEN a.doc_id IS NULL THEN 'recovered' ELSE 'both' END AS status FROM a FULL JOIN b USING (item_id, doc_id)"""
 ORACLES["top_missed_items"] = f"WITH {_BM25}, {_GOLD} SELECT doc_id, count(*) AS missed FROM gold g ANTI JOIN (SELECT * FROM top WHERE rank <= 10) t ON t.item_id = g.item_id AND t.doc_id = g.doc_id WHERE relevance = 2 GROUP BY 1 ORDER BY missed DESC, doc_id LIMIT 4"
 ORACLES["case_level_mean"] = f"WITH {_BM25}, {_GOLD}, {_metrics('item_id', 'doc_id')} SELECT item_id // 4 AS case_id, round(avg(ndcg10), 6) AS ndcg10, count(ndcg10) AS ndcg10_valid, count(*) AS repeats FROM m GROUP BY 1"
 ORACLES["summary_grouping_sets"] = "SELECT lang, source, grouping(lang, source)::BIGINT AS grouping, round(avg(n_chars), 6) AS size, count(n_chars) AS size_valid FROM documents GROUP BY GROUPING SETS ((), (lang), (source))"

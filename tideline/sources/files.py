@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,21 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)
 
 
+def write_json(spark: SparkSession, path: str, value: object, overwrite: bool = False) -> None:
+    """One document of a small value, indented, in a file that every file system of the session can hold. NaN and infinite
+    numbers raise ValueError, and so does a path that exists, unless it may be overwritten."""
+    text = json.dumps(value, indent=2, ensure_ascii=False, allow_nan=False) + "\n"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not overwrite and system.exists(target):
+        raise ValueError(f"{path} exists")
+    out = system.create(target, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Nested cells are written as JSON in one cell."""
     nested = (T.ArrayType, T.MapType, T.StructType)
