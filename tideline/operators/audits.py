@@ -135,3 +135,29 @@ def rounds(records: DataFrame, plan: DataFrame, by: list[str], item: str) -> Dat
     have = records.groupBy(*by).agg(F.count_distinct(item).alias("have"))
     both = plan.join(have, by, "left").withColumn("have", F.coalesce("have", F.lit(0)))
     return checks.holds(both, "round", by, F.col("have") == F.col("expected"), F.concat_ws(" of ", F.col("have").cast("string"), F.col("expected").cast("string")))
+
+
+def claims(stated: DataFrame, long: DataFrame, keys: list[str], baseline: int, zero_is_missing: tuple[str, ...] = (), tolerance: float = 0.0011) -> DataFrame:
+    """stated: (keys, n, metric, value, phase, purpose) observations that a judgment cites; long: (keys, n, metric, value).
+
+    The day and metric exist; the value is that one (two nulls are equal) and the phase that of the day; a value that is missing,
+    or zero in ``zero_is_missing``, is cited for missingness only."""
+    at = [*keys, "n", "metric"]
+    rows = stated.join(long.withColumnRenamed("value", "actual").withColumn("known", F.lit(True)), at, "left")
+    found = rows.where("known")
+    near = F.coalesce(F.abs(F.col("value") - F.col("actual")) < tolerance, F.col("value").isNull() & F.col("actual").isNull())
+    usable = F.col("actual").isNotNull() & ~(F.col("metric").isin(*zero_is_missing) & (F.col("actual") == 0))
+    return _all([
+        checks.holds(rows, "observation", at, F.col("known"), F.lit("absent")), checks.holds(found, "value", at, near, F.lit("differs")),
+        checks.holds(found, "phase", at, F.col("phase") == F.when(F.col("n") <= baseline, "baseline").otherwise("current"), F.col("phase")),
+        checks.holds(found, "unusable", at, usable | F.col("purpose").eqNullSafe("missingness"), F.col("purpose")),
+    ])
+
+
+def united(left: DataFrame, right: DataFrame, key: str, agree: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Items of both sides by id, the left one first, and violations: ids whose columns in ``agree`` differ."""
+    b = right.select(F.col(key), F.struct(*right.columns).alias("_r"))
+    both = left.select(F.col(key), F.struct(*left.columns).alias("_l")).join(b, key, "full_outer")
+    out = both.select(F.coalesce("_l", "_r").alias("x")).select("x.*")
+    same = reduce(lambda x, y: x & y, [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in agree])
+    return out, checks.holds(both.where("_l IS NOT NULL AND _r IS NOT NULL"), "union", [key], same, F.lit("differ"))

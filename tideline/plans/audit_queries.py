@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import audits, cases, records, timeseries, views
+from tideline.operators import audits, cases, checks, judging, records, timeseries, values, views
 from tideline.plans import oracles as base
 from tideline.plans.queries import END, START, _daily, _spans, r
 from tideline.plans.record_queries import query
@@ -249,3 +249,107 @@ def representation_audit(spark, d):
 def incomplete_rounds(spark, d):
     rows = table(spark, d, "conversations")
     return audits.rounds(rows, rows.select("conv_id").distinct().withColumn("expected", F.lit(4)), ["conv_id"], "turn")
+
+
+@query(f"""WITH {_GRID}, c AS (SELECT user_id, n, metric, value, n % 7 AS k FROM long), f AS (SELECT *, user_id || '|' || n || '|' || metric AS key, value IS NULL OR (metric = 'clicks' AND value = 0) AS gone FROM c WHERE k <> 3)
+SELECT 'observation' AS rule, user_id || '|' || (n + 100) || '|' || metric AS key, 'absent' AS detail FROM c WHERE k = 3 UNION ALL SELECT 'value', key, 'differs' FROM f WHERE k = 1 AND value IS NOT NULL
+UNION ALL SELECT 'value', key, 'differs' FROM f WHERE k = 5 AND value IS NULL UNION ALL SELECT 'phase', key, 'other' FROM f WHERE k = 2 UNION ALL SELECT 'unusable', key, 'support' FROM f WHERE gone AND k <> 4""")
+def claim_audit(spark, d):
+    """Cited observations; faults by the day's remainder by 7: another value, phase or day, and values where there are none."""
+    k = F.col("n") % 7
+    value = F.when(k == 1, F.col("value") + 0.01).when(k == 5, F.coalesce("value", F.lit(1.0))).otherwise(F.col("value") + 0.0001)
+    stated = _long(spark, d).select(
+        "user_id", F.when(k == 3, F.col("n") + 100).otherwise(F.col("n")).alias("n"), "metric", value.alias("value"),
+        F.when(k == 2, "other").when(F.col("n") <= BASELINE, "baseline").otherwise("current").alias("phase"), F.when(k == 4, "missingness").otherwise("support").alias("purpose"))
+    return audits.claims(stated, _long(spark, d), ["user_id"], BASELINE, ("clicks",))
+
+
+# --- checks that stand alone ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'value' AS rule, doc_id::VARCHAR AS key, CASE doc_id % 8 WHEN 1 THEN '1.0 <> 1.5' WHEN 2 THEN '1.0 <> null' WHEN 3 THEN 'null <> 1.0' ELSE 'null <> 1.0' END AS detail FROM documents WHERE doc_id % 8 IN (1, 2, 3, 4)""")
+def metric_differences(spark, d):
+    """Saved metrics against computed ones: another value, a key on one side, a null on one side; tiny differences pass."""
+    ids, k = table(spark, d, "documents").select("doc_id"), F.col("doc_id") % 8
+    saved = ids.where(k != 3).withColumn("v", F.when(k == 5, 1.0 + 1e-12).when(k == 6, None).when(k != 4, 1.0))
+    again = ids.where(k != 2).withColumn("v", F.when(k == 1, 1.5).when(k != 6, 1.0))
+    return checks.same_values(saved, again, ["doc_id"], "v")
+
+
+@query("""WITH x AS (SELECT doc_id, doc_id % 6 AS k FROM documents) SELECT 'labels' AS stage, rule, n AS violations FROM (SELECT 'low' AS rule, count(*) FILTER (k = 1) AS n FROM x UNION ALL SELECT 'high', count(*) FILTER (k = 2) FROM x)
+UNION ALL SELECT 'texts', 'odd', count(*) FILTER (k % 2 = 1) FROM x""")
+def stage_overview(spark, d):
+    """All stages' violations by rule; a stage without any has no row."""
+    x = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"))
+    rule = lambda name, bad: checks.holds(x, name, ["doc_id"], ~bad, F.lit(""))
+    k = F.col("k")
+    return cases.overview({"labels": rule("low", k == 1).unionByName(rule("high", k == 2)), "texts": rule("odd", k % 2 == 1), "clean": rule("none", k > 9)})
+
+
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'UNKNOWN_CONDITION' WHEN 2 THEN 'NO_CONDITION' WHEN 3 THEN 'NO_OBSERVATION' WHEN 4 THEN 'NO_MISSING_INFORMATION' WHEN 5 THEN 'UNKNOWN_LABEL' WHEN 6 THEN 'REPEATED_CITATION'
+WHEN 7 THEN 'NO_CONDITION,NO_OBSERVATION' ELSE '' END AS codes FROM documents""")
+def citation_codes(spark, d):
+    k, texts = F.col("doc_id") % 8, lambda *x: F.array(*[F.lit(t) for t in x]) if x else F.array().cast("array<string>")
+    observations = F.when(k.isin(3, 7), texts()).when(k == 6, texts("d1", "d1")).otherwise(texts("d1"))
+    named = F.when(k == 1, texts("a", "z")).when(k.isin(2, 7), texts()).otherwise(texts("a"))
+    label = F.when(k == 4, "insufficient_information").when(k == 5, "maybe").otherwise("applicable")
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", judging.citation_errors(texts("a", "b"), observations, named, label, texts())).alias("codes"))
+
+
+@query("""SELECT 'duplicate' AS rule, 'p2' AS key, '2' AS detail UNION ALL SELECT 'human', 'B', 'p2' UNION ALL SELECT 'role', 'C', 'p2' UNION ALL SELECT 'adjudicator', 'C', 'p2'""")
+def roster_audit(spark, d):
+    """A roster of three by the first rows of a table, of whom two are one person, one isn't independent and one unqualified."""
+    who = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("r_regionkey") + 1).cast("int"))
+    people = table(spark, d, "region").where("r_regionkey < 3").select(
+        who.alias("reviewer_id"), F.when(F.col("r_regionkey") == 0, "p1").otherwise("p2").alias("person_id"), F.lit("reviewer").alias("role"), F.lit("some").alias("background"),
+        F.lit(True).alias("is_human"), (F.col("r_regionkey") != 1).alias("independent"), (F.col("r_regionkey") == 0).alias("qualified"))
+    return values.roster_violations(people)
+
+
+@query("""SELECT 'with' AS gold, source, round(avg(n_chars), 6) AS size, 'READY' AS status FROM documents GROUP BY 2 UNION ALL SELECT 'without', source, NULL, 'PENDING' FROM documents GROUP BY 2""")
+def gold_gate(spark, d):
+    metrics = table(spark, d, "documents").groupBy("source").agg(r(F.avg("n_chars")).alias("size"))
+    gold = table(spark, d, "labels")
+    parts = [judging.gated(metrics, g, ["size"]).withColumn("gold", F.lit(n)) for n, g in (("with", gold), ("without", gold.where("false")))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT 'panel' AS rule, conv_id::VARCHAR AS key, string_agg(DISTINCT role, ',' ORDER BY role) AS detail FROM conversations GROUP BY conv_id HAVING string_agg(DISTINCT role, ',' ORDER BY role) IS DISTINCT FROM 'assistant,user'")
+def panel_equality(spark, d):
+    """Cases whose set of entries isn't the panel's."""
+    sets = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("have"))
+    told = F.when(F.size("have") > 0, F.concat_ws(",", "have"))
+    return checks.holds(sets, "panel", ["conv_id"], F.col("have") == F.array(F.lit("assistant"), F.lit("user")), told)
+
+
+@query("""SELECT 'item' AS rule, doc_id::VARCHAR AS key, source AS detail FROM documents WHERE doc_id % 5 <> 4 UNION ALL SELECT 'item', doc_id::VARCHAR, 'other' FROM documents WHERE doc_id % 5 = 4
+UNION ALL SELECT 'union', doc_id::VARCHAR, 'differ' FROM documents WHERE doc_id % 5 = 3 AND source IS DISTINCT FROM 'other'""")
+def item_union(spark, d):
+    """Two panels' items by id: of the left side those with remainders 0 to 3 by 5, of the right 2 to 4; 3 and 4 are changed there."""
+    docs, k = table(spark, d, "documents").select("doc_id", "source"), F.col("doc_id") % 5
+    changed = docs.where(k >= 2).withColumn("source", F.when(k >= 3, "other").otherwise(F.col("source")))
+    items, bad = audits.united(docs.where(k <= 3), changed, "doc_id", ["source"])
+    return items.select(F.lit("item").alias("rule"), F.col("doc_id").cast("string").alias("key"), F.col("source").alias("detail")).unionByName(bad)
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS same FROM events")
+def fieldless_equality(spark, d):
+    """Records that are equal without one field: its change doesn't count, another's does."""
+    k = F.col("event_id") % 3
+    row = lambda own, other: F.struct(F.col("value"), own.alias("kept"), other.alias("dropped"))
+    both = table(spark, d, "events").select("event_id", row(F.lit(1), F.lit(1)).alias("a"), row(F.when(k == 1, 2).otherwise(1), F.when(k == 2, 2).otherwise(1)).alias("b"))
+    both = records.without_fields(records.without_fields(both, "a", ["dropped"]), "b", ["dropped"])
+    return both.select("event_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ',x' END AS entries FROM events")
+def array_values(spark, d):
+    k = F.col("event_id") % 3
+    document = F.when(k == 0, F.concat(F.lit('["'), "event_type", F.lit('", "x"]'))).when(k == 1, '{"a": 1}').otherwise("[broken")
+    found = records.decoded_array(document)
+    return table(spark, d, "events").select("event_id", F.when(found.isNotNull(), F.concat_ws(",", found)).alias("entries"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def selected_cases(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi").select("doc_id", "lang")
