@@ -41,9 +41,10 @@ def _statistics(spark, d, mode="statistics"):
     return views.view(_long(spark, d), ["user_id"], mode, BASELINE, ("clicks",))
 
 
-@query(f"WITH {_VIEW} SELECT user_id, phase, metric, first_day, last_day, n, missing, {', '.join(f'round({c}, 6) AS {c}' for c in _STATS)} FROM stats")
+@query(f"WITH {_VIEW} SELECT user_id, phase, metric, first_day, last_day, n, missing, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in _STATS)} FROM stats")
 def view_statistics(spark, d):
-    return _statistics(spark, d).select("user_id", "phase", "metric", "first_day", "last_day", "n", "missing", *[r(c).alias(c) for c in _STATS])
+    """Zero is added so that no negative zero is left."""
+    return _statistics(spark, d).select("user_id", "phase", "metric", "first_day", "last_day", "n", "missing", *[(r(c) + F.lit(0.0)).alias(c) for c in _STATS])
 
 
 @query(f"WITH {_VIEW} SELECT user_id, metric, n, missing, round(mean, 6) AS mean FROM stats WHERE phase = 'current'")
