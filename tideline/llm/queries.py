@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, html_text, language_model, media, mixing, neardup, pulearning, quality, sharding, token_counts
+from tideline.llm import clustering, decontamination, html_text, language_model, media, mixing, neardup, personal, pulearning, quality, sharding, spelling, token_counts
 from tideline.llm.frames import hashed, table
 
 
@@ -71,6 +71,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal.find_personal(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[f"n_{k}" for k in personal.BASE], "base_sha256", "spans")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_toxicity, op3_quality_classifier, op4_benchmark_decontamination, op5_html_extraction, op6_token_counts, op7_mixing_sources, op8_lm_scoring, op9_media_columns, op10_minhash_near_dedup]
+    own = [op1_sharding, op2_toxicity, op3_quality_classifier, op4_benchmark_decontamination, op5_html_extraction, op6_token_counts, op7_mixing_sources, op8_lm_scoring, op9_media_columns, op10_minhash_near_dedup, op11_centroid_clustering, op12_pii, op13_spelling_variants]
     return {f.__name__: f for f in own}
