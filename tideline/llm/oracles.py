@@ -49,5 +49,45 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, target::BIGINT AS
 FROM s WHERE copies > 0"""
 
 
+_D, _K, _ROUNDS = 64, 16, 3
+
+
+def _assign(cents: str, name: str) -> str:
+    """Nearest centroid of each vector, the smaller number on ties."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    return f"""{name} AS MATERIALIZED (SELECT n, vec_id, x, m.d AS d, m.k AS k FROM (SELECT v.n, v.vec_id, any_value(v.x) AS x, min({{'d': {square}, 'k': c.k}}) AS m FROM v, {cents} c GROUP BY v.n, v.vec_id))"""
+
+
+def _move(assigned: str, cents: str, name: str) -> str:
+    low = "(s - ((s % n) + n) % n) // n"
+    return f"""{name} AS MATERIALIZED (SELECT c.k, coalesce(g.x, c.x) AS x FROM {cents} c LEFT JOIN (SELECT k, list({low} ORDER BY i)::BIGINT[] AS x FROM
+      (SELECT k, i, sum(y)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT k, unnest(x) AS y, unnest(range(1, 65)) AS i FROM {assigned}) GROUP BY k, i) GROUP BY k) g USING (k))"""
+
+
+_STEPS = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {_D} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+          f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {_K}))"]
+for _r in range(_ROUNDS):
+    _STEPS += [_assign(f"c{_r}", f"a{_r}"), _move(f"a{_r}", f"c{_r}", f"c{_r + 1}")]
+_STEPS.append(_assign(f"c{_ROUNDS}", "a"))
+OP11 = f"""WITH {", ".join(_STEPS)} SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a JOIN c{_ROUNDS} c USING (k)"""
+
+#: Runs with their crc32 continued from the id; near words share the text without one character.
+OP13 = f"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+l AS (SELECT id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM r),
+d AS (SELECT id || w AS t, w, count(*) AS n FROM l WHERE length(w) >= 6 GROUP BY id, w),
+h AS (SELECT w, n, {_CRC32}::BIGINT AS h FROM d),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM o GROUP BY word HAVING sum(n) >= 5 AND length(word) >= 6),
+x AS MATERIALIZED (SELECT word, n, k, left(word, k::INTEGER) || substr(word, k::INTEGER + 2) AS e FROM (SELECT word, n, unnest(range(length(word))) AS k FROM v)),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS m FROM x a JOIN x b ON a.k = b.k AND a.e = b.e AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.e = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.e = v.word),
+g AS (SELECT a AS word, count(*) AS near, min({{'m': -m, 'b': b}}) AS best FROM p GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 5 * n THEN best.b END AS form, CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n FROM v LEFT JOIN g USING (word)),
+w AS (SELECT word, word AS here, 0 AS steps FROM f UNION ALL SELECT w.word, f.form, steps + 1 FROM w JOIN f ON w.here = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, t.root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN (SELECT word, arg_max(here, steps) AS root FROM w GROUP BY word) t USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op7_mixing_sources": OP7}
+    return {"op1_sharding": OP1, "op7_mixing_sources": OP7, "op11_centroid_clustering": OP11, "op13_spelling_variants": OP13}
