@@ -222,3 +222,60 @@ def test_pages_keep_ids_and_handle_nulls_and_clashing_names(spark):
     got = html_text.main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, n), (1, n), (3, 0)]
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ids_of_several_rows_are_one_document(spark):
+    def components_of(rows, size=2, percent=80):
+        """Plain: documents are linked if any of their texts are, and ids of equal rows are one node."""
+        sets = []
+        for i, text in rows:
+            w = (text or "").split()
+            sets.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())))
+        root = {i: i for i, _ in rows}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, a in sets:
+            for j, b in sets:
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    x, y = sorted((top(i), top(j)))
+                    root[y] = x
+        return sorted((i, len(s), top(i), i == top(i)) for i, s in sets)
+
+    fixed = [(5, "a b c d"), (7, "a b c d"), (7, "x y z w"), (9, "x y z w"), (9, ""), (11, None), (3, ""), (3, "q r s"), (2, "q r s"), (2, "q r s")]
+    rng = random.Random(7)
+    base = [[f"w{k}-{j}" for j in range(60)] for k in range(8)]
+    some = []
+    for _ in range(150):
+        w = list(rng.choice(base))
+        w[rng.randrange(60)] = f"z{rng.randrange(9)}"
+        some.append((rng.randrange(100, 180), " ".join(w)))
+    for rows in (fixed, some):
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 80).collect()
+        assert sorted(tuple(r) for r in got) == components_of(rows)
+
+
+def test_leaves_without_weight_get_nothing(spark):
+    rows = [(i, "w " * (1 + i % 5), "en", f"s{i % 4}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = spark.createDataFrame([("d", "en", "s0", 0), ("d", "en", "s1", -3), ("d", "en", "s2", 2)], "domain string, lang string, source string, weight long")
+    got = mixing.mix(docs, 0.5, weights, domain=F.lit("d")).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n"), F.max("target").alias("t")).collect()
+    assert {r["source"] for r in got} == {"s2", "s3"} and sum(r["t"] for r in got) == sum(1 + i % 5 for i in range(200) if i % 4 > 1) // 2
+    assert mixing.mix(docs, 0.5, weights.where("weight <= 0").union(spark.sql("SELECT 'd', 'en', 's2', 0L UNION ALL SELECT 'd', 'en', 's3', -1L")), domain=F.lit("d")).collect() == []
+
+
+def test_runs_may_not_claim_more_samples_than_bytes():
+    def box(kind, body):
+        return struct.pack(">I4s", 8 + len(body), kind) + body
+
+    trak = box(b"trak", box(b"tkhd", bytes(12) + struct.pack(">I", 1) + bytes(64)))
+    run = box(b"trun", struct.pack(">II", 0, 150_000))
+    moof = box(b"moof", box(b"traf", box(b"tfhd", struct.pack(">II", 0, 1)) + run * 100))
+    file = box(b"moov", trak) + moof
+    file += bytes(0) + box(b"free", bytes(200_000 - len(file) - 8))
+    began = time.time()
+    found = media.describe(file)
+    assert found["status"] == "error" and "more samples than bytes" in found["error"] and time.time() - began < 2

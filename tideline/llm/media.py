@@ -146,8 +146,11 @@ def _run(data: bytes, at: int, end: int, fragment: dict) -> tuple[np.ndarray, np
     first = struct.unpack_from(">I", data, place)[0] if flags & 4 else None
     place += 4 * (flags & 4 > 0)
     names = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
-    if place + 4 * len(names) * n > end or n > len(data):
+    if place + 4 * len(names) * n > end:
         raise ValueError("a table is longer than its box")
+    fragment["left"][0] -= n
+    if fragment["left"][0] < 0:
+        raise ValueError("more samples than bytes")
     rows = np.frombuffer(data, ">u4", n * len(names), place).reshape(n, len(names)).astype(np.int64)
     field = {name: rows[:, names.index(name)] if name in names else np.full(n, fragment[name], dtype=np.int64) for name in ("duration", "size", "flags")}
     if first is not None and n and "flags" not in names:
@@ -164,7 +167,7 @@ def _tracks(data: bytes) -> list[dict]:
     tracks: list[dict] = []
     defaults: dict[int, tuple] = {}
     fragment: dict = {}
-    moof = 0
+    moof, left = 0, [len(data)]  # runs may claim samples without a byte of their own: as many as the file has bytes, together
     for path, start, at, end in walk(data):
         kind = path[-1]
         if kind == b"trak":
@@ -190,7 +193,7 @@ def _tracks(data: bytes) -> list[dict]:
                 if flags & bit:
                     found[k] = struct.unpack_from(">I", data, place)[0]
                     place += 4
-            fragment = {"track": own, "moof": moof, "base": base, "next": base} | dict(zip(("duration", "size", "flags"), found, strict=True))
+            fragment = {"track": own, "moof": moof, "base": base, "next": base, "left": left} | dict(zip(("duration", "size", "flags"), found, strict=True))
         elif kind == b"trun" and b"moof" in path:
             if fragment.get("moof") != moof:
                 raise ValueError("a run of samples without a header")

@@ -13,7 +13,8 @@ largest leaf, and hot leaves meet their targets in parts, so a hot leaf is sprea
 
 A document is all rows of one id in one leaf. Tokens are words ([^\\x20\\x09-\\x0D]+); a document without words takes no
 tokens and comes with its place in the order. Nulls: null languages, sources and ids are values of their own; a null text
-has no words. Weights must be positive; leaves without weights get DEFAULT_WEIGHT. An empty table gives an empty result.
+has no words. Leaves without weights get DEFAULT_WEIGHT; a leaf with a weight of 0 or less gets nothing, and its tokens count
+neither as capacity nor in the budget. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def allocate(leaves: DataFrame, budget: int | Column) -> DataFrame:
         for c in above:
             match = match & (F.col(c) == F.col(f"up_{c}"))
         each = children.join(filled, match).drop(*[f"up_{c}" for c in above])
-        order = W.partitionBy(*above).orderBy((big("capacity") * F.lit(1000000).cast("decimal(10,0)") / big("weight")).cast("decimal(38,6)"), *LEVELS[:depth])
+        order = W.partitionBy(*above).orderBy((big("capacity") * F.lit(1000000).cast("decimal(10,0)") / F.nullif(big("weight"), F.lit(0))).cast("decimal(38,6)"), *LEVELS[:depth])
         before, rest = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
         each = each.withColumn("filled", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("open", F.sum("weight").over(rest))
         # full: it can't take its part of what is left after the smaller ones
@@ -86,8 +87,8 @@ def mix(docs: DataFrame, share: float, weights: DataFrame | None = None, epochs:
     if weights is None:
         leaves = leaves.withColumn("weight", F.lit(DEFAULT_WEIGHT).cast("long"))
     else:
-        leaves = leaves.join(weights.select(*LEVELS, F.col("weight").cast("long").alias("given")), list(LEVELS), "left").withColumn("weight", F.coalesce("given", F.lit(DEFAULT_WEIGHT)).cast("long")).drop("given")
-    leaves = Settled(leaves.withColumn("capacity", F.col("leaf_tokens") * epochs), "leaves").df
+        leaves = leaves.join(weights.select(*LEVELS, F.col("weight").cast("long").alias("given")), list(LEVELS), "left").withColumn("weight", F.greatest(F.coalesce("given", F.lit(DEFAULT_WEIGHT)), F.lit(0)).cast("long")).drop("given")
+    leaves = Settled(leaves.withColumn("capacity", F.when(F.col("weight") > 0, F.col("leaf_tokens") * epochs).otherwise(0)), "leaves").df
     permille = round(share * 1000)
     budget = F.expr(f"(c div {epochs}) * {permille} div 1000")
     targets = allocate(leaves, budget).join(leaves.select(*LEVELS, "leaf_tokens"), list(LEVELS))
