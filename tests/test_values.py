@@ -48,3 +48,13 @@ def test_contained_paths():
     for path in ("../x", "/etc/x", "a/../../data2/x"):
         with pytest.raises(ValueError):
             values.contained("/data", path)
+
+
+def test_documents_are_compared_at_any_depth(spark):
+    deep = lambda x, n: '{"a": ' * n + x + "}" * n
+    rows = [
+        (1, deep("1.0", 12), deep("1.00000000001", 12)), (2, deep("1.0", 12), deep("1.1", 12)), (3, '{"a.b": 1, "a": {"b": 2}}', '{"a.b": 1, "a": {"b": 2}}'),
+        (4, '{"a,b": 1}', '{"a": 1, "b": 2}'), (5, '{"0": {"x": 1}}', '[{"x": 1}]'), (6, "[]", "{}"), (7, '{"a": [1, [2, [3]]]}', '{"a": [1, [2, [3, 4]]]}'), (8, "{", "{}"), (9, "null", "null"), (10, None, '"x"'),
+    ]
+    found = {(r["id"], r["path"], r["fault"]) for r in values.compared(spark.createDataFrame(rows, "id int, actual string, expected string"), ["id"], "actual", "expected").collect()}
+    assert found == {(2, ".".join(["$", *"a" * 12]), "value"), (4, "$", "fields"), (5, "$", "length"), (6, "$", "fields"), (7, "$.a.1.1", "length"), (8, "$", "fields"), (10, "$", "value")}

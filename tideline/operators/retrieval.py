@@ -49,6 +49,23 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
     the documents of each term, one scores them, and each task keeps its k best per query before anything is shuffled.
     Documents without any term fill up to k with score 0, least ids first; a query without tokens gets nothing. Query ids are
     unique; documents with a null id are left out, those with a null text count as empty."""
+    hits, asked = _bm25(docs, queries, doc, query, text, k, block, words)
+    best = top_k(hits, [query], doc, k)
+    # where fewer than k are found, those are all there are; at most 2k least ids can be needed
+    short = asked.join(best.groupBy(query).agg(F.count("*").alias("have")), query, "left").where(F.coalesce("have", F.lit(0)) < k).select(query)
+    fill = docs.select(doc).where(F.col(doc).isNotNull()).orderBy(doc).limit(2 * k)
+    padded = short.join(F.broadcast(fill), F.lit(True)).join(best.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.drop("rank").unionByName(padded), [query], doc, k)
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", block: int = 2048, words: int = 200_000) -> DataFrame:
+    """(query, doc, score) of every query with tokens and every document, those without any of its terms too: the table
+    of a full ranking, made where the documents lie. Its size is the number of queries times that of documents."""
+    return _bm25(docs, queries, doc, query, text, None, block, words)[0]
+
+
+def _bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int | None, block: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Scores (each task's k best of a query, or all), and the queries with tokens."""
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_type
@@ -89,6 +106,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
             wanted, ids, idf, starts, who, times, mean = sent.value
             wanted = pa.array(wanted, pa.string())
             kept = None
+
+            def table(q, s, found, kind):
+                return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], query_type), pa.array(found.tolist(), kind), pa.array(s, pa.float64())], [query, doc, "score"])
+
             for batch in batches:
                 names = batch.column(0).to_numpy(zero_copy_only=False)
                 lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -108,22 +129,20 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
                     post = np.repeat(starts[term[lo:hi]] - np.concatenate([[0], np.cumsum(f)[:-1]]), f) + np.arange(f.sum())
                     place = np.repeat(row[lo:hi] - a, f) * len(ids) + who[post]
                     score = np.bincount(place, np.repeat(weight[lo:hi], f) * times[post], (b - a) * len(ids))
-                    hit = np.flatnonzero(score)
+                    hit = np.flatnonzero(score) if k is not None else np.arange(len(score))
                     part = (hit % len(ids), np.round(score[hit], 9), names[a:b][hit // len(ids)])
+                    if k is None:
+                        yield table(*part, batch.column(0).type)
+                        a = b
+                        continue
                     kept = _best(*(part if kept is None else (np.concatenate(x) for x in zip(kept, part, strict=True))), k)
                     a = b
             if kept is not None and len(kept[0]):
-                q, s, found = kept
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], query_type), pa.array(found.tolist(), batch.column(0).type), pa.array(s)], [query, doc, "score"])
+                yield table(*kept, batch.column(0).type)
 
         hits = hits.unionByName(bags.mapInArrow(run, schema))
         asked = asked.unionByName(spark.createDataFrame([(i,) for i in ids], asked.schema))
-    best = top_k(hits, [query], doc, k)
-    # where fewer than k are found, those are all there are; at most 2k least ids can be needed
-    short = asked.join(best.groupBy(query).agg(F.count("*").alias("have")), query, "left").where(F.coalesce("have", F.lit(0)) < k).select(query)
-    fill = docs.select(doc).where(F.col(doc).isNotNull()).orderBy(doc).limit(2 * k)
-    padded = short.join(F.broadcast(fill), F.lit(True)).join(best.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.drop("rank").unionByName(padded), [query], doc, k)
+    return hits, asked
 
 
 def dense(vectors: DataFrame, queries: DataFrame, item: str, query: str, vector: str = "embedding", k: int = TOP, block: int = 2048) -> DataFrame:

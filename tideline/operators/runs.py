@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions import text as words_of
 from tideline.operators import checks, retrieval
+from tideline.sources.records import Rejected, exists
+from tideline.sources.shared import settled
 
 #: Query slots of a record in parts (fixed value).
 SLOTS = 5
@@ -48,3 +52,50 @@ def links(facts: DataFrame, items: DataFrame, fact: str, alias: str, item: str,
     own = own.select(fact, F.col("a")[0].alias("word"), F.concat(F.lit(" "), F.array_join("a", " "), F.lit(" ")).alias("phrase"))
     there = items.select(item, words.tokens(text).alias("t")).select(item, F.explode(F.array_distinct("t")).alias("word"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("whole"))
     return there.join(own, "word").where(F.contains("whole", F.col("phrase"))).select(fact, item).distinct()
+
+
+def ranked_whole(scores: DataFrame, query: str, item: str) -> DataFrame:
+    """(query, item, score, rank) of whole rankings, by falling score, then item. Rows are dealt out by ranges of (query,
+    score, item), so a query with many items lies in many partitions; a row's rank is its place in its partition, after the
+    totals of the partitions before. No task holds a query's whole ranking."""
+    order = [F.col(query), F.desc("score"), F.col(item)]
+    rows = scores.select(query, item, "score").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # written once: the places must stay as they are
+    rows = settled(rows, "ranges").withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(query, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # partitions + queries
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(query).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_ahead", before).drop("_n")
+    return rows.join(parts, [query, "_part"]).select(query, item, "score", (F.col("_at") - F.col("_first") + F.col("_ahead") + 1).cast("long").alias("rank"))
+
+
+class FullRun:
+    """A full ranking of every query and the manifest of the run, under a path that must not exist.
+
+    The manifest's counts come from observations of the two writes, so nothing is read again for them: queries, those that
+    were cut to ``budget`` tokens, blank ones (they get no ranking), their tokens, rows, documents' hits (scores above 0)
+    and the best score. Digests name the inputs: sums of hashes over rows, whatever their order."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, doc: str, query: str, path: str, method: str = "bm25", budget: int = 512, text: str = "text"):
+        if exists(docs.sparkSession, path):
+            raise Rejected(f"{path} exists; choose a new version")
+        if method != "bm25":
+            raise ValueError(f"unknown method {method}")
+        self.spark, self.path = docs.sparkSession, path.rstrip("/")
+        asked, ranked = Observation("queries"), Observation("rankings")
+        digest = lambda *c: F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0)).cast("string")
+        tokens = F.size(words_of.tokens(F.coalesce(text, F.lit(""))))
+        prepared = queries.select(query, words_of.truncated(F.coalesce(text, F.lit("")), budget).alias("text"), tokens.alias("tokens")).withColumn("truncated", F.col("tokens") > budget)
+        prepared = prepared.observe(
+            asked, F.count("*").alias("queries"), F.count_if("truncated").alias("truncated"), F.count_if(F.col("tokens") == 0).alias("blank"),
+            F.coalesce(F.sum(F.least("tokens", F.lit(budget))), F.lit(0)).alias("query_tokens"), digest(query, "text").alias("queries_digest"),
+        )
+        prepared.write.parquet(f"{self.path}/queries")
+        self.queries = self.spark.read.parquet(f"{self.path}/queries")
+        scores = retrieval.bm25_scores(docs.select(doc, text), self.queries.select(query, "text"), doc, query)
+        full = ranked_whole(scores, query, doc).observe(ranked, F.count("*").alias("rows"), F.count_if(F.col("score") > 0).alias("hits"), F.max("rank").alias("corpus"), F.max("score").alias("best_score"))
+        full.write.parquet(f"{self.path}/rankings")
+        self.rankings = self.spark.read.parquet(f"{self.path}/rankings")
+        facts = {"method": method, "query_budget": budget, "tie_breaking": f"{doc} ascending", **asked.get, **ranked.get}
+        kinds = {"queries_digest": "string", "best_score": "double", "method": "string", "tie_breaking": "string"}
+        self.spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in facts)).coalesce(1).write.parquet(f"{self.path}/manifest")
+        self.manifest = self.spark.read.parquet(f"{self.path}/manifest")

@@ -7,6 +7,8 @@ import posixpath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.sources.shared import settled
+
 #: The only offset that stored times may have; token ceilings of a request, framing and prices (fixed values).
 OFFSET = "+08:00"
 INPUT_CEILING, WINDOW, PER_MESSAGE, PER_REQUEST = 30720, 32768, 128, 256
@@ -61,37 +63,36 @@ def bounded_number(c: Column, most: float) -> Column:
     return F.when(~F.isnan(number) & number.between(0, most), number)
 
 
-def flattened(df: DataFrame, keys: list[str], document: str, levels: int = 8) -> DataFrame:
-    """(keys, path, kind, value) of the leaves of JSON texts, with the sizes of objects and arrays as leaves of their own; what
-    lies deeper than ``levels`` is one leaf, its text."""
-    rows = df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(document).alias("v"))
-    out, inner = None, ("OBJECT", "ARRAY")
-    for depth in range(levels + 1):
-        shape = F.schema_of_variant("v")
-        kind = F.coalesce(F.regexp_extract(shape, "^[A-Z]+", 0), F.lit("INVALID"))
+def flattened(df: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """(keys, path, kind, value) of all values in JSON texts, at any depth: a path is an array of steps, so a field's name may hold any
+    character. An object's value is its sorted fields, an array's its length. One pass a level, as long as anything is nested."""
+    rows = df.select(*keys, F.array(F.lit("$")).alias("path"), F.try_parse_json(document).alias("v"))
+    out = None
+    while True:
+        kind = F.coalesce(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), F.lit("INVALID"))
         rows = rows.withColumn("kind", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").otherwise(F.lower(kind)))
-        nested = F.col("kind").isin("object", "array")
-        size = F.when(F.col("kind") == "object", F.array_join(F.array_sort(F.map_keys(F.variant_get("v", "$", "map<string,variant>"))), ",")).when(F.col("kind") == "array", F.size(F.variant_get("v", "$", "array<variant>")).cast("string"))
-        value = F.when(nested, size).otherwise(F.try_variant_get("v", "$", "string")) if depth < levels else F.to_json("v")
-        leaves = rows.select(*keys, "path", "kind", value.alias("value"))
+        members = F.when(F.col("kind") == "object", F.map_entries(F.variant_get("v", "$", "map<string,variant>")))
+        places = F.when(F.col("kind") == "array", F.transform(F.variant_get("v", "$", "array<variant>"), lambda x, k: F.struct(k.cast("string").alias("key"), x.alias("value"))))
+        rows = rows.withColumn("inner", F.coalesce(members, places))
+        shape = F.when(F.col("kind") == "object", F.to_json(F.array_sort(F.transform("inner", lambda e: e["key"])))).when(F.col("kind") == "array", F.size("inner").cast("string"))
+        leaves = rows.select(*keys, "path", "kind", F.coalesce(shape, F.try_variant_get("v", "$", "string")).alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
-        if depth < levels:
-            members = F.when(F.col("kind") == "object", F.map_entries(F.variant_get("v", "$", "map<string,variant>")))
-            places = F.when(F.col("kind") == "array", F.transform(F.variant_get("v", "$", "array<variant>"), lambda x, k: F.struct(k.cast("string").alias("key"), x.alias("value"))))
-            rows = rows.where(nested).select(*keys, "path", F.explode(F.coalesce(members, places)).alias("e")).select(*keys, F.concat_ws(".", "path", "e.key").alias("path"), F.col("e.value").alias("v"))
-    return out
+        below = settled(rows.where("size(inner) > 0").select(*keys, "path", F.explode("inner").alias("e")).select(*keys, F.concat("path", F.array("e.key")).alias("path"), F.to_json("e.value").alias("text")), "level")
+        if below.isEmpty():
+            return out
+        rows = below.select(*keys, "path", F.try_parse_json("text").alias("v"))
 
 
-def compared(df: DataFrame, keys: list[str], actual: str, expected: str, absolute: float = 1e-7, relative: float = 1e-8, levels: int = 8) -> DataFrame:
+def compared(df: DataFrame, keys: list[str], actual: str, expected: str, absolute: float = 1e-7, relative: float = 1e-8) -> DataFrame:
     """(keys, path, fault) where two JSON texts differ: other fields or lengths, other kinds (true is no number), numbers
     further apart than allowed, other values. What lies under a differing object or array is not told again."""
-    side = lambda c, n: flattened(df, keys, c, levels).select(*keys, "path", F.col("kind").alias(f"k_{n}"), F.col("value").alias(f"v_{n}"))
+    side = lambda c, n: flattened(df, keys, c).select(*keys, "path", F.col("kind").alias(f"k_{n}"), F.col("value").alias(f"v_{n}"))
     both = side(actual, "a").join(side(expected, "e"), [*keys, "path"])  # paths of one side only show in their parent's fields
     x, y = F.col("v_a").try_cast("double"), F.col("v_e").try_cast("double")
     near = F.abs(x - y) <= F.greatest(F.lit(absolute), relative * F.greatest(F.abs(x), F.abs(y)))
     same = (F.col("k_a") == F.col("k_e")) & F.when(F.col("k_e") == "number", near).otherwise(F.col("v_a").eqNullSafe(F.col("v_e")))
     fault = F.when(F.col("k_e") == "object", "fields").when(F.col("k_e") == "array", "length").otherwise("value")
-    return both.where(~F.coalesce(same, F.lit(False))).select(*keys, "path", fault.alias("fault"))
+    return both.where(~F.coalesce(same, F.lit(False))).select(*keys, F.array_join("path", ".").alias("path"), fault.alias("fault"))
 
 
 def contained(root: str, path: str) -> str:
