@@ -5,7 +5,7 @@ import os
 import pandas as pd
 import pytest
 
-from tideline.plans import audit_queries, record_queries, run_queries, value_queries  # noqa: F401
+from tideline.plans import audit_queries, record_queries, run_queries, source_queries, value_queries  # noqa: F401
 from tideline.plans.oracles import ORACLES as BASE
 from tideline.plans.queries import QUERIES as FIRST
 

@@ -64,5 +64,5 @@ def test_records_are_assembled_by_one_shuffle(spark):
     whole = snapshots.assembled({"rows": (a, ["k"]), "scores": (b, [])}, "case")
     got = {r["case"]: ([(x["k"], x["v"]) for x in r["rows"]], [x["score"] for x in r["scores"]]) for r in whole.collect()}
     assert got == {1: ([(1, "a"), (2, "b")], [0.5]), 2: ([(1, "c")], []), 3: ([], [None])}
-    plan = whole._jdf.queryExecution().executedPlan().toString()
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -44,14 +44,22 @@ def violations(saved: DataFrame, again: DataFrame, key: str, doc: str, k: int =
 
 
 def links(facts: DataFrame, items: DataFrame, fact: str, alias: str, item: str, text: str) -> DataFrame:
-    """(fact, item) where an item's text has an alias as whole words: they meet on the alias's first word, then the whole is
-    looked for."""
-    from tideline.functions import text as words
-
-    own = facts.select(fact, words.tokens(alias).alias("a")).where("size(a) > 0")
-    own = own.select(fact, F.col("a")[0].alias("word"), F.concat(F.lit(" "), F.array_join("a", " "), F.lit(" ")).alias("phrase"))
-    there = items.select(item, words.tokens(text).alias("t")).select(item, F.explode(F.array_distinct("t")).alias("word"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("whole"))
-    return there.join(own, "word").where(F.contains("whole", F.col("phrase"))).select(fact, item).distinct()
+    """(fact, item) where an item's text has an alias as whole words. Ids of facts and items meet on the alias's rarest word; only
+    where it has more words is a text fetched, once for each item that is hit, and looked through."""
+    own = facts.select(fact, words_of.tokens(alias).alias("a")).where("size(a) > 0")
+    asked = own.select(F.explode(F.array_distinct("a")).alias("word")).distinct()
+    there = items.select(item, F.explode(F.array_distinct(words_of.tokens(text))).alias("word"))
+    there = settled(there.join(asked, "word", "left_semi"), "words")
+    often = there.groupBy("word").agg(F.count("*").alias("n"))
+    each = own.select(fact, F.explode(F.array_distinct("a")).alias("word")).join(often, "word", "left")
+    # a word that no item has is the rarest: it meets nothing
+    rarest = each.groupBy(fact).agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("word"))
+    met = settled(there.join(rarest, "word").select(fact, item).join(own.select(fact, F.size("a").alias("words"), F.concat(F.lit(" "), F.array_join("a", " "), F.lit(" ")).alias("phrase")), fact), "met")
+    several = met.where("words > 1")
+    texts = items.join(several.select(item).distinct(), item, "left_semi").select(item, F.concat(F.lit(" "), F.array_join(words_of.tokens(text), " "), F.lit(" ")).alias("whole"))
+    found = several.groupBy(item).agg(F.collect_list(F.struct(fact, "phrase")).alias("asked")).join(texts, item)  # facts that share an item's words
+    found = found.select(item, F.explode(F.filter("asked", lambda x: F.contains(F.col("whole"), x["phrase"]))).alias("x")).select(f"x.{fact}", item)
+    return met.where("words = 1").select(fact, item).union(found).distinct()
 
 
 def ranked_whole(scores: DataFrame, query: str, item: str) -> DataFrame:

@@ -112,18 +112,19 @@ def ceiling(contents: Column, output: Column) -> Column:
     return F.struct(upper.alias("input_ceiling"), fits.alias("fits"), F.when(fits, (upper * PRICE_IN + output * PRICE_OUT) / 1e6).alias("reserved"))
 
 
-def roster_violations(people: DataFrame) -> DataFrame:
-    """Rules of a roster (reviewer_id, person_id, role, background, is_human, independent, qualified): the two reviewers A and
-    B and the adjudicator C are three people, all known, human and independent; C and one of A and B are qualified."""
+def roster_violations(people: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """Rules of rosters (scope, reviewer_id, person_id, role, background, is_human, independent, qualified), one per scope: the two
+    reviewers A and B and the adjudicator C are three people, all known, human and independent; C and one of A and B are qualified."""
     from tideline.operators import checks
 
+    scope = list(scope)
     who, told = F.col("reviewer_id"), lambda c: F.coalesce(F.length(F.btrim(c)) > 0, F.lit(False))
     each = {
         "reviewer": who.isin("A", "B", "C"), "person": told("person_id") & told("background"), "human": F.col("is_human") & F.col("independent"),
         "role": F.col("role") == F.when(who == "C", "adjudicator").otherwise("reviewer"), "adjudicator": (who != "C") | F.col("qualified"),
     }
-    out = checks.duplicates(people, ["reviewer_id"]).unionByName(checks.duplicates(people, ["person_id"]))
+    out = checks.duplicates(people, [*scope, "reviewer_id"]).unionByName(checks.duplicates(people, [*scope, "person_id"]))
     for rule, condition in each.items():
-        out = out.unionByName(checks.holds(people, rule, ["reviewer_id"], condition, F.col("person_id")))
-    found = people.agg(F.count_distinct("reviewer_id").alias("n"), F.count_if(who.isin("A", "B") & F.col("qualified")).alias("q")).withColumn("reviewer_id", F.lit("all"))
-    return out.unionByName(checks.holds(found, "three", ["reviewer_id"], F.col("n") == 3, F.col("n"))).unionByName(checks.holds(found, "expertise", ["reviewer_id"], F.col("q") > 0, F.col("q")))
+        out = out.unionByName(checks.holds(people, rule, [*scope, "reviewer_id"], condition, F.col("person_id")))
+    found = people.groupBy(*scope).agg(F.count_distinct("reviewer_id").alias("n"), F.count_if(who.isin("A", "B") & F.col("qualified")).alias("q")).withColumn("reviewer_id", F.lit("all"))
+    return out.unionByName(checks.holds(found, "three", [*scope, "reviewer_id"], F.col("n") == 3, F.col("n"))).unionByName(checks.holds(found, "expertise", [*scope, "reviewer_id"], F.col("q") > 0, F.col("q")))

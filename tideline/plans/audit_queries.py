@@ -297,14 +297,23 @@ def citation_codes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(",", judging.citation_errors(texts("a", "b"), observations, named, label, texts())).alias("codes"))
 
 
-@query("""SELECT 'duplicate' AS rule, 'p2' AS key, '2' AS detail UNION ALL SELECT 'human', 'B', 'p2' UNION ALL SELECT 'role', 'C', 'p2' UNION ALL SELECT 'adjudicator', 'C', 'p2'""")
+_ROSTERS = """p AS (SELECT c_nationkey AS nation, ['A', 'B', 'C'][row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)] AS who, c_mktsegment AS person, c_acctbal AS b FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 3)"""
+
+
+@query(f"""WITH {_ROSTERS} SELECT 'duplicate' AS rule, nation || '|' || person AS key, count(*)::VARCHAR AS detail FROM p GROUP BY nation, person HAVING count(*) > 1
+UNION ALL SELECT 'human', nation || '|' || who, person FROM p WHERE b < 0 UNION ALL SELECT 'role', nation || '|C', person FROM p WHERE who = 'C' AND b < 3000 UNION ALL SELECT 'adjudicator', nation || '|C', person FROM p WHERE who = 'C' AND b < 5000
+UNION ALL SELECT 'three', nation || '|all', count(*)::VARCHAR FROM p GROUP BY nation HAVING count(*) < 3 UNION ALL SELECT 'expertise', nation || '|all', '0' FROM p GROUP BY nation HAVING count(*) FILTER (who < 'C' AND b >= 5000) = 0""")
 def roster_audit(spark, d):
-    """A roster of three by the first rows of a table, of whom two are one person, one isn't independent and one unqualified."""
-    who = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("r_regionkey") + 1).cast("int"))
-    people = table(spark, d, "region").where("r_regionkey < 3").select(
-        who.alias("reviewer_id"), F.when(F.col("r_regionkey") == 0, "p1").otherwise("p2").alias("person_id"), F.lit("reviewer").alias("role"), F.lit("some").alias("background"),
-        F.lit(True).alias("is_human"), (F.col("r_regionkey") != 1).alias("independent"), (F.col("r_regionkey") == 0).alias("qualified"))
-    return values.roster_violations(people)
+    """A roster of each nation's first three customers: persons by segment, qualified by balance; debtors count as no humans."""
+    from pyspark.sql import Window as W
+
+    place, b = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")), F.col("c_acctbal")
+    first = table(spark, d, "customer").withColumn("place", place).where("place <= 3")
+    who = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.col("place"))
+    people = first.select(
+        F.col("c_nationkey").alias("nation"), who.alias("reviewer_id"), F.col("c_mktsegment").alias("person_id"), F.when((F.col("place") == 3) & (b >= 3000), "adjudicator").otherwise("reviewer").alias("role"), F.lit("some").alias("background"),
+        (b >= 0).alias("is_human"), F.lit(True).alias("independent"), (b >= 5000).alias("qualified"))
+    return values.roster_violations(people, ["nation"])
 
 
 @query("""SELECT 'with' AS gold, source, round(avg(n_chars), 6) AS size, 'READY' AS status FROM documents GROUP BY 2 UNION ALL SELECT 'without', source, NULL, 'PENDING' FROM documents GROUP BY 2""")

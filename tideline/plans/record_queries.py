@@ -128,7 +128,11 @@ def first_per_group(spark, d):
     return records.first_per(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS item, conv_id // 4 AS batch, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id * 1000 + turn) - 1 AS k FROM conversations),
+h AS (SELECT batch, 0::BIGINT AS a, count(*)::BIGINT AS b FROM t GROUP BY batch
+  UNION ALL SELECT batch, unnest([a, (a + b) // 2]), unnest([(a + b) // 2, b]) FROM h WHERE b - a > 1 AND (SELECT sum(n) FROM t WHERE t.batch = h.batch AND k >= a AND k < b) > 2000),
+e AS (SELECT * FROM h WHERE b - a = 1 OR (SELECT sum(n) FROM t WHERE t.batch = h.batch AND k >= a AND k < b) <= 2000)
+SELECT t.batch, item, dense_rank() OVER (PARTITION BY t.batch ORDER BY a) - 1 AS part FROM t JOIN e ON e.batch = t.batch AND k >= a AND k < b""")
 def batch_bisection(spark, d):
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.expr("conv_id div 4").alias("batch"), F.octet_length("text").alias("size"))
     return records.bisected(turns, "batch", "item", "size", 2000)
