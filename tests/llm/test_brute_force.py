@@ -61,6 +61,37 @@ def test_tiling_equals_all_places():
     assert some > 50
 
 
+def test_windows_give_the_same_tiles(monkeypatch):
+    rng = random.Random(9)
+    some = 0
+    for _ in range(300):
+        letters = "abcdefgh"[: rng.randint(1, 6)]
+        item = [rng.choice(letters) for _ in range(rng.randint(1, 30))]
+        words = [rng.choice(letters) for _ in range(rng.randint(0, 60))]
+        block = decontamination.Block([decontamination.codes(item)])
+        found = []
+        for pairs in (1 << 20, -1):
+            monkeypatch.setattr(decontamination, "PAIRS", pairs)
+            found.append(list(block.found(decontamination.codes(words), 0.0)))
+        assert found[0] == found[1], (item, words)
+        some += len(found[0])
+    assert some > 50
+
+
+def test_repeated_words_take_linear_memory():
+    import resource
+    import time
+
+    for n, m in ((300_000, 15), (40_000, 4000)):
+        block = decontamination.Block([decontamination.codes(["same"] * m)])
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+        assert list(block.found(decontamination.codes(["same"] * n), 0.6)) == [(0, m, 1, m)]
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000 and time.time() - began < 20
+    item = ["a", "b"] * 500 + ["c"] * 300 + ["a"] * 700
+    block = decontamination.Block([decontamination.codes(item)])
+    assert list(block.found(decontamination.codes(["a"] * 9000 + ["c"] * 5000 + ["a", "b"] * 4000), 0.6))[0][1] == len(item)
+
+
 def test_leaks_of_the_table_equal_all_pairs(spark):
     docs, bench = (table(spark, DATA, n) for n in ("documents", "benchmark"))
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())

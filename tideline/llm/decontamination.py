@@ -6,7 +6,7 @@ sorted seeds of the benchmark; a bitmap passes most others by. The words of an i
 tiles can cover, so items that can't reach COVERAGE go before any tiling, also where a seed is in very many items.
 For each pair left, the longest match of unmarked words is marked again and again until none of SEED words is left: how
 far each shared place reaches is found with running Karp-Rabin sums, window lengths falling by halves, and cut at what is
-marked. So a passage that was cut and put back in another order is still covered by its tiles. An item leaks into a
+marked; where repeated words make more than PAIRS pairs of places, windows are compared as sets, in linear memory. So a passage that was cut and put back in another order is still covered by its tiles. An item leaks into a
 document if its tiles cover at least COVERAGE of the item's words. An item of no words never leaks.
 
 The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one pass over the documents for each
@@ -40,6 +40,8 @@ COVERAGE = 0.6
 BLOCK_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 22
+#: Pairs of places up to which they are listed; beyond it windows are compared as sets, with the same tiles.
+PAIRS = 1 << 20
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -98,7 +100,12 @@ class Block:
                 one = int(some[n])
                 mine, where = s[bounds[n] : bounds[n + 1]], k[bounds[n] : bounds[n + 1]]
                 lo, hi = np.searchsorted(seed, mine, side="left"), np.searchsorted(seed, mine, side="right")
-                got = tile(words, self.words[self.offsets[one] : self.offsets[one + 1]], at[_spread(lo, hi - lo)], np.repeat(where, hi - lo).astype(np.int64), size)
+                item_words = self.words[self.offsets[one] : self.offsets[one + 1]]
+                if (hi - lo).sum() <= PAIRS:
+                    got = tile(words, item_words, at[_spread(lo, hi - lo)], np.repeat(where, hi - lo).astype(np.int64), size)
+                else:  # places without their pairs, which repeated words make many of
+                    _, once = np.unique(mine, return_index=True)
+                    got = tile_windows(words, item_words, np.sort(at[_spread(lo[once], (hi - lo)[once])]), np.sort(where).astype(np.int64), size)
                 if got and sum(got) >= coverage * self.sizes[one]:
                     yield one, sum(got), len(got), max(got)
 
@@ -165,6 +172,44 @@ def tile(words: np.ndarray, item: np.ndarray, at: np.ndarray, k: np.ndarray, lea
         tiles.append(n)
 
 
+def tile_windows(words: np.ndarray, item: np.ndarray, at: np.ndarray, k: np.ndarray, least: int) -> list[int]:
+    """The same tiles in memory that is linear in both texts: the greatest length at which an unmarked window of either text is in
+    the other is found by halving, as lengths only fall; ``at`` and ``k`` are the places where runs may start, in order."""
+    low = int(at[0])
+    near = words[low : int(at[-1]) + len(item)]
+    at = at - low
+    (one, two), down = (_sums(near), _sums(item)), _tables(max(len(near), len(item)) + 1)[3]
+    ends = [np.full(len(near), len(near)), np.full(len(item), len(item))]  # the first marked place from here on
+    tiles: list[int] = []
+
+    def common(n: int) -> tuple[int, int] | None:
+        """The first place in the words, then in the item, of an unmarked window of n words that both have."""
+        x, y = at[ends[0][at] - at >= n], k[ends[1][k] - k >= n]
+        if not len(x) or not len(y):
+            return None
+        a, b = (one[x + n] - one[x]) * down[x], (two[y + n] - two[y]) * down[y]
+        hit = np.flatnonzero(np.isin(a, b))
+        return None if not len(hit) else (int(x[hit[0]]), int(y[np.flatnonzero(b == a[hit[0]])[0]]))
+
+    most = len(item)
+    while True:
+        n, high, found = least - 1, most, None
+        while n < high:
+            middle = (n + high + 1) // 2
+            if (place := common(middle)) is not None:
+                n, found = middle, place
+            else:
+                high = middle - 1
+        if found is None:
+            return tiles
+        for following, start in zip(ends, found, strict=True):
+            following[start : start + n] = np.arange(start, start + n)
+            before = following[:start]
+            before[before >= start] = start
+        tiles.append(n)
+        most = n
+
+
 def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list[np.ndarray], list]]:
     """Blocks of items as hashes of words, and the ids of their rows."""
     block: list = []
