@@ -279,3 +279,15 @@ def test_runs_may_not_claim_more_samples_than_bytes():
     began = time.time()
     found = media.describe(file)
     assert found["status"] == "error" and "more samples than bytes" in found["error"] and time.time() - began < 2
+
+
+def test_hidden_parts_threads_and_marked_sections_are_no_text():
+    say = "Some words that make a sentence of usual length, said here once more. "
+    one, two = f"First paragraph of it. {say * 2}".strip(), f"Third one ends it. {say * 3}".strip()
+    post = "".join(f'<div class="post"><span class="author">{n}</span> <time>May 3</time><p>I agree, {n}. {say}</p></div>' for n in ("ann", "bob", "cy"))
+    want = f"Title of it {one} {two}"
+    for inside, after in (
+        (f"<p hidden>{say}</p>", ""), (f'<div style="display:none"><p>{say}</p></div>', ""), (f'<p aria-hidden="true">{say}</p>', ""), (f"<![CDATA[ {say} ]]>", ""), ("", f'<div class="thread">{post}</div>'),
+    ):
+        page = f"<body><article><h1>Title of it</h1><p>{one}</p>{inside}<p>{two}</p></article>{after}<footer>x</footer></body>"
+        assert html_text.extract([page], html_text.train()) == [want], (inside, after)

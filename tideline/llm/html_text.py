@@ -13,7 +13,8 @@ with the odds of the other half) beside two counts by fixed lists, by which toke
 serves a whole process.
 
 White space inside a block becomes one space; blocks are joined in page order by one space; character references are
-decoded once. Scripts, styles, textareas and the page's title are skipped; formulas and drawings belong to the element
+decoded once. Elements that the page hides (``hidden``, ``display: none``) and marked sections outside drawings and formulas are
+no text. Scripts, styles, textareas and the page's title are skipped; formulas and drawings belong to the element
 around them, and the content of object, canvas, noscript, template, iframe and xmp is for the trees to judge.
 Broken markup: open elements end with the page, stray end tags are ignored, a tag without its end is text, an open svg or
 math ends at the next block tag. Any nesting depth works, as nothing recurses, and time grows with the page's length.
@@ -123,7 +124,7 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, str | None]]]:
         text(said, m.start())
         at = said = stop
         if m[3] is None:
-            if m[1] is not None:
+            if m[1] is not None and (open_["svg"] or open_["math"]):  # elsewhere it is a comment
                 segments.append((stack[-1][1], m[1], links > 0))
             continue
         tag, rest = m[3].lower(), page[m.end() : stop - 1]
@@ -306,7 +307,9 @@ def _layout(rng: random.Random) -> tuple[str, list[str]]:
     note = lambda: pick([f'<div class="{pick(["cookie-notice", "consent", "alert", "notice", "gdpr-banner", "popup"])}"><p>{say(5, 40)}</p><button>{word()}</button></div>', f'<div role="alert">{say(4, 25)}</div>', f'<div id="newsletter"><p>{say(4, 20)}</p><form><label>{word()}</label><input><button>{word()}</button></form></div>'])
     form = lambda: f"<form action=/s><fieldset><label>{say(1, 4)}</label><input name=q><select><option>{word()}</option><option>{word()}</option></select><p>{say(2, 12)}</p><button>{word()}</button></fieldset></form>"
     side = lambda: pick([f"<aside{at(['sidebar', 'related', 'widget'])}><h3>{say(1, 3)}</h3>{pick([f'<ul>{tags(rng.randint(2, 7))}</ul>', f'<p>{say(5, 60)}</p>', f'<p>{say(5, 30)}</p><p>{say(5, 30)}</p>'])}</aside>", f'<div class="{pick(["sidebar", "related-posts", "share", "popular", "side-col"])}"><h4>{say(1, 3)}</h4><ul>{tags(rng.randint(2, 7))}</ul></div>', f'<div id="sidebar"><p>{say(5, 60)}</p></div>'])
-    talk = lambda: (lambda n, kind: f"<{kind}{pick([' class=comments', ' id=comments', ' class=comment-list', ' class=discussion'])}><h3>{say(1, 3)}</h3>" + "".join(pick([f"<div class=comment><p>{say(4, 60)}</p></div>", f"<li class=reply>{say(4, 60)}</li>", f"<article class=comment><h4>{word()}</h4><p>{say(4, 60)}</p></article>"]) for _ in range(n)) + f"</{kind}>")(rng.randint(1, 6), pick(["section", "div"]))
+    talk = lambda: (lambda n, kind: f"<{kind}{pick([' class=comments', ' id=comments', ' class=comment-list', ' class=discussion'])}><h3>{say(1, 3)}</h3>" + "".join(pick([f"<div class=comment><p>{say(4, 60)}</p></div>", f"<li class=reply>{say(4, 60)}</li>", f"<article class=comment><h4>{word()}</h4><p>{say(4, 60)}</p></article>"]) for _ in range(n)) + f"</{kind}>")(rng.randint(1, 6), pick(["section", "div"])) if rng.random() < 0.7 else thread(rng.randint(2, 6), pick(["post", "item", "entry", "message"]))
+    # a thread: equal posts, each with who wrote it
+    thread = lambda n, one: f"<div class={pick(['thread', 'posts', 'board', 'answers'])}>" + "".join(f"<div class={one}>{pick([f'<span class=author>{word()}</span> <time>{word()} 3</time>', f'<b>{word()}</b> said:', f'<h4>{word()}</h4>'])}<p>{say(4, 60)}</p></div>" for _ in range(n)) + "</div>"
     foot = lambda: pick([f"<footer>&copy; {say(2, 15)}</footer>", f"<footer><p>{say(3, 20)}</p><ul>{tags(3)}</ul></footer>", f'<div class="footer">&copy; {say(3, 20)}</div>'])
 
     def body() -> str:
@@ -327,7 +330,7 @@ def _layout(rng: random.Random) -> tuple[str, list[str]]:
 
     shell = pick(["article", "article", "article", "main", "section", "div", "div"])
     names = ["content", "article-body", "post", "entry-content", "story", "main-text"]
-    attr = f' class="{pick(names)}"' if shell in ("div", "section") and rng.random() < 0.8 else at(names) if rng.random() < 0.4 else ""
+    attr = f' class="{pick(names)}"' if shell in ("div", "section") and rng.random() < 0.6 else at(names) if rng.random() < 0.4 else ""
     parts = [f"<{shell}{attr}>{body()}{talk() if rng.random() < 0.08 else ''}</{shell}>"]
     if rng.random() < 0.25:
         parts = [f"<div class={pick(['wrapper', 'container', 'page', 'row'])}>{side() if rng.random() < 0.5 else ''}{parts[0]}{side() if rng.random() < 0.4 else ''}</div>"]
@@ -371,7 +374,8 @@ def extract(pages: list[str], trees: Trees) -> list[str]:
     if not parsed:
         return []
     x, parent, depth, page = features(parsed, trees.odds)
-    keep = decode(trees.logits(x), parent, depth)
+    hidden = x[:, 3] > 0  # what a page hides is no text, whatever the trees say
+    keep = decode(np.where(hidden, -1e9, trees.logits(x)), parent, depth)
     first = np.searchsorted(page, np.arange(len(pages) + 1))
     return [join_blocks(segments, keep[first[i] : first[i + 1]]) for i, (_, segments) in enumerate(parsed)]
 
