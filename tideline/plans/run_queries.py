@@ -438,3 +438,42 @@ def failure_records(spark, d):
     )
     out = snapshots.failures(rows, "item_id", "miss", "gain")
     return out.select("item_id", "shown", "missed", "recovered", "lost", r("gain").alias("gain"), "visible_gain", "place")
+
+
+# --- the evaluation of a run ----------------------------------------------------------------------------------------------
+
+
+def _evaluated(spark, d):
+    from tideline.operators import evaluated
+    from tideline.sources import corpus
+
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
+    kept, relevant = docs.select("doc_id", "lang", F.sha2("text", 256).alias("item_sha256")), gold(spark, d)
+    manifest = spark.createDataFrame([(corpus.corpus_digest(kept),)], "corpus_sha256 string")
+    top = None
+    for method, q in (("whole", asked), ("cut", asked.withColumn("text", words.truncated(F.col("text"), 6)))):
+        one = retrieval.bm25(docs, q, "doc_id", "item_id").select(F.lit(method).alias("method"), F.lit(1).alias("repeat"), "item_id", "doc_id", "rank")
+        top = one if top is None else top.unionByName(one)
+    path = scratch(spark, "evaluation")
+    evaluated.evaluate(spark, path, top, relevant, kept, manifest, "item_id", "doc_id", "lang", F.expr("item_id div 4"), draws=200)
+    return path
+
+
+@query(f"""WITH {_CASES_OF}, m AS (SELECT 'whole' AS method, * FROM ma UNION ALL SELECT 'cut', * FROM mb)
+SELECT method, {", ".join(f"round(avg({c}), 6) AS {c}, count({c}) AS {c}_valid" for c in ("recall10", "strong_recall10", "ndcg10", "irrelevant10"))}, count(*) AS cases FROM m GROUP BY method""")
+def evaluation_summary(spark, d):
+    """Of whole and cut queries, as published by the evaluation."""
+    rows = spark.read.schema("method string, recall10 double, recall10_valid long, strong_recall10 double, strong_recall10_valid long, ndcg10 double, ndcg10_valid long, irrelevant10 double, irrelevant10_valid long, cases long").json(f"{_evaluated(spark, d)}/summary")
+    return rows.select(*[r(c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@query(f"""WITH {_CASES_OF}, t AS (SELECT 'whole' AS method, * FROM a UNION ALL SELECT 'cut', * FROM b), l AS (SELECT doc_id, lang FROM documents),
+h AS (SELECT method, item_id, lang, count(*) AS returned, count(*) FILTER (relevance >= 1) AS hits FROM t JOIN l USING (doc_id) LEFT JOIN gold USING (item_id, doc_id) WHERE rank <= 10 GROUP BY ALL),
+w AS (SELECT item_id, lang, count(*) FILTER (relevance >= 1) AS positives FROM gold JOIN l USING (doc_id) GROUP BY ALL), r AS (SELECT DISTINCT method, item_id FROM t),
+k AS (SELECT method, item_id, lang FROM r JOIN w USING (item_id) UNION SELECT method, item_id, lang FROM h),
+p AS (SELECT method, item_id, lang, coalesce(hits, 0) / nullif(positives, 0)::DOUBLE AS recall10, coalesce(returned, 0) / 10.0::DOUBLE AS share10 FROM k LEFT JOIN h USING (method, item_id, lang) LEFT JOIN w USING (item_id, lang))
+SELECT method, lang, round(avg(recall10), 6) AS recall10, count(recall10) AS recall10_valid, round(avg(share10), 6) AS share10, count(*) AS cases FROM p GROUP BY ALL""")
+def evaluation_groups(spark, d):
+    """By language of the documents, as published."""
+    rows = spark.read.schema("method string, lang string, recall10 double, recall10_valid long, share10 double, cases long").json(f"{_evaluated(spark, d)}/group_breakdown")
+    return rows.select("method", "lang", r("recall10").alias("recall10"), "recall10_valid", r("share10").alias("share10"), "cases")

@@ -9,7 +9,7 @@ from tideline.operators import cases
 from tideline.plans.queries import r
 from tideline.plans.record_queries import query
 from tideline.plans.run_queries import _CASES, _recipes
-from tideline.sources import files, generator
+from tideline.sources import corpus, files, generator
 from tideline.sources import records as imports
 from tideline.sources.files import table
 from tideline.sources.shared import filesystem, scratch
@@ -147,3 +147,54 @@ def case_violations(spark, d):
 
 #: The generator's metrics as the rules name them.
 _NAMES = dict(zip(("steps", "activity", "low"), cases.DAY_METRICS, strict=False)) | {"sleep": "sleep_duration_minutes", "rhr": "resting_heart_rate_bpm", "hrv": "hrv_rmssd_ms"}
+
+
+# --- a corpus from seeds and sources --------------------------------------------------------------------------------------
+
+_SEEDS = """f AS (SELECT source, min(doc_id) AS first FROM documents GROUP BY 1), o AS (SELECT f.source AS source_key, d.text, d.n_chars, CASE WHEN d.n_chars >= 400 THEN 'fetched' ELSE 'unavailable' END AS status FROM f JOIN documents d ON d.doc_id = f.first),
+s AS (SELECT d.doc_id AS place, d.source AS source_key, d.lang AS domain, string_split(d.text, ' ') AS w, md5(d.text) AS content FROM documents d),
+n AS (SELECT *, array_to_string(w[1:2], ' ') AS a1, array_to_string(w[3:3], ' ') AS a2, 'title ' || coalesce(w[1], '') AS title FROM s),
+b AS (SELECT n.*, o.status, o.text AS whole, contains(nt, {a1}) AS h1, contains(nt, {a2}) AS h2 FROM n JOIN (SELECT *, {text} AS nt FROM o) o USING (source_key))"""
+
+
+def _normal(c: str) -> str:
+    return rf"trim(replace(lower(regexp_replace({c}, '\s+', ' ', 'g')), 'ß', 'ss'))"
+
+
+_BORNE = _SEEDS.format(a1=_normal("a1"), a2=_normal("a2"), text=_normal("text"))
+
+
+def _corpus(spark, d):
+    """Each document as a seed, whose anchors its source's first document must hold."""
+    docs = table(spark, d, "documents")
+    w = F.split("text", " ")
+    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    seeds = docs.select(F.col("doc_id").alias("place"), F.col("source").alias("source_key"), F.col("lang").alias("domain"), F.concat(F.lit("title "), part(1, 1)).alias("title"), F.md5("text").alias("content"), F.array(part(1, 2), part(3, 1)).alias("anchors"))
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).join(docs.select("doc_id", "text", "n_chars"), "doc_id")
+    sources = first.select(F.col("source").alias("source_key"), F.when(F.col("n_chars") >= 400, corpus.FETCHED).otherwise("unavailable").alias("status"), F.concat(F.lit("https://"), "source").alias("source_url"), F.upper("source").alias("publisher"), "text")
+    return seeds, sources
+
+
+@query(f"""WITH {_BORNE}, q AS (SELECT lang AS domain, count(*) FILTER (n_chars > 200) AS n, count(*) AS found FROM documents GROUP BY 1), t AS (SELECT min(place) AS place, count(*) AS n FROM b GROUP BY {_normal("title || content")})
+SELECT 'source' AS rule, place::VARCHAR AS key FROM b WHERE status <> 'fetched' UNION ALL SELECT 'anchor', place::VARCHAR FROM b WHERE status = 'fetched' AND NOT (h1 AND h2)
+UNION ALL SELECT 'duplicate', place::VARCHAR FROM t WHERE n > 1 UNION ALL SELECT 'quota', domain FROM q WHERE n <> found""")
+def corpus_violations(spark, d):
+    seeds, sources = _corpus(spark, d)
+    quotas = table(spark, d, "documents").where("n_chars > 200").groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("n"))
+    return corpus.violations(seeds, sources, quotas).select("rule", "key")
+
+
+@query(f"""WITH {_BORNE}, i AS (SELECT printf('K%03d', row_number() OVER (ORDER BY place)) AS id, * FROM b)
+SELECT id, domain, title, upper(source_key) AS source, 'text anchors: ' || a1 || ' | ' || a2 AS source_locator,
+sha256('{{"content":"' || content || '","domain":' || to_json(domain) || ',"id":"' || id || '","source":' || to_json(upper(source_key)) || ',"source_locator":' || to_json('text anchors: ' || a1 || ' | ' || a2) || ',"source_url":' || to_json('https://' || source_key) || ',"status":"verified","title":' || to_json(title) || '}}') AS item_sha256
+FROM i WHERE status = 'fetched' AND h1 AND h2""")
+def corpus_items(spark, d):
+    """The items that their sources bear out, numbered as the seeds are, with digests of their records."""
+    return corpus.items(*_corpus(spark, d)).select("id", "domain", "title", "source", "source_locator", "item_sha256")
+
+
+@query(f"""WITH {_BORNE}, e AS (SELECT place, whole, unnest([a1, a2]) AS anchor, unnest([h1, h2]) AS h FROM b WHERE status = 'fetched'), x AS (SELECT place, anchor, regexp_replace(whole, '\\s+', ' ', 'g') AS t FROM e WHERE h)
+SELECT place, anchor, md5(substr(t, greatest(1, instr(t, anchor) - 700), instr(t, anchor) - greatest(1, instr(t, anchor) - 700) + 1900)) AS digest FROM x WHERE instr(t, anchor) > 0""")
+def review_contexts(spark, d):
+    found = corpus.review_contexts(*_corpus(spark, d))
+    return found.where("context IS NOT NULL").select("place", "anchor", F.md5("context").alias("digest"))
