@@ -275,11 +275,18 @@ def call_costs(spark, d):
     return out.withColumn("cost", r("cost", 9))
 
 
-@query()
+_CELLS = ", ".join(f"count(*) FILTER (a = {k} AND b = {k}) AS t{k}, count(*) FILTER (b = {k}) AS p{k}, count(*) FILTER (a = {k}) AS g{k}" for k in range(3))
+_F1 = " + ".join(f"coalesce(2 * sum(t{k}) / nullif(sum(p{k}) + sum(g{k}), 0)::DOUBLE, 0)" for k in range(3))
+
+
+@query(f"""WITH {_ABC}, c AS (SELECT doc_id % 20 AS subject, row_number() OVER (ORDER BY doc_id % 20) - 1 AS k, {_CELLS} FROM j GROUP BY doc_id % 20), n AS (SELECT count(*) AS n, count(*) >= 8 AND sum(g0) > 0 AND sum(g1) > 0 AND sum(g2) > 0 AS ready FROM c),
+g AS (SELECT draw, ready, ('0x' || substr(md5('20261016|' || draw || '|' || slot), 1, 8))::BIGINT % n AS k FROM (SELECT draw, n, ready, unnest(range(n)) AS slot FROM (SELECT unnest(range(200)) AS draw) CROSS JOIN n)),
+f AS (SELECT draw, ready, ({_F1}) / 3 AS f1 FROM g JOIN c USING (k) GROUP BY draw, ready), o AS (SELECT ready, count(*) AS draws, list(f1 ORDER BY f1) AS x FROM f GROUP BY ready)
+SELECT draws, CASE WHEN ready THEN round(x[5], 9) END AS low, CASE WHEN ready THEN round(x[195], 9) END AS high FROM o""")
 def macro_f1_bootstrap(spark, d):
     a, b, _ = _abc(spark, d)
     rows = judging.opinions(a, b, ["doc_id"], "relevance").withColumn("subject", F.col("doc_id") % 20)
-    return evaluation.f1_bootstrap(rows, "subject", "a", "b", [0, 1, 2], 200, "20261016")
+    return evaluation.f1_bootstrap(rows, "subject", "a", "b", [0, 1, 2], 200, "20261016").select("draws", r("low", 9).alias("low"), r("high", 9).alias("high"))
 
 
 @query("WITH m AS (SELECT lang, source, avg(n_chars) AS m FROM documents GROUP BY 1, 2) SELECT lang, source FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(m, 6) DESC, source) = 1")
