@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tideline.llm import decontamination, frames, html_text, language_model, media, mixing, neardup, pulearning, quality
-from tideline.plans import record_queries
 
 
 def test_language_model_learns_every_bigram(spark):
@@ -67,16 +66,6 @@ def test_items_that_share_an_id_or_have_none_are_all_searched(spark):
     assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()] == [9]
 
 
-def test_preference_cards_hold_all_parts_of_a_supplier(spark):
-    d = "/root/testdata/sf0.001"
-    want = {r[0]: r[1] for r in spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_suppkey").agg(F.countDistinct("l_partkey")).collect()}
-    got: dict = {}
-    for r in record_queries.preference_outcomes(spark, d).collect():
-        assert 1 <= r["applicable"] <= 10
-        got[r["l_suppkey"]] = got.get(r["l_suppkey"], 0) + r["applicable"]
-    assert got == want
-
-
 def test_formulas_and_embedded_text_of_an_article_stay():
     words = "Here is a sentence of the article that goes on for a while, with commas, and ends at last."
     shell = "<html><head><title>Out</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>More</a></li></ul></nav><article><h1>Head</h1>%s<p>LAST " + words + "</p></article><footer>&copy; me</footer></body></html>"
