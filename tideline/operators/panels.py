@@ -28,3 +28,12 @@ def panel_row(panel: DataFrame, cases: DataFrame, item: str, case: str) -> DataF
     whole = buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("panel_sha256"), F.sum("items").alias("items"), F.sum("memberships").alias("memberships_per_case"))
     counted = cases.agg(F.count_distinct(case).alias("cases"))
     return whole.join(counted).select("panel_sha256", "items", "cases", (F.col("items") * F.col("cases")).alias("pairs"), "memberships_per_case")
+
+
+def exposure_plan(cases: DataFrame, exposed: DataFrame, subject: str, case: str, order: list[str]) -> DataFrame:
+    """(subject, case, order) of the first case of each subject of whom no case was exposed: held out by subject, never by case. The
+    first is the least by ``order``, then the case; nothing of a label enters the choice."""
+    used = cases.join(exposed.select(case).distinct(), case, "left_semi").select(subject).distinct()
+    free = cases.join(used, subject, "left_anti")
+    first = free.groupBy(subject).agg(F.min(F.struct(*order, case)).alias("_f"))
+    return first.select(subject, *[F.col(f"_f.{c}").alias(c) for c in (case, *order)])

@@ -477,3 +477,13 @@ def evaluation_groups(spark, d):
     """By language of the documents, as published."""
     rows = spark.read.schema("method string, lang string, recall10 double, recall10_valid long, share10 double, cases long").json(f"{_evaluated(spark, d)}/group_breakdown")
     return rows.select("method", "lang", r("recall10").alias("recall10"), "recall10_valid", r("share10").alias("share10"), "cases")
+
+
+@query("""WITH c AS (SELECT user_id, user_id || '/' || ts::DATE AS "case", ts::DATE AS day, bool_or(event_type = 'error') AS seen FROM events GROUP BY ALL),
+f AS (SELECT * FROM c WHERE user_id NOT IN (SELECT user_id FROM c WHERE seen AND day < DATE '2024-01-03')) SELECT user_id, min("case") AS "case", min(day)::VARCHAR AS day FROM f GROUP BY user_id""")
+def exposure_plan(spark, d):
+    """The first day of each user none of whose first two days had an error."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    cases_ = e.groupBy("user_id", "day").agg(F.max(F.col("event_type") == "error").alias("seen")).withColumn("case", F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string")))
+    exposed = cases_.where(F.col("seen") & (F.col("day") < F.lit("2024-01-03").cast("date"))).select("case")
+    return panels.exposure_plan(cases_, exposed, "user_id", "case", ["day"]).select("user_id", "case", F.col("day").cast("string").alias("day"))
