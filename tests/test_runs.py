@@ -94,6 +94,10 @@ def test_a_full_run_is_written_once(spark):
     assert [(r["q"], r["doc"]) for r in run.rankings.orderBy("q", "rank").collect()] == [(1, 1), (1, 2), (1, 3), (3, 2), (3, 1), (3, 3)]
     with pytest.raises(Rejected, match="exists"):
         runs.FullRun(docs, asked, "doc", "q", path)
+    other = spark.createDataFrame([(1, 3, 9.0), (1, 1, 2.0), (3, 3, 5.0)], "q long, doc long, score double")
+    again = runs.FullRun(docs, asked, "doc", "q", shared.scratch(spark, "full"), budget=2, rerank=lambda pool: pool.join(other, ["q", "doc"]), pool=2)
+    assert [(r["q"], r["doc"], r["score"]) for r in again.reranked.orderBy("q", "rank").collect()] == [(1, 1, 2.0), (1, 2, None), (3, 1, None), (3, 2, None)]
+    assert again.manifest.first()["pool"] == 2 and run.reranked is None
 
 
 def test_a_release_is_whole_or_absent(spark):

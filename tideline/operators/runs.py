@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,9 +83,12 @@ class FullRun:
 
     The manifest's counts come from observations of the two writes, so nothing is read again for them: queries, those that
     were cut to ``budget`` tokens, blank ones (they get no ranking), their tokens, rows, documents' hits (scores above 0)
-    and the best score. Digests name the inputs: sums of hashes over rows, whatever their order."""
+    and the best score. Digests name the inputs: sums of hashes over rows, whatever their order.
+
+    ``rerank``, if given, gets the first ``pool`` of each ranking (query, doc) and gives other scores (query, doc, score), in whose
+    order they are put; that arm (``reranked``) has the pool only, and the two scores are never mixed."""
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, doc: str, query: str, path: str, method: str = "bm25", budget: int = 512, text: str = "text"):
+    def __init__(self, docs: DataFrame, queries: DataFrame, doc: str, query: str, path: str, method: str = "bm25", budget: int = 512, text: str = "text", rerank: Callable[[DataFrame], DataFrame] | None = None, pool: int = retrieval.TOP):
         if exists(docs.sparkSession, path):
             raise Rejected(f"{path} exists; choose a new version")
         if method != "bm25":
@@ -103,7 +108,12 @@ class FullRun:
         full = ranked_whole(scores, query, doc).observe(ranked, F.count("*").alias("rows"), F.count_if(F.col("score") > 0).alias("hits"), F.max("rank").alias("corpus"), F.max("score").alias("best_score"))
         full.write.parquet(f"{self.path}/rankings")
         self.rankings = self.spark.read.parquet(f"{self.path}/rankings")
-        facts = {"method": method, "query_budget": budget, "tie_breaking": f"{doc} ascending", **asked.get, **ranked.get}
+        self.reranked = None
+        if rerank is not None:
+            first = self.rankings.where(F.col("rank") <= pool)
+            retrieval.reranked(first, rerank(first.select(query, doc)), [query], doc, pool).write.parquet(f"{self.path}/reranked")
+            self.reranked = self.spark.read.parquet(f"{self.path}/reranked")
+        facts = {"method": method, "query_budget": budget, "pool": None if rerank is None else pool, "tie_breaking": f"{doc} ascending", **asked.get, **ranked.get}
         kinds = {"queries_digest": "string", "best_score": "double", "method": "string", "tie_breaking": "string"}
         self.spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in facts)).coalesce(1).write.parquet(f"{self.path}/manifest")
         self.manifest = self.spark.read.parquet(f"{self.path}/manifest")

@@ -120,6 +120,16 @@ def full_ranking_manifest(spark, d):
     return _full_run(spark, d).manifest.select("method", "query_budget", "queries", "truncated", "blank", "query_tokens", "rows", "hits", "corpus", r("best_score").alias("best_score"))
 
 
+@query(f"""WITH {_FULL}, p AS (SELECT item_id, doc_id, (n_chars % 97)::DOUBLE AS score FROM top JOIN documents USING (doc_id) WHERE rank <= 20)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p""")
+def reranked_pool(spark, d):
+    """The first twenty of each full ranking in the order of another score."""
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
+    scored = lambda pool: pool.join(docs.select("doc_id", (F.col("n_chars") % 97).cast("double").alias("score")), "doc_id")
+    run = runs.FullRun(docs, asked, "doc_id", "item_id", scratch(spark, "full"), budget=6, rerank=scored)
+    return run.reranked.select("item_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 # --- releases and panels --------------------------------------------------------------------------------------------------
 
 _LINES = """l AS (SELECT doc_id % 4 AS shard, string_agg(line || chr(10), '' ORDER BY doc_id) AS content FROM (SELECT doc_id, concat_ws('|', doc_id, lang, source, md5(text)) AS line FROM documents) GROUP BY ALL),
