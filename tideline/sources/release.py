@@ -39,7 +39,9 @@ def files(spark: SparkSession, folder: str, without: str = "freeze") -> DataFram
     """(name, bytes, sha256) of the files under a folder; the folder ``without`` is left out. Files beyond MOST have no digest."""
     root = _absolute(spark, folder)
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.regexp_replace(F.substring(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), len(root) + 2, 1 << 20), r"part-(\d{5})-[0-9a-f-]{36}(?:-c\d+|\.c\d+)*", "part-$1")
+    # a path may have a scheme and a host before the folder
+    inside = F.substring("path", F.locate(f"{root}/", F.col("path")) + len(root) + 1, 1 << 20)
+    name = F.regexp_replace(inside, r"part-(\d{5})-[0-9a-f-]{36}(?:-c\d+|\.c\d+)*", "part-$1")
     return own.select(name.alias("name"), F.col("length").alias("bytes"), F.when(F.col("length") <= MOST, F.sha2("content", 256)).alias("sha256")).where(~F.startswith("name", F.lit(f"{without}/")))
 
 
