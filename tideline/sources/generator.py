@@ -10,11 +10,14 @@ All metrics are minutes, counts, beats or milliseconds; times are minutes after
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.sources.files import spread
+
 START, DAYS, WINDOW = "2026-03-02", 42, 28
 
 #: What a metric is on all days of all recipes, as middle and half width of its noise.
@@ -109,33 +112,40 @@ def _interval(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-def bouts(lengths: Column, gap: Column, start: Column, busy_from: Column, busy_to: Column) -> Column:
-    """Intervals of the lengths, one after the other with gaps; one that would run into the busy time starts five minutes after it."""
-    none = F.array().cast("array<struct<start: int, end: int>>")
+def bouts(rows: DataFrame, n: Column, length: Callable[[Column], Column], before: Callable[[Column], Column], start: Column, busy_from: Column, busy_to: Column, name: str) -> DataFrame:
+    """The rows with ``n`` intervals, the k-th of ``length(k)`` minutes and ``before(k)`` minutes after the start, up to the first that would run
+    into the busy time: it starts five minutes after that time, and those that follow as much later as it does. What all intervals of a
+    row share is a column, so that it is computed once a row."""
+    at = lambda k: F.col("_from") + before(k)
+    rows = rows.withColumn("_from", start).withColumn("_places", F.sequence(F.lit(0), (n - 1).cast("int")))
+    hits = F.filter("_places", lambda k: (at(k) < busy_to) & (at(k) + length(k) > busy_from))
+    rows = rows.withColumn("_first", F.when(busy_to > busy_from, F.get(hits, F.lit(0))))
+    rows = rows.withColumn("_late", busy_to + 5 - at(F.col("_first")))
 
-    def laid(state: Column, length: Column) -> Column:
-        at = state["at"]
-        hit = (at < busy_to) & (at + length > busy_from) & (busy_to > busy_from)
-        first = F.when(hit, busy_to + 5).otherwise(at)
-        return F.struct((first + length + gap).cast("int").alias("at"), F.concat(state["all"], F.array(_interval(first, first + length))).alias("all"))
+    def laid(k: Column) -> Column:
+        first = at(k) + F.when(k >= F.col("_first"), F.col("_late")).otherwise(0)
+        return _interval(first, first + length(k))
 
-    return F.aggregate(lengths, F.struct(start.cast("int").alias("at"), none.alias("all")), laid, lambda s: s["all"])
+    return rows.withColumn(name, F.transform("_places", laid)).drop("_from", "_places", "_first", "_late")
 
 
-def generated_cases(cases: DataFrame, start: str = START) -> DataFrame:
+def generated_cases(cases: DataFrame, start: str = START, facts: tuple[str, ...] = ()) -> DataFrame:
     """Days of the cases (case, recipe from 1 to 24, seed): case, recipe, n (from 0), day, phase, wear and coverage, the metrics, those that are
-    missing, activity and low-movement intervals (minutes of the day; they may end after midnight)."""
-    days = cases.select("case", "recipe", "seed").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
-    rows = days.select("case", "recipe", "n", F.expr(f"date_add(DATE'{start}', n)").alias("day"), F.when(F.col("n") < WINDOW, "baseline").otherwise("window").alias("phase"), *[metric(m).alias(m) for m in USUAL])
+    missing, activity and low-movement intervals (minutes of the day; they may end after midnight), and the ``facts``, columns of the
+    case. Cases are dealt out over all cores first, since each becomes many days."""
+    days = spread(cases.select("case", "recipe", "seed", *facts)).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
+    rows = days.select("case", "recipe", "n", *facts, F.expr(f"date_add(DATE'{start}', n)").alias("day"), F.when(F.col("n") < WINDOW, "baseline").otherwise("window").alias("phase"), *[metric(m).alias(m) for m in USUAL])
     inside = F.col("n") >= WINDOW
     long, broken = (inside & F.col("recipe").isin(*style[0]) for style in (LONG, BROKEN))
     opportunity = F.when(F.col("recipe") == 17, 480).otherwise(F.col("sleep") + 20)
-    ten = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (F.floor(F.col("low") / 10) + F.when(k < F.col("low") % 10, 1).otherwise(0)).cast("int"))
-    listed = lambda values: F.array(*[F.lit(v) for v in values])
-    lengths = F.when(long, listed(LONG[1])).when(broken, listed(BROKEN[1])).otherwise(ten)
+    # of the bouts of a style: how many, the length of the k-th, and the minutes before it
+    styles = {name: (lambda k, x=lengths: F.element_at(F.array(*[F.lit(v) for v in x]), k + 1), lambda k, x=lengths, gap=gap: F.element_at(F.array(*[F.lit(sum(x[:i]) + i * gap) for i in range(len(x))]), k + 1)) for name, (_, lengths, gap) in (("long", LONG), ("broken", BROKEN))}
+    tenth, rest = F.floor(F.col("low") / 10).cast("int"), F.col("low") % 10
+    length = lambda k: F.when(long, styles["long"][0](k)).when(broken, styles["broken"][0](k)).otherwise(tenth + F.when(k < rest, 1).otherwise(0))
+    before = lambda k: F.when(long, styles["long"][1](k)).when(broken, styles["broken"][1](k)).otherwise(k * (tenth + GAP) + F.least(k, rest))
+    count = F.when(long, len(LONG[1])).when(broken, len(BROKEN[1])).otherwise(10)
     begun, ended = F.col("activity_start"), F.col("activity_start") + F.col("activity")
-    low = bouts(lengths, F.when(long, LONG[2]).otherwise(GAP), F.greatest(F.lit(600), F.col("wake") + 30), begun, ended)
-    rows = rows.withColumn("low_intervals", low)
+    rows = bouts(rows, count, length, before, F.greatest(F.lit(600), F.col("wake") + 30), begun, ended, "low_intervals")
     # a gap alone is no movement: each break between broken bouts holds an active minute
     minutes = F.transform(F.slice("low_intervals", F.lit(1), F.size("low_intervals") - 1), lambda i: _interval(i["end"] + 1, i["end"] + 2))
     left = F.col("activity") - F.size(minutes)
@@ -145,7 +155,7 @@ def generated_cases(cases: DataFrame, start: str = START) -> DataFrame:
     unworn = (F.col("recipe") == UNWORN[0]) & (F.col("n") == UNWORN[1])
     known = {m: F.when(unworn, None).otherwise(F.col(m)).alias(m) if m in UNKNOWN else F.col(m) for m in ("sleep", "wake", "steps", "activity", "low", "rhr", "hrv")}
     return rows.select(
-        "case", "recipe", "n", "day", "phase", F.when(unworn, 360).otherwise(720).alias("wear"), opportunity.cast("int").alias("coverage"), (F.col("wake") - opportunity).cast("int").alias("sleep_start"), *known.values(),
+        "case", "recipe", "n", *facts, "day", "phase", F.when(unworn, 360).otherwise(720).alias("wear"), opportunity.cast("int").alias("coverage"), (F.col("wake") - opportunity).cast("int").alias("sleep_start"), *known.values(),
         F.when(unworn, F.array(*[F.lit(m) for m in UNKNOWN])).otherwise(F.array().cast("array<string>")).alias("missing"),
         F.when(unworn, none).otherwise(active).alias("activity_intervals"), F.when(unworn, none).otherwise(F.col("low_intervals")).alias("low_intervals"),
     )
