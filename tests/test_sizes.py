@@ -20,5 +20,6 @@ def test_rules_of_metrics_are_one_pass(spark):
     daily = days.select("case", "day", *[F.col(c).cast("double").alias(n) for n, c in names.items()], F.when(F.col("n") == 3, 100).otherwise(F.col("wear")).alias("wear"), F.col("coverage").alias("night_coverage"), F.map_from_arrays(reasons, reasons).alias("missing"))
     at = lambda m: F.timestamp_add("MINUTE", F.col(m), F.col("day").cast("timestamp_ntz"))
     found = cases.metric_violations(daily, days.select("case", "day", at("sleep_start").alias("start_at"), at("wake").alias("end_at")))
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [("wear", "1|2026-03-05", "wear")]

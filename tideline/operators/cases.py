@@ -34,7 +34,7 @@ def metric_violations(daily: DataFrame, sleeps: DataFrame) -> DataFrame:
     """Nulls and reasons, wear and night coverage, wake date, sleep against opportunity, and finite values."""
     metrics = [*DAY_METRICS, *NIGHT_METRICS]
     nights = sleeps.groupBy("case", "day").agg(F.sum(minutes()).alias("opportunity"), F.min("start_at").alias("sleep_from"), F.max("end_at").alias("sleep_to"))
-    rows = daily.join(nights, ["case", "day"], "left")
+    rows = daily.join(nights.hint("merge"), ["case", "day"], "left")  # rows per case and day: their number isn't seen from a table of cases, so they'd be broadcast
     unknown = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.lit(m)) for m in metrics]))
     any_of = lambda names: reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in names])
     night = (F.col("night_coverage") >= LEAST_NIGHT) & (F.col("night_coverage") >= NIGHT_SHARE * F.col("opportunity"))
@@ -47,7 +47,7 @@ def metric_violations(daily: DataFrame, sleeps: DataFrame) -> DataFrame:
         "wake date": F.col("opportunity").isNull() | ((F.to_date("sleep_to") == F.col("day")) & (F.col("opportunity") > 0) & (F.col("opportunity") <= DAY_MINUTES) & F.datediff(F.col("day"), F.to_date("sleep_from")).isin(0, 1)),
         "noon anchor": F.col("opportunity").isNull() | ((at("sleep_from") >= 0) & (at("sleep_from") < DAY_MINUTES) & (at("sleep_to") > 0) & (at("sleep_to") <= DAY_MINUTES)),
     }
-    return reduce(DataFrame.unionByName, [checks.holds(rows, n, ["case", "day"], c, F.lit(n)) for n, c in rules.items()])
+    return checks.all_hold(rows, rules, ["case", "day"])
 
 
 def overlapping(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def interval_violations(daily: DataFrame, intervals: DataFrame, sleeps: DataFram
     """Bounds within one day, order, sums against totals and wear, overlaps by day and by night, natural days over 24 hours."""
     inside = (F.col("start_at") < F.col("end_at")) & (F.to_date("start_at") == F.col("day")) & (F.col("end_at") <= F.date_add("day", 1).cast("timestamp_ntz"))
     sums = intervals.groupBy("case", "day").agg(*[F.sum(F.when(F.col("kind") == k, minutes())).alias(f"sum_{k}") for k in TOTALS], F.sum(minutes()).alias("sum_all"))
-    rows = daily.join(sums, ["case", "day"], "left")
+    rows = daily.join(sums.hint("merge"), ["case", "day"], "left")
     out = [checks.holds(intervals, "bounds", ["case", "id"], inside, F.col("kind")), checks.holds(rows, "wear sum", ["case", "day"], F.coalesce(F.col("sum_all") <= F.col("wear"), F.lit(True)), F.col("sum_all"))]
     for k, total in TOTALS.items():
         s, t = F.coalesce(f"sum_{k}", F.lit(0.0)), F.col(total)
@@ -72,7 +72,7 @@ def interval_violations(daily: DataFrame, intervals: DataFrame, sleeps: DataFram
     both = overlaps(intervals.select("case", "id", "start_at", "end_at"), sleeps.select("case", "id", "start_at", "end_at"), ["case"])
     out.append(checks.holds(both, "day and night", ["case", "left_id"], F.lit(False), F.col("minutes")))
     nights = by_day(sleeps.select("case", "id", "start_at", "end_at")).groupBy("case", "day").agg(F.sum("minutes").alias("night"))
-    full = daily.join(nights, ["case", "day"], "left")
+    full = daily.join(nights.hint("merge"), ["case", "day"], "left")
     out.append(checks.holds(full, "natural day", ["case", "day"], F.coalesce(F.col("wear") + F.coalesce("night", F.lit(0.0)) <= DAY_MINUTES + 1e-7, F.lit(True)), F.col("night")))
     return reduce(DataFrame.unionByName, out)
 

@@ -30,6 +30,13 @@ def holds(df: DataFrame, rule: str, keys: list[str], condition: Column, detail:
     return _out(df.where(~F.coalesce(condition, F.lit(False))), rule, keys, detail)
 
 
+def all_hold(df: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
+    """As ``holds`` for several rules, in one pass over the rows; the detail is the rule."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
+    rows = df.select(*keys, F.explode(broken).alias("_rule"))
+    return _out(rows, "", keys, F.col("_rule")).withColumn("rule", F.col("detail"))
+
+
 def ranks(ranking: DataFrame, run: list[str], item: str, k: int) -> DataFrame:
     """Runs need the ranks 1 to k, distinct items, finite scores, and ties in order of items."""
     w = W.partitionBy(*run).orderBy("rank")

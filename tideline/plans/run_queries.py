@@ -238,10 +238,10 @@ def panel_release(spark, d):
 # --- generated cases ------------------------------------------------------------------------------------------------------
 
 
-def _recipes(spark, d):
-    """A case for each customer; 24 customers in a row share a seed."""
+def _recipes(spark, d, *facts):
+    """A case for each customer, with facts of its own; 24 customers in a row share a seed."""
     key = F.col("c_custkey")
-    return table(spark, d, "customer").select(key.alias("case"), (key % 24 + 1).cast("int").alias("recipe"), F.concat(F.lit("s"), F.expr("c_custkey div 24").cast("string")).alias("seed"))
+    return table(spark, d, "customer").select(*facts, key.alias("case"), (key % 24 + 1).cast("int").alias("recipe"), F.concat(F.lit("s"), F.expr("c_custkey div 24").cast("string")).alias("seed"))
 
 
 def _noise(metric: str, half: int, recipe: str = "coalesce(map {5: 3, 11: 9, 18: 16, 23: 21, 24: 22}[recipe], recipe)", day: str = "n") -> str:

@@ -133,8 +133,8 @@ WHERE (rule = 'finite' AND n = 5 AND bal < 0) OR (rule = 'wear' AND n = 10 AND s
 def case_violations(spark, d):
     """The generated cases against the rules of daily metrics: debtors have a value that isn't finite, builders too little wear, and
     rich ones lack the reasons for what is missing."""
-    facts = table(spark, d, "customer").select(F.col("c_custkey").alias("case"), "c_acctbal", "c_mktsegment")
-    days = generator.generated_cases(_recipes(spark, d)).join(facts, "case")
+    facts = ("c_acctbal", "c_mktsegment")
+    days = generator.generated_cases(_recipes(spark, d, *facts), facts=facts)
     reasons = F.when((F.col("n") == 36) & (F.col("c_acctbal") > 5000), F.array().cast("array<string>")).otherwise(F.transform("missing", lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv]), m)))
     at = lambda minute: F.timestamp_add("MINUTE", F.col(minute), F.col("day").cast("timestamp_ntz"))
     daily = days.select(
