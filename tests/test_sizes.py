@@ -23,3 +23,20 @@ def test_rules_of_metrics_are_one_pass(spark):
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [("wear", "1|2026-03-05", "wear")]
+
+
+def test_files_of_a_release_have_the_same_names_whatever_the_number_of_partitions(spark):
+    from tideline.sources import release, shared
+
+    setting, names, ids = "spark.sql.adaptive.coalescePartitions.enabled", set(), set()
+    rows = spark.range(40).select((F.col("id") % 4).alias("shard"), F.col("id").alias("_id"), F.concat(F.lit("line "), "id").alias("line"))
+    for coalesced in ("true", "false"):
+        spark.conf.set(setting, coalesced)
+        try:
+            path = shared.scratch(spark, "release")
+            names.add(tuple(sorted(r["name"] for r in release.publish(spark, path, {"lines": rows}, {}, {"lines": ["shard"]}, {"lines": ["_id"]}).collect())))
+            ids.add(spark.read.json(f"{path}/freeze/release").first()["release_id"])
+            assert release.violations(spark, path).isEmpty()
+        finally:
+            spark.conf.unset(setting)
+    assert names == {tuple(f"lines/shard={k}/part-00000.txt" for k in range(4))} and len(ids) == 1

@@ -185,7 +185,7 @@ def source_provenance(spark, d):
     """Customers as a file per nation, against a manifest made when no balance was negative."""
     path = scratch(spark, "raw")
     rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("k"), F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name").alias("line"), "c_acctbal")
-    rows.repartition("nation").sortWithinPartitions("nation", "k").select("nation", "line").write.partitionBy("nation").text(path)
+    release.write_lines(spark, rows.select("nation", F.col("k").alias("_k"), "line"), path, ["nation"], ["_k"])
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("k", "line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
     each = rows.groupBy("nation").agg(F.sha2(text(F.col("c_acctbal") >= 0), 256).alias("sha256"), F.count("*").alias("rows")).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), "n_name"), "nation")
     name = F.concat(F.lit("nation="), F.col("nation").cast("string"), F.lit("/part-00000.txt"))

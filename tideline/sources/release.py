@@ -13,6 +13,7 @@ MOST bytes are a violation (they can't be hashed as one value).
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -58,24 +59,38 @@ def release_id(manifest: DataFrame) -> str:
     return found["node"] if found else __import__("hashlib").sha256().hexdigest()
 
 
+def write_lines(spark: SparkSession, rows: DataFrame, path: str, parts: list[str], order: list[str], kind: str = "text") -> None:
+    """One sorted file for each value of ``parts``, in folders named by them, under the same name wherever its task ran; columns of
+    ``order`` that begin with _ aren't written."""
+    rows = rows.repartition(*parts).sortWithinPartitions(*parts, *order).drop(*[c for c in order if c.startswith("_")])
+    rows.write.partitionBy(*parts).option("ignoreNullFields", False).format(kind).save(path)
+    system, folder = filesystem(spark, path)
+    found = system.listFiles(folder, True)  # as many as there are values
+    while found.hasNext():
+        file = found.next().getPath()
+        if (name := file.getName()).startswith("part-"):
+            target = spark._jvm.org.apache.hadoop.fs.Path(file.getParent(), re.sub(r"^part-\d{5}", "part-00000", name))
+            if name != target.getName() and not system.rename(file, target):
+                raise OSError(f"{file} can't be renamed")
+
+
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], facts: dict | None = None, by: dict[str, list[str]] | None = None, order: dict[str, list[str]] | None = None) -> DataFrame:
     """Writes a release and returns its manifest. Each table becomes lines of JSON, or of text if it has but one column, a text, besides
-    those in ``by``, whose values name its folders; ``order`` sorts the lines of a file."""
+    those in ``by``, whose values name its folders (a file each, part-00000); ``order`` sorts the lines of a file."""
     if exists(spark, folder):
         raise Rejected(f"{folder} exists; choose a new version")
     staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
     try:
         for name, df in tables.items():
-            parts = (by or {}).get(name, [])
-            rows = df.repartition(*parts) if parts else df
-            if order and name in order:
-                rows = rows.sortWithinPartitions(*parts, *order[name])
-            lines = rows.drop(*[c for c in (order or {}).get(name, []) if c.startswith("_")])
-            writer = lines.write.partitionBy(*parts) if parts else lines.write
-            if [lines.schema[c].dataType.simpleString() for c in lines.columns if c not in parts] == ["string"]:
-                writer.text(f"{staging}/{name}")
-            else:
-                writer.option("ignoreNullFields", False).json(f"{staging}/{name}")
+            parts, keys = (by or {}).get(name, []), (order or {}).get(name, [])
+            lines = df.drop(*[c for c in keys if c.startswith("_")])
+            kind = "text" if [lines.schema[c].dataType.simpleString() for c in lines.columns if c not in parts] == ["string"] else "json"
+            if parts:
+                write_lines(spark, df, f"{staging}/{name}", parts, keys, kind)
+                continue
+            if keys:
+                lines = df.sortWithinPartitions(*keys).drop(*[c for c in keys if c.startswith("_")])
+            lines.write.option("ignoreNullFields", False).format(kind).save(f"{staging}/{name}")
         manifest = files(spark, staging)
         bad = manifest.where("sha256 IS NULL").limit(5).collect()
         if bad:
