@@ -49,3 +49,16 @@ def test_a_reference_to_a_day_of_zeros_exists(spark, tmp_path):
     rows.select("*", F.lit("2024-01-02 10:00:00").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
     found = {(r["ref"], r["value"], r["status"]) for r in resolved_references(spark, str(tmp_path)).collect()}
     assert found == {("d2.clicks", 0.0, "exists"), ("d5.value", None, "invalid")}
+
+
+def test_an_attempt_has_a_bounded_number_of_micro_batches(spark):
+    import glob
+
+    from tideline.operators import batches
+    from tideline.sources import shared
+
+    root = shared.scratch(spark, "batches")
+    run = batches.Run(spark.range(160).select("id"), "id", root, "out string", size=4, files=1, per_file=4)
+    done = run.resume(lambda b: b[["id"]].assign(out="x"))
+    assert done.count() == 160 and done.where("status <> 'completed'").isEmpty()
+    assert 1 < len(glob.glob(f"{root.removeprefix('file:')}/results/attempt=1/part=*")) <= batches.PARTS

@@ -7,7 +7,7 @@ mark that all of its plan was handled:
 
 - Batches are ``size`` items in the order of md5(seed, key). Those with an item whose last status isn't terminal are pending.
 - A plan is read as a stream of files with ``availableNow``; a file holds whole batches of about ``per_file`` items, and each
-  micro-batch takes ``files`` of them. Its batches are made side by side, each by one call of ``make``. What a micro-batch writes replaces what it may have
+  micro-batch takes ``files`` of them, or more where an attempt would have more than PARTS micro-batches: each has a fixed cost. Its batches are made side by side, each by one call of ``make``. What a micro-batch writes replaces what it may have
   written before, so one that is run again after a crash gives each item once. The stream's checkpoint knows which were handled.
 - A call that raises, or answers with other keys than it was given (missing, repeated or unknown), gives its items a row with the status
   ``failed`` and the error; other batches go on. After all results are written, the run raises if any batch of the attempt
@@ -33,6 +33,8 @@ from tideline.sources.records import exists, require_none
 from tideline.sources.shared import filesystem
 
 TERMINAL = ("completed", "empty_output")
+#: Micro-batches of an attempt, at most (fixed value).
+PARTS = 16
 
 
 class BatchesFailed(RuntimeError):
@@ -93,6 +95,12 @@ class Run:
             todo.repartition(files, "batch").write.mode("overwrite").parquet(f"{self.root}/plan/attempt={attempt}")
         return batches
 
+    def _files(self, plan: str) -> int:
+        """Files of a micro-batch."""
+        system, folder = filesystem(self.spark, plan)
+        written = sum(f.getPath().getName().startswith("part-") for f in system.listStatus(folder))
+        return max(self.files, -(-written // PARTS))
+
     def _made(self, todo: DataFrame, make: Callable) -> DataFrame:
         key, names, required = self.key, [f.name for f in self.outputs], self.required
         order = [f.name for f in self.schema]
@@ -129,7 +137,7 @@ class Run:
         elif not exists(self.spark, f"{self.root}/plan/attempt={last}/_SUCCESS"):
             self._plan(attempt)  # it was stopped while it was planning
         plan = f"{self.root}/plan/attempt={attempt}"
-        stream = self.spark.readStream.schema(self.spark.read.parquet(plan).schema).option("maxFilesPerTrigger", self.files).parquet(plan)
+        stream = self.spark.readStream.schema(self.spark.read.parquet(plan).schema).option("maxFilesPerTrigger", self._files(plan)).parquet(plan)
 
         def handle(rows: DataFrame, part: int) -> None:
             if stop_after is not None and part >= stop_after:
