@@ -62,3 +62,34 @@ def test_an_attempt_has_a_bounded_number_of_micro_batches(spark):
     done = run.resume(lambda b: b[["id"]].assign(out="x"))
     assert done.count() == 160 and done.where("status <> 'completed'").isEmpty()
     assert 1 < len(glob.glob(f"{root.removeprefix('file:')}/results/attempt=1/part=*")) <= batches.PARTS
+
+
+def test_rankings_are_made_once_for_an_evaluation(spark):
+    from tideline.operators import evaluated
+    from tideline.sources import corpus, shared
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(m, 1, q, i, i) for m in ("a", "b") for q in (1, 2) for i in (1, 2, 3)], "method string, repeat int, q long, item long, rank int")
+    items = spark.createDataFrame([(i, "x", f"{i:064x}") for i in (1, 2, 3)], "item long, lang string, item_sha256 string")
+    gold = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (2, 3, 0)], "q long, item long, relevance int")
+    manifest = spark.createDataFrame([(corpus.corpus_digest(items),)], "corpus_sha256 string")
+    evaluated.evaluate(spark, shared.scratch(spark, "evaluation"), rows.mapInArrow(counted, rows.schema), gold, items, manifest, "q", "item", "lang", F.expr("q"), draws=10)
+    assert made.value == rows.count()
+
+
+def test_ideal_gains_need_no_order_of_labels(spark):
+    import math
+
+    from tideline.operators import evaluation
+
+    gold = spark.createDataFrame([(1, i, 2 if i < 4 else 1) for i in range(30)], "q long, item long, relevance int")
+    out = evaluation.ranking_metrics(spark.createDataFrame([(1, 0, 1)], "q long, item long, rank int"), gold, ["q"], "q", "item")
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+    ideal = sum((3 if k <= 4 else 1) / math.log2(k + 1) for k in range(1, 11))
+    assert abs(out.first()["ndcg10"] - 3 / ideal) < 1e-12
