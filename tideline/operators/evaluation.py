@@ -15,10 +15,14 @@ def ranking_metrics(ranking: DataFrame, gold: DataFrame, run: list[str], case: s
     """Per run: Recall@5/10/20, strong recall@10, graded nDCG@10, irrelevant share@10. Items without a label count as 0;
     a case without positives has null recalls and nDCG, an empty ranking a null irrelevant share."""
     gain = lambda g: F.pow(F.lit(2.0), g) - 1
-    place = F.row_number().over(W.partitionBy(case).orderBy(F.desc("relevance"), item))
-    ideal = gold.withColumn("place", place).groupBy(case).agg(
-        F.count_if(F.col("relevance") >= 1).alias("positives"), F.count_if(F.col("relevance") >= 2).alias("strong"),
-        F.sum(F.when(F.col("place") <= 10, gain(F.col("relevance")) / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("idcg"),
+    # the ideal order is told by the counts of the grades: no task sorts a case's labels
+    grades = gold.groupBy(case, "relevance").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy(case).orderBy(F.desc("relevance")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = F.filter(F.sequence(F.lit(1), F.lit(10)), lambda p: (p > F.col("ahead")) & (p <= F.col("ahead") + F.col("n")))
+    discount = F.aggregate(places, F.lit(0.0), lambda s, p: s + 1 / F.log2(p + 1.0))
+    ideal = grades.withColumn("ahead", ahead).groupBy(case).agg(
+        F.coalesce(F.sum(F.when(F.col("relevance") >= 1, F.col("n"))), F.lit(0)).alias("positives"), F.coalesce(F.sum(F.when(F.col("relevance") >= 2, F.col("n"))), F.lit(0)).alias("strong"),
+        F.sum(F.coalesce(gain(F.col("relevance")), F.lit(0.0)) * discount).alias("idcg"),
     )
     hits = ranking.join(gold.select(case, item, "relevance"), [case, item], "left").withColumn("g", F.coalesce("relevance", F.lit(0)))
     within = lambda k, g: F.count_if((F.col("rank") <= k) & (F.col("g") >= g))
