@@ -93,3 +93,14 @@ def test_ideal_gains_need_no_order_of_labels(spark):
     assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
     ideal = sum((3 if k <= 4 else 1) / math.log2(k + 1) for k in range(1, 11))
     assert abs(out.first()["ndcg10"] - 3 / ideal) < 1e-12
+
+
+def test_batches_are_looked_at_in_slices():
+    import pyarrow as pa
+
+    from tideline.operators import retrieval
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array([["a"] * (k % 3) for k in range(2500)])], ["d", "t"])
+    parts = list(retrieval._slices([batch]))
+    assert [p.num_rows for p in parts] == [1024, 1024, 452]
+    assert sum(len(p.column(1).flatten()) for p in parts) == sum(k % 3 for k in range(2500))

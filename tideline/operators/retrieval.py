@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tideline.functions.text import tokens
 
 K1, B, RRF_K, TOP = 1.5, 0.75, 60, 20
+#: Documents that a task looks at side by side, and products that it makes of them at once (fixed values).
+SLICE, PRODUCTS = 1024, 1_000_000
 
 
 def top_k(scores: DataFrame, run: list[str], item: str, k: int = TOP, score: str = "score") -> DataFrame:
@@ -36,6 +38,13 @@ def _query_blocks(queries: DataFrame, query: str, text: str, most: int, words: i
         yield ids, terms
 
 
+def _slices(batches):
+    """Record batches of at most SLICE rows: arrays over a batch's words don't grow with the rows of a partition."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
+
+
 def _best(q: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query, by falling score, then id."""
     order = np.lexsort((np.unique(ids, return_inverse=True)[1], -s, q))
@@ -83,7 +92,7 @@ def _bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str,
         def count(batches, sent=sent_terms):
             wanted = pa.array(sent.value, pa.string())
             seen, n, length = np.zeros(len(wanted), np.int64), 0, 0
-            for batch in batches:
+            for batch in _slices(batches):
                 column = batch.column(1)
                 at = pc.index_in(column.flatten(), value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
@@ -110,7 +119,7 @@ def _bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str,
             def table(q, s, found, kind):
                 return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], query_type), pa.array(found.tolist(), kind), pa.array(s, pa.float64())], [query, doc, "score"])
 
-            for batch in batches:
+            for batch in _slices(batches):
                 names = batch.column(0).to_numpy(zero_copy_only=False)
                 lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
                 at = pc.index_in(batch.column(1).flatten(), value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -119,11 +128,11 @@ def _bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str,
                 row, term = pair // len(wanted), pair % len(wanted)
                 weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))
                 fan = np.diff(starts)[term]
-                # parts of at most some four million products, at document ends
+                # parts of at most some PRODUCTS products, at document ends
                 work = np.concatenate([[0], np.cumsum(np.bincount(row, fan, len(names)))])
                 a = 0
                 while a < len(names):
-                    b = max(a + 1, min(int(np.searchsorted(work, work[a] + 4e6, side="right")) - 1, a + 4_000_000 // len(ids)))
+                    b = max(a + 1, min(int(np.searchsorted(work, work[a] + PRODUCTS, side="right")) - 1, a + PRODUCTS // len(ids)))
                     lo, hi = np.searchsorted(row, [a, b])
                     f = fan[lo:hi]
                     post = np.repeat(starts[term[lo:hi]] - np.concatenate([[0], np.cumsum(f)[:-1]]), f) + np.arange(f.sum())
