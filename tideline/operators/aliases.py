@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.sources.files import slots
+
 
 def proven(proofs: DataFrame, scope: str, alias: str, target: str) -> DataFrame:
     """(scope, alias, target, fault) of all pairs that were seen: the fault is null where, within the scope, the alias has one target
-    and the target one alias, grouped both ways. Nulls on either side prove nothing."""
-    pairs = proofs.where(F.col(scope).isNotNull() & F.col(alias).isNotNull() & F.col(target).isNotNull()).select(scope, alias, F.col(target).cast("string").alias(target)).distinct()
-    targets, sources = pairs.groupBy(scope, alias).agg(F.count("*").alias("_t")), pairs.groupBy(scope, target).agg(F.count("*").alias("_s"))
-    fault = F.when(F.col("_t") > 1, "ambiguous alias").when(F.col("_s") > 1, "shared target")
-    return pairs.join(targets, [scope, alias]).join(sources, [scope, target]).select(scope, alias, target, fault.alias("fault"))
+    and the target one alias, counted both ways. Nulls on either side prove nothing."""
+    told = proofs.where(F.col(scope).isNotNull() & F.col(alias).isNotNull() & F.col(target).isNotNull()).select(scope, alias, F.col(target).cast("string").alias(target))
+    n = slots(told)
+    counted = lambda rows, *by: rows.withColumn(f"_{by[1]}", F.count("*").over(W.partitionBy(*by)))
+    pairs = counted(told.repartition(n, scope, alias).distinct(), scope, alias)
+    pairs = counted(pairs.repartition(n, scope, target), scope, target)
+    fault = F.when(F.col(f"_{alias}") > 1, "ambiguous alias").when(F.col(f"_{target}") > 1, "shared target")
+    return pairs.select(scope, alias, target, fault.alias("fault"))
 
 
 def _walk(c: Column, kind: T.DataType, fields: set[str], name: str, change) -> Column:
@@ -47,8 +53,9 @@ def rewritten(docs: DataFrame, scope: str, column: str, fields: list[str], patte
     was. Other texts in the fields stay. A scope's aliases are those of one index and go with its documents as one map."""
     names, kind = set(fields), docs.schema[column].dataType
     good = proven(proofs, scope, alias, target).where("fault IS NULL")
-    maps = good.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct(F.col(alias), F.col(target)))).alias("_map"))
-    rows = docs.join(maps, scope, "left")
+    n = slots(docs, proofs)
+    maps = good.repartition(n, scope).groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct(F.col(alias), F.col(target)))).alias("_map"))
+    rows = docs.repartition(n, scope).join(maps, scope, "left")
     used = _found(F.col(column), kind, names, column)
     if used is None:
         raise ValueError(f"{column} has none of the fields {fields}")

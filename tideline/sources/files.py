@@ -20,6 +20,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that a task takes at most, on the average, of what is dealt out for sorting or grouping (fixed value).
+PER_TASK = 500_000
+
+
+def slots(*frames: DataFrame) -> int:
+    """Partitions for the largest of the frames: their number grows with its rows, so that no task does. Frames that are dealt out
+    by the same keys into the same number of them are joined and grouped by these keys where they lie."""
+    return max([f.sparkSession.sparkContext.defaultParallelism for f in frames] + [-(-f.count() // PER_TASK) for f in frames])
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped, a broken line fails the scan."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
