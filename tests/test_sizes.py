@@ -104,3 +104,15 @@ def test_batches_are_looked_at_in_slices():
     parts = list(retrieval._slices([batch]))
     assert [p.num_rows for p in parts] == [1024, 1024, 452]
     assert sum(len(p.column(1).flatten()) for p in parts) == sum(k % 3 for k in range(2500))
+
+
+def test_tasks_of_proofs_take_a_bounded_number_of_rows(spark, monkeypatch):
+    from tideline.operators import aliases
+    from tideline.sources import files
+
+    monkeypatch.setattr(files, "PER_TASK", 100)
+    proofs = spark.range(2000).select((F.col("id") % 500).alias("scope"), F.concat(F.lit("a."), (F.col("id") % 4).cast("string")).alias("alias"), F.col("id").alias("target"))
+    found = aliases.proven(proofs, "scope", "alias", "target")
+    assert found.rdd.getNumPartitions() == 20 and found.count() == 2000
+    docs = spark.range(500).select(F.col("id").alias("scope"), F.struct(F.lit("a.0").alias("ref")).alias("record"))
+    assert aliases.rewritten(docs, "scope", "record", ["ref"], r"^a\.\d+$", proofs, "alias", "target").rdd.getNumPartitions() == 20
