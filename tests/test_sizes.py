@@ -116,3 +116,13 @@ def test_tasks_of_proofs_take_a_bounded_number_of_rows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 20 and found.count() == 2000
     docs = spark.range(500).select(F.col("id").alias("scope"), F.struct(F.lit("a.0").alias("ref")).alias("record"))
     assert aliases.rewritten(docs, "scope", "record", ["ref"], r"^a\.\d+$", proofs, "alias", "target").rdd.getNumPartitions() == 20
+
+
+def test_documents_are_compared_without_a_shuffle(spark):
+    from tideline.operators import values
+
+    rows = spark.createDataFrame([(1, '{"l": [1, {"x": null}], "o": {"a": 1}}', '{"l": [1, {"x": 2}, 3], "o": {"b": 1}}'), (2, '{"n": 1, "0": 2}', '[3]'), (3, "[1, 2]", "[1, 2.0]")], "id int, actual string, expected string")
+    found = values.compared(rows, ["id"], "actual", "expected")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {tuple(r) for r in found.collect()} == {(1, "$.l", "length"), (1, "$.l.1.x", "value"), (1, "$.o", "fields"), (2, "$", "length"), (2, "$.0", "value")}

@@ -69,8 +69,7 @@ def flattened(df: DataFrame, keys: list[str], document: str) -> DataFrame:
     rows = df.select(*keys, F.array(F.lit("$")).alias("path"), F.try_parse_json(document).alias("v"))
     out = None
     while True:
-        kind = F.coalesce(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), F.lit("INVALID"))
-        rows = rows.withColumn("kind", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").otherwise(F.lower(kind)))
+        rows = rows.withColumn("kind", _kind(F.col("v")))
         members = F.when(F.col("kind") == "object", F.map_entries(F.variant_get("v", "$", "map<string,variant>")))
         places = F.when(F.col("kind") == "array", F.transform(F.variant_get("v", "$", "array<variant>"), lambda x, k: F.struct(k.cast("string").alias("key"), x.alias("value"))))
         rows = rows.withColumn("inner", F.coalesce(members, places))
@@ -83,16 +82,45 @@ def flattened(df: DataFrame, keys: list[str], document: str) -> DataFrame:
         rows = below.select(*keys, "path", F.try_parse_json("text").alias("v"))
 
 
+def _kind(v: Column) -> Column:
+    kind = F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("INVALID"))
+    return F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").otherwise(F.lower(kind))
+
+
+def _members(kind: Column, v: Column) -> Column:
+    """An object's fields, or an array's elements by their places, as one map; each value is wrapped, as it may be null."""
+    wrapped = lambda x: F.struct(x.alias("v"))
+    fields = F.when(kind == "object", F.transform_values(F.variant_get(v, "$", "map<string,variant>"), lambda k, x: wrapped(x)))
+    items = F.when(kind == "array", F.variant_get(v, "$", "array<variant>"))
+    places = F.map_from_arrays(F.transform(items, lambda x, k: k.cast("string")), F.transform(items, wrapped))
+    return F.coalesce(fields, places)
+
+
 def compared(df: DataFrame, keys: list[str], actual: str, expected: str, absolute: float = 1e-7, relative: float = 1e-8) -> DataFrame:
     """(keys, path, fault) where two JSON texts differ: other fields or lengths, other kinds (true is no number), numbers
-    further apart than allowed, other values. What lies under a differing object or array is not told again."""
-    side = lambda c, n: flattened(df, keys, c).select(*keys, "path", F.col("kind").alias(f"k_{n}"), F.col("value").alias(f"v_{n}"))
-    both = side(actual, "a").join(side(expected, "e"), [*keys, "path"])  # paths of one side only show in their parent's fields
-    x, y = F.col("v_a").try_cast("double"), F.col("v_e").try_cast("double")
-    near = F.abs(x - y) <= F.greatest(F.lit(absolute), relative * F.greatest(F.abs(x), F.abs(y)))
-    same = (F.col("k_a") == F.col("k_e")) & F.when(F.col("k_e") == "number", near).otherwise(F.col("v_a").eqNullSafe(F.col("v_e")))
-    fault = F.when(F.col("k_e") == "object", "fields").when(F.col("k_e") == "array", "length").otherwise("value")
-    return both.where(~F.coalesce(same, F.lit(False))).select(*keys, F.array_join("path", ".").alias("path"), fault.alias("fault"))
+    further apart than allowed, other values. What lies under a differing object or array is not told again. Both texts of a row
+    go down together, a pass a level, so nothing is shuffled."""
+    rows, out = df.select(*keys, F.array(F.lit("$")).alias("path"), F.col(actual).alias("a"), F.col(expected).alias("e")), None
+    while True:
+        differing = rows.where(~F.col("a").eqNullSafe(F.col("e")))  # equal texts have nothing to tell at any depth
+        rows = differing.select(*keys, "path", F.try_parse_json("a").alias("a"), F.try_parse_json("e").alias("e"))
+        rows = rows.select("*", _kind(F.col("a")).alias("k_a"), _kind(F.col("e")).alias("k_e"))
+        rows = rows.select("*", _members(F.col("k_a"), F.col("a")).alias("m_a"), _members(F.col("k_e"), F.col("e")).alias("m_e"))
+        value = lambda n: F.when(F.col(f"k_{n}") == "object", F.to_json(F.array_sort(F.map_keys(f"m_{n}")))).when(F.col(f"k_{n}") == "array", F.size(f"m_{n}").cast("string")).otherwise(F.try_variant_get(n, "$", "string"))
+        told = rows.select(*keys, "path", "k_a", "k_e", value("a").alias("v_a"), value("e").alias("v_e"))
+        x, y = F.col("v_a").try_cast("double"), F.col("v_e").try_cast("double")
+        near = F.abs(x - y) <= F.greatest(F.lit(absolute), relative * F.greatest(F.abs(x), F.abs(y)))
+        same = (F.col("k_a") == F.col("k_e")) & F.when(F.col("k_e") == "number", near).otherwise(F.col("v_a").eqNullSafe(F.col("v_e")))
+        fault = F.when(F.col("k_e") == "object", "fields").when(F.col("k_e") == "array", "length").otherwise("value")
+        level = told.where(~F.coalesce(same, F.lit(False))).select(*keys, F.array_join("path", ".").alias("path"), fault.alias("fault"))
+        out = level if out is None else out.unionByName(level)
+        # paths of one side only show in their parent's fields
+        both = F.filter(F.map_entries(F.map_zip_with("m_a", "m_e", lambda k, p, q: F.struct(p.alias("a"), q.alias("e")))), lambda m: m["value"]["a"].isNotNull() & m["value"]["e"].isNotNull())
+        inner = rows.select(*keys, "path", F.explode(both).alias("m"))
+        below = settled(inner.select(*keys, F.concat("path", F.array("m.key")).alias("path"), F.to_json("m.value.a.v").alias("a"), F.to_json("m.value.e.v").alias("e")), "level")
+        if below.isEmpty():
+            return out
+        rows = below
 
 
 def contained(root: str, path: str) -> str:

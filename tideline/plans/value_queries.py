@@ -8,7 +8,7 @@ from tideline.operators import records, runs, values
 from tideline.plans import oracles as base
 from tideline.plans.queries import r
 from tideline.plans.record_queries import query
-from tideline.sources.files import table
+from tideline.sources.files import spread, table
 
 # --- strict values --------------------------------------------------------------------------------------------------------
 
@@ -71,7 +71,7 @@ def document_differences(spark, d):
     number = F.when(k == 1, "1.00000000001").when(k == 2, "1.1").when(k == 4, "true").otherwise("1.0")
     document = lambda n, items, fields: F.concat(F.lit('{"n": '), n, F.lit(', "l": ['), items, F.lit('], "o": {'), fields, F.lit("}}"))
     actual = document(number, F.when(k == 3, "1, 2, 3").otherwise("1, 2"), F.when(k == 5, '"b": 1').otherwise('"a": 1'))
-    rows = table(spark, d, "events").select("event_id", actual.alias("actual"), document(F.lit("1.0"), F.lit("1, 2"), F.lit('"a": 1')).alias("expected"))
+    rows = spread(table(spark, d, "events").select("event_id")).select("event_id", actual.alias("actual"), document(F.lit("1.0"), F.lit("1, 2"), F.lit('"a": 1')).alias("expected"))
     return values.compared(rows, ["event_id"], "actual", "expected")
 
 
