@@ -126,3 +126,26 @@ def test_documents_are_compared_without_a_shuffle(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert {tuple(r) for r in found.collect()} == {(1, "$.l", "length"), (1, "$.l.1.x", "value"), (1, "$.o", "fields"), (2, "$", "length"), (2, "$.0", "value")}
+
+
+def test_a_task_sends_its_best_vectors_once(spark, monkeypatch):
+    from tideline.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTORS", 7, raising=False)
+    rows = [(k, [float(k * 37 % 11), 1.0]) for k in range(200)]  # many equal scores
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        sent = []
+        monkeypatch.setattr(retrieval, "top_k", lambda scores, *a: sent.append(scores) or scores)
+        assert retrieval.dense(vectors, asked, "vec_id", "query_id", k=5).count() == 4 * 2 * 5
+        monkeypatch.undo()
+        got = {}
+        for r in retrieval.dense(vectors, asked, "vec_id", "query_id", k=5).collect():
+            got[r["query_id"], r["rank"]] = r["vec_id"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q, (x, y) in rows[::50]:
+        best = sorted(rows, key=lambda v: (-(v[1][0] * x + v[1][1] * y), v[0]))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [v[0] for v in best]

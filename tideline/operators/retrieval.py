@@ -12,6 +12,8 @@ from tideline.functions.text import tokens
 K1, B, RRF_K, TOP = 1.5, 0.75, 60, 20
 #: Documents that a task looks at side by side, and products that it makes of them at once (fixed values).
 SLICE, PRODUCTS = 1024, 1_000_000
+#: Vectors that a task multiplies with a block of queries at once.
+VECTORS = 512
 
 
 def top_k(scores: DataFrame, run: list[str], item: str, k: int = TOP, score: str = "score") -> DataFrame:
@@ -46,8 +48,8 @@ def _slices(batches):
 
 
 def _best(q: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query, by falling score, then id."""
-    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -s, q))
+    """The k best of each query, by falling score (NaN first, as Spark has it), then id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -s, ~np.isnan(s), q))
     q, s, ids = q[order], s[order], ids[order]
     keep = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[keep], s[keep], ids[keep]
@@ -179,16 +181,20 @@ def dense(vectors: DataFrame, queries: DataFrame, item: str, query: str, vector:
 
         def run(batches, sent=sent):
             ids, matrix = sent.value
+            kept = None
             for batch in batches:
-                for a in range(0, batch.num_rows, 4096):
-                    part = batch.slice(a, 4096)
-                    values = part.column(1)
-                    m = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    names = part.column(0).to_numpy(zero_copy_only=False)
+                for a in range(0, batch.num_rows, VECTORS):
+                    part = batch.slice(a, VECTORS)
+                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    names, kind = part.column(0).to_numpy(zero_copy_only=False), part.column(0).type
                     s = np.round(matrix @ m.T, 9)
-                    for q in range(len(ids)):
-                        best = np.lexsort((names, -s[q]))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[q])), pa.array(names[best]), pa.array(s[q][best])], [query, item, "score"])
+                    # what is less than a slice's k-th can't be among the k best; its equals can
+                    least = np.partition(s, -k, axis=1)[:, -k, None] if part.num_rows > k else np.full((len(ids), 1), -np.inf)
+                    q, v = np.nonzero(~(s < least))
+                    found = (q, s[q, v], names[v])
+                    kept = _best(*(found if kept is None else (np.concatenate(x) for x in zip(kept, found, strict=True))), k)
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[2], kind), pa.array(kept[1])], [query, item, "score"])
 
         out = out.unionByName(vectors.select(item, vector).mapInArrow(run, schema))
     return top_k(out, [query], item, k)
