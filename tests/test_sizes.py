@@ -149,3 +149,22 @@ def test_a_task_sends_its_best_vectors_once(spark, monkeypatch):
     for q, (x, y) in rows[::50]:
         best = sorted(rows, key=lambda v: (-(v[1][0] * x + v[1][1] * y), v[0]))[:5]
         assert [got[q, k + 1] for k in range(5)] == [v[0] for v in best]
+
+
+def test_labels_of_ranked_documents_are_told_without_all_labels(spark, tmp_path):
+    from tideline.plans import queries
+
+    d = str(tmp_path)
+    docs = [(k, "one two three four five" if k % 7 == 0 else "others", None if k == 14 else "en" if k % 2 else "de", f"s{k % 3}") for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "two three four"), (2, "one two three four five"), (3, "absent words here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    found = [(i, k) for i in (1, 2) for k in range(0, 60, 7)]
+    want = {(i, n) for i, k in found for n, *_, lang, source in docs if lang and docs[k][2] == lang and docs[k][3] == source}
+    want = {(*p, 2 if p in found else 1) for p in want | set(found)}
+    labels = queries.gold(spark, d)
+    assert "max(" not in labels._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, labels.collect())) == sorted(want)
+    two = queries.passages(spark, d)
+    pairs = spark.createDataFrame([(i, k) for i in (1, 2, 3) for k in range(0, 60, 2)], "item_id long, doc_id long")
+    assert sorted(map(tuple, queries.relevance(spark, d, two, pairs).collect())) == sorted(w for w in want if w[1] % 2 == 0)
+    assert {(r["item_id"], r["relevance"]): r["n"] for r in queries.grade_counts(spark, d, two).collect()} == {(i, g): n for i in (1, 2) for g in (1, 2) if (n := sum(w[0] == i and w[2] == g for w in want))}

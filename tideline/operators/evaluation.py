@@ -11,12 +11,14 @@ def ratio(a, b):
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def ranking_metrics(ranking: DataFrame, gold: DataFrame, run: list[str], case: str, item: str) -> DataFrame:
+def ranking_metrics(ranking: DataFrame, gold: DataFrame, run: list[str], case: str, item: str, grades: DataFrame | None = None) -> DataFrame:
     """Per run: Recall@5/10/20, strong recall@10, graded nDCG@10, irrelevant share@10. Items without a label count as 0;
-    a case without positives has null recalls and nDCG, an empty ranking a null irrelevant share."""
+    a case without positives has null recalls and nDCG, an empty ranking a null irrelevant share. Where ``grades``, the number n
+    of a case's labels of each relevance, is given, ``gold`` need only hold the labels of ranked items."""
     gain = lambda g: F.pow(F.lit(2.0), g) - 1
     # the ideal order is told by the counts of the grades: no task sorts a case's labels
-    grades = gold.groupBy(case, "relevance").agg(F.count("*").alias("n"))
+    if grades is None:
+        grades = gold.groupBy(case, "relevance").agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(W.partitionBy(case).orderBy(F.desc("relevance")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     places = F.filter(F.sequence(F.lit(1), F.lit(10)), lambda p: (p > F.col("ahead")) & (p <= F.col("ahead") + F.col("n")))
     discount = F.aggregate(places, F.lit(0.0), lambda s, p: s + 1 / F.log2(p + 1.0))
