@@ -168,3 +168,12 @@ def test_labels_of_ranked_documents_are_told_without_all_labels(spark, tmp_path)
     pairs = spark.createDataFrame([(i, k) for i in (1, 2, 3) for k in range(0, 60, 2)], "item_id long, doc_id long")
     assert sorted(map(tuple, queries.relevance(spark, d, two, pairs).collect())) == sorted(w for w in want if w[1] % 2 == 0)
     assert {(r["item_id"], r["relevance"]): r["n"] for r in queries.grade_counts(spark, d, two).collect()} == {(i, g): n for i in (1, 2) for g in (1, 2) if (n := sum(w[0] == i and w[2] == g for w in want))}
+
+
+def test_cards_are_ordered_side_by_side(spark):
+    from tideline.operators import judging
+
+    cards = [(k, [f"i{j}" for j in range(k % 5)], False, [(f"i{a}", f"i{b}", judging.RELATIONS[(a + b + k) % 5]) for a in range(k % 5) for b in range(a + 1, k % 5)]) for k in range(60)]
+    df = spark.createDataFrame(cards, "c int, items array<string>, unsure boolean, pairs array<struct<l: string, r: string, q: string>>")
+    got = {r["c"]: (r["violations"], r["priority"], r["top_outcome"], r["best_set"]) for r in judging.ordered(df, ["c"]).collect()}
+    assert got == {c: judging.preference(items, pairs) for c, items, _, pairs in cards}

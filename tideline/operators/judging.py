@@ -36,53 +36,84 @@ def disagreements(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]
     return x.join(y, keys).where(~F.col("a").eqNullSafe(F.col("b")) | (F.col("ea") > 0) | (F.col("eb") > 0)).select(*keys, F.to_json("a").alias("a"), F.to_json("b").alias("b"))
 
 
+#: What may be wrong with a card, in alphabetical order; and numbers of cells that a task's matrices have at once.
+FAULTS = ("against a chain of judgments", "cycle", "missing pair", "pair outside the applicable items", "preference inside a tie", "repeated pair", "unknown relation")
+CELLS = 4_000_000
+
+
+def _orders(sizes: np.ndarray, card: np.ndarray, left: np.ndarray, right: np.ndarray, relation: np.ndarray):
+    """(faults, priority, top outcome, wins) of cards of ``sizes`` items; a judgment names its card, two items by their places
+    (-1: none of the card's) and the index of a relation (-1: unknown). Faults are rows of flags, wins a flag per item.
+
+    Matrices of ties and preferences are closed: ties are an equivalence, and a preference passes over ties and chains.
+    Cards of one size are looked at side by side."""
+    faults, starts = np.zeros((len(sizes), len(FAULTS)), bool), np.concatenate([[0], np.cumsum(sizes)])
+    flag = lambda name: faults[:, FAULTS.index(name)]
+    wins = np.zeros(starts[-1], bool)
+    said_any, open_any, unsure = (np.zeros(len(sizes), bool) for _ in range(3))
+    known = relation >= 0
+    outside = known & ((left == right) | (left < 0) | (right < 0))
+    flag("unknown relation")[card[~known]] = True
+    flag("pair outside the applicable items")[card[outside]] = True
+    good = known & ~outside
+    card, left, right, relation = card[good], left[good], right[good], relation[good]
+    order = np.argsort(sizes[card], kind="stable")
+    card, left, right, relation = card[order], left[order], right[order], relation[order]
+    ends = sizes[card]
+    for n in np.unique(sizes):
+        lo, hi = np.searchsorted(ends, [n, n + 1])
+        same = np.flatnonzero(sizes == n)
+        place = np.full(len(sizes), -1)
+        for first in range(0, len(same), step := max(1, CELLS // max(1, int(n * n)))):
+            own = same[first : first + step]
+            place[:] = -1
+            place[own] = np.arange(len(own))
+            c = place[card[lo:hi]]
+            i, j, q = left[lo:hi][c >= 0], right[lo:hi][c >= 0], relation[lo:hi][c >= 0]
+            c = c[c >= 0]
+            times = np.zeros((len(own), n, n), np.int32)
+            np.add.at(times, (c, np.minimum(i, j), np.maximum(i, j)), 1)
+            judged = (times > 0) | (times > 0).transpose(0, 2, 1)
+            tie, better = np.broadcast_to(np.eye(n, dtype=bool), judged.shape).copy(), np.zeros_like(judged)
+            is_ = lambda name: q == RELATIONS.index(name)
+            for x, y in ((i, j), (j, i)):
+                tie[c[is_("tie")], x[is_("tie")], y[is_("tie")]] = True
+            better[c[is_("left_preferred")], i[is_("left_preferred")], j[is_("left_preferred")]] = True
+            better[c[is_("right_preferred")], j[is_("right_preferred")], i[is_("right_preferred")]] = True
+            insufficient = is_("insufficient_information")
+            open_any[own[c[insufficient | is_("incomparable")]]] = True
+            unsure[own[c[insufficient]]] = True
+            flag("repeated pair")[own] = (times > 1).any((1, 2))
+            flag("missing pair")[own] = judged.sum((1, 2)) != n * (n - 1)
+            ties, said = tie.copy(), better
+            for k in range(n):
+                ties |= ties[:, :, k, None] & ties[:, None, k]
+            weight = ties.astype(np.float32)
+            over = (weight @ better.astype(np.float32) @ weight) > 0  # between the classes
+            direct = over.copy()
+            for k in range(n):
+                over |= over[:, :, k, None] & over[:, None, k]
+            round_ = (over & over.transpose(0, 2, 1)).any((1, 2))
+            inside = (ties & said).any((1, 2))
+            flag("cycle")[own], flag("preference inside a tie")[own] = round_ & ~inside, round_ & inside
+            flag("against a chain of judgments")[own] = ~round_ & (judged & (ties & ~tie | over & ~said)).any((1, 2))
+            said_any[own] = said.any((1, 2))
+            best = (ties | direct & said).all(2) & ~faults[own].any(1)[:, None]
+            wins[(starts[own][:, None] + np.arange(n)).ravel()] = best.ravel() & (n > 1)
+    number = np.add.reduceat(np.append(wins, False).astype(int), starts[:-1]) * (sizes > 0) if len(sizes) else sizes
+    lack = lambda other: np.where(unsure, "insufficient_information", other)
+    priority = np.where(sizes < 2, "not_comparable", np.where(said_any, np.where(open_any, "partial", "clear"), lack("none")))
+    top = np.where(sizes < 2, "not_comparable", np.where(number == 1, "unique_best", np.where(number > 1, "tied_best", lack("undetermined"))))
+    return faults, priority, top, wins
+
+
 def preference(items: list[str], pairs: list[tuple[str, str, str]]) -> tuple[list[str], str, str, list[str]]:
-    """(violations, priority, top outcome, best set) of one card: what its pairwise judgments imply.
-
-    Matrices of ties and preferences are closed: ties are an equivalence, and a preference passes over ties and chains."""
-    at = {x: k for k, x in enumerate(sorted(set(items)))}
-    n, bad = len(at), set()
-    tie, better, judged = np.eye(n, dtype=bool), np.zeros((n, n), bool), np.zeros((n, n), bool)
-    open_ = set()
-    for left, right, relation in pairs:
-        if relation not in RELATIONS:
-            bad.add("unknown relation")
-        elif left == right or left not in at or right not in at:
-            bad.add("pair outside the applicable items")
-        else:
-            i, j = at[left], at[right]
-            if judged[i, j]:
-                bad.add("repeated pair")
-            judged[i, j] = judged[j, i] = True
-            if relation == "tie":
-                tie[i, j] = tie[j, i] = True
-            elif relation == "left_preferred":
-                better[i, j] = True
-            elif relation == "right_preferred":
-                better[j, i] = True
-            else:
-                open_.add(relation)
-    if judged.sum() != n * (n - 1):
-        bad.add("missing pair")
-    ties, said = tie.copy(), better.copy()
-    for k in range(n):
-        ties |= np.outer(ties[:, k], ties[k])
-    over = (ties.astype(int) @ better.astype(int) @ ties.astype(int)) > 0  # between the classes
-    direct = over.copy()
-    for k in range(n):
-        over |= np.outer(over[:, k], over[k])
-    if (over & over.T).any():
-        bad.add("cycle" if not (ties & said).any() else "preference inside a tie")
-    elif (judged & ties & ~tie).any() or (judged & over & ~said).any():
-        bad.add("against a chain of judgments")
-    if n < 2:
-        return sorted(bad), "not_comparable", "not_comparable", []
-    unsure = "insufficient_information" in open_
-    priority = ("partial" if open_ else "clear") if said.any() else "insufficient_information" if unsure else "none"
-    wins = (ties | (direct & said)).all(1) if not bad else np.zeros(n, bool)
-    best = [x for x, k in at.items() if wins[k]]
-    top = "unique_best" if len(best) == 1 else "tied_best" if best else "insufficient_information" if unsure else "undetermined"
-    return sorted(bad), priority, top, best
+    """(violations, priority, top outcome, best set) of one card: what its pairwise judgments imply."""
+    own = sorted(set(items))
+    at, names = {x: k for k, x in enumerate(own)}, {x: k for k, x in enumerate(RELATIONS)}
+    told = np.array([(at.get(a, -1), at.get(b, -1), names.get(q, -1)) for a, b, q in pairs], dtype=int).reshape(-1, 3)
+    faults, priority, top, wins = _orders(np.array([len(own)]), np.zeros(len(told), int), told[:, 0], told[:, 1], told[:, 2])
+    return [f for f, x in zip(FAULTS, faults[0], strict=True) if x], str(priority[0]), str(top[0]), [x for x, w in zip(own, wins, strict=True) if w]
 
 
 def preferences(items: DataFrame, pairs: DataFrame, case: str, item: str = "item", applicability: str = "applicability") -> DataFrame:
@@ -90,24 +121,57 @@ def preferences(items: DataFrame, pairs: DataFrame, case: str, item: str = "item
 
     items (case, item, applicability), pairs (case, left, right, relation). A card has some ten items, so a case's arrays are
     small; an item whose applicability is unknown leaves the best set open."""
-    kind = items.schema[case].dataType.simpleString()
     own = items.groupBy(case).agg(F.collect_list(F.when(F.col(applicability) == "applicable", F.col(item).cast("string"))).alias("items"), F.max(F.col(applicability) == "insufficient_information").alias("unsure"))
     said = pairs.groupBy(F.col(case).alias("_c")).agg(F.collect_list(F.struct(F.col("left").cast("string").alias("l"), F.col("right").cast("string").alias("r"), F.col("relation").alias("q"))).alias("pairs"))
-    rows = own.join(said, F.col(case) == F.col("_c"), "left").select(case, "items", "unsure", "pairs")
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            out = []
-            for c, own, unsure, said in f.itertuples(index=False):
-                bad, priority, top, best = preference(list(own), [(p["l"], p["r"], p["q"]) for p in (said if said is not None else ())])
-                if unsure and len(own) > 1:
-                    top, best = "insufficient_information", []
-                out.append((c, len(own), bad, priority, top, best))
-            yield pd.DataFrame(out, columns=[case, "applicable", "violations", "priority", "top_outcome", "best_set"])
-
-    return rows.mapInPandas(run, f"{case} {kind}, applicable long, violations array<string>, priority string, top_outcome string, best_set array<string>")
+    return ordered(own.join(said, F.col(case) == F.col("_c"), "left").select(case, "items", "unsure", "pairs"), [case])
+
+
+def ordered(cards: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of cards (keys, items, unsure, pairs) that are already collected; pairs are structs of l, r and q, all texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = ", ".join(f"{k} {cards.schema[k].dataType.simpleString()}" for k in keys)
+    rows = cards.select(*keys, "items", F.coalesce("unsure", F.lit(False)).alias("unsure"), *[F.coalesce(F.col(f"pairs.{c}"), F.array().cast("array<string>")).alias(c) for c in "lrq"])
+
+    def owner(column):
+        return np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+
+    def lists(counts, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+    def run(batches):
+        relations, faults_ = pa.array(RELATIONS, pa.string()), pa.array(FAULTS, pa.string())
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
+                items, left, right, relation = (batch.column(batch.schema.get_field_index(c)) for c in ("items", "l", "r", "q"))
+                names = items.flatten().unique()
+                names = names.take(pc.sort_indices(names))  # in the order of code points
+                # a card's different items, sorted
+                own = np.unique(owner(items) * len(names) + pc.index_in(items.flatten(), value_set=names).to_numpy(zero_copy_only=False))
+                sizes = np.bincount(own // max(1, len(names)), minlength=len(batch))
+                starts, card = np.concatenate([[0], np.cumsum(sizes)])[:-1], owner(left)
+
+                def places(side, names=names, own=own, card=card, starts=starts):
+                    x = pc.index_in(side.flatten(), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+                    key = card * len(names) + x
+                    at = np.minimum(np.searchsorted(own, key), max(0, len(own) - 1))
+                    return np.where((x >= 0) & (own[at] == key), at - starts[card], -1) if len(own) else np.full(len(x), -1)
+
+                q = pc.index_in(relation.flatten(), value_set=relations).fill_null(-1).to_numpy(zero_copy_only=False)
+                faults, priority, top, wins = _orders(sizes, card, places(left), places(right), q)
+                told = pc.list_value_length(items).to_numpy(zero_copy_only=False)
+                open_ = batch.column(batch.schema.get_field_index("unsure")).to_numpy(zero_copy_only=False).astype(bool) & (told > 1)
+                top = np.where(open_, "insufficient_information", top)
+                who = own // max(1, len(names))
+                wins &= ~open_[who]
+                best = lists(np.bincount(who[wins], minlength=len(batch)), names.take(pa.array(own[wins] % max(1, len(names)))))
+                bad = lists(faults.sum(1), faults_.take(pa.array(np.nonzero(faults)[1])))
+                out = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(told, pa.int64()), bad, pa.array(priority.tolist(), pa.string()), pa.array(top.tolist(), pa.string()), best], [*keys, "applicable", "violations", "priority", "top_outcome", "best_set"])
+
+    return rows.mapInArrow(run, f"{kinds}, applicable long, violations array<string>, priority string, top_outcome string, best_set array<string>")
 
 
 def citation_errors(known: Column, observations: Column, conditions: Column, label: Column, missing: Column) -> Column:
