@@ -177,3 +177,35 @@ def test_cards_are_ordered_side_by_side(spark):
     df = spark.createDataFrame(cards, "c int, items array<string>, unsure boolean, pairs array<struct<l: string, r: string, q: string>>")
     got = {r["c"]: (r["violations"], r["priority"], r["top_outcome"], r["best_set"]) for r in judging.ordered(df, ["c"]).collect()}
     assert got == {c: judging.preference(items, pairs) for c, items, _, pairs in cards}
+
+
+def test_sums_of_days_do_not_depend_on_files(spark, tmp_path):
+    import duckdb
+
+    from tideline.operators import timeseries
+    from tideline.plans.oracles import ORACLES
+    from tideline.plans.queries import baseline_extrema_overlap
+
+    days = [(1, 2, [0.1, 0.2, 0.3]), (1, 25, [0.6]), (2, 2, [0.6]), (2, 25, [0.1, 0.2, 0.3]), (3, 2, [0.3, 0.2, 0.1]), (3, 25, [0.6]), (4, 2, [None]), (4, 25, [1.0])]
+    rows = [(k, u, f"2024-01-{day:02} 10:00:00", "click" if v == 0.2 else "view", v) for k, (u, day, v) in enumerate((u, day, v) for u, day, vs in days for v in vs)]
+    made = lambda part: spark.createDataFrame(part, "event_id long, user_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1)
+    made(rows).write.parquet(f"{tmp_path}/one/events.parquet")
+    for late in (True, False):  # the first event of a day is alone in a file, the others follow in another one
+        firsts = {min(r[0] for r in rows if r[1:3] == s[1:3]) for s in rows}
+        made([r for r in rows if (r[0] in firsts) != late]).write.mode("append").parquet(f"{tmp_path}/two/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/one/events.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLES["baseline_extrema_overlap"]).fetchall())
+    assert want == [(1, 0, 1), (2, 1, 0), (3, 0, 0), (4, 0, 0)]
+    for layout in ("one", "two"):
+        assert sorted(map(tuple, baseline_extrema_overlap(spark, f"{tmp_path}/{layout}").collect())) == want
+    sums = timeseries.totals(spark.read.parquet(f"{tmp_path}/two/events.parquet"), ["user_id", "ts"], ["event_id", "value"], value=F.col("value"), clicks=F.when(F.col("event_type") == "click", F.col("value")))
+    got = {(r["user_id"], r["ts"].day): (r["events"], r["value"], r["clicks"]) for r in sums.collect()}
+    assert got == {(u, day): (len(vs), None if vs == [None] else sum_in_order(vs), 0.2 if 0.2 in vs else None) for u, day, vs in days}
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:  # sum() corrects the error of the doubles it adds
+        total += v
+    return total

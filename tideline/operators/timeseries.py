@@ -7,6 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def totals(rows: DataFrame, keys: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """Sums per group, and its rows as ``events``. Doubles are added in the given order, which should leave open the place of equal
+    values only: a sum is the same however the rows are dealt out, and so is what compares sums. A running window spills, so that
+    a large group is one task's time, but not its memory."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    running = rows.select(*keys, F.row_number().over(w).alias("_n"), *[F.sum(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(k) for k, c in sums.items()])
+    return running.groupBy(*keys).agg(F.count("*").alias("events"), *[F.max_by(k, "_n").alias(k) for k in sums])
+
+
 def densify(daily: DataFrame, keys: list[str], start, end, day: str = "day") -> DataFrame:
     """Every day from start to end for every key; days without a row have null values."""
     days = daily.select(*keys).distinct().withColumn(day, F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))))
