@@ -280,3 +280,18 @@ def test_hidden_parts_threads_and_marked_sections_are_no_text():
     ):
         page = f"<body><article><h1>Title of it</h1><p>{one}</p>{inside}<p>{two}</p></article>{after}<footer>x</footer></body>"
         assert html_text.extract([page], html_text.train()) == [want], (inside, after)
+
+
+def test_the_driver_gets_a_sieve_in_blocks_and_no_row_for_each_word(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen = []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda self, f=getattr(DataFrame, name): seen.append(len(out := f(self))) or out)
+    for n in (0, 5, 300_000):
+        ids = spark.range(n).select((F.col("id") * 7919 - 1000).alias("id"))
+        sieve = neardup.Sieve(ids)
+        hashes = lambda rows: np.array([r[0] for r in rows.select(F.xxhash64("id")).toLocalIterator()], dtype=np.int64)
+        assert sieve.passed(hashes(ids)).all()
+        assert sieve.passed(hashes(spark.range(10**9, 10**9 + 2000).toDF("id"))).mean() < 0.15
+    assert sieve.bits == 23 and sum(seen) <= 1 + 1 + (1 << 17) // neardup.SIEVE_BLOCK  # a row per block, of 131,072 words
