@@ -209,3 +209,22 @@ def sum_in_order(values):
     for v in values:  # sum() corrects the error of the doubles it adds
         total += v
     return total
+
+
+def test_a_failure_record_holds_no_labels_of_documents_that_are_not_ranked(spark, tmp_path, monkeypatch):
+    from tideline.operators import snapshots
+    from tideline.plans import run_queries
+
+    docs = [(k, "one two three four five" if k < 3 else f"other words {k}", "en" if k % 2 else None, "s") for k in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "two three four"), (2, "absent text here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    most = []
+
+    def assembled(parts, key, f=snapshots.assembled):
+        most.extend(df.groupBy(key).count().agg(F.max("count")).first()[0] for df, _ in parts.values())
+        return f(parts, key)
+
+    monkeypatch.setattr(snapshots, "assembled", assembled)
+    found = {r["item_id"]: (r["shown"], r["missed"], r["recovered"], r["lost"]) for r in run_queries.failure_records(spark, str(tmp_path)).collect()}
+    assert max(most) <= 40  # of item 1, 152 labels: the odd documents, and two of no language
+    assert found[1][1] == 152 - 7  # 0, 1 and 2, and of equal scores of nothing 3, 5, 7 and 9

@@ -10,7 +10,7 @@ from tideline.functions import canonical
 from tideline.functions import text as words
 from tideline.operators import aliases, batches, evaluation, ledger, packing, panels, retrieval, runs, snapshots
 from tideline.plans import oracles as base
-from tideline.plans.queries import gold, r
+from tideline.plans.queries import gold, grade_counts, passages, r, relevance
 from tideline.plans.record_queries import query
 from tideline.sources import generator, release
 from tideline.sources.files import table
@@ -431,18 +431,21 @@ def failure_records(spark, d):
     place among the failures."""
     from tideline.sources.shared import settled
 
-    docs, asked, relevant = table(spark, d, "documents"), table(spark, d, "benchmark"), settled(gold(spark, d), "gold")
+    docs, asked, two = table(spark, d, "documents"), table(spark, d, "benchmark"), passages(spark, d)
     method = {"whole": asked, "cut": asked.withColumn("text", words.truncated(F.col("text"), 6))}
     ranked = {m: settled(retrieval.bm25(docs, q, "doc_id", "item_id"), m) for m, q in method.items()}
-    parts: dict = {"gold": (relevant, ["doc_id"])}
+    # labels of ranked documents only, forty at most, and an item's number of others: its labels grow with the documents
+    pairs = ranked["whole"].select("item_id", "doc_id").union(ranked["cut"].select("item_id", "doc_id")).distinct()
+    relevant, grades = settled(relevance(spark, d, two, pairs), "relevant"), settled(grade_counts(spark, d, two), "grades")
+    parts: dict = {"gold": (relevant, ["doc_id"]), "grades": (grades, ["relevance"])}
     for m, top in ranked.items():
         parts[m] = (top.select("item_id", "rank", "doc_id", "score"), ["rank"])
-        parts[f"{m}_metrics"] = (evaluation.ranking_metrics(top, relevant, ["item_id"], "item_id", "doc_id"), [])
+        parts[f"{m}_metrics"] = (evaluation.ranking_metrics(top, relevant, ["item_id"], "item_id", "doc_id", grades), [])
     nested = snapshots.assembled(parts, "item_id").where(F.size("whole") > 0)
     good = lambda m: F.array_intersect(F.transform(F.filter(m, lambda x: x["rank"] <= 10), lambda x: x["doc_id"]), F.transform("gold", lambda g: g["doc_id"]))
     value = lambda m, c: F.col(f"{m}_metrics")[0][c]
     rows = nested.select(
-        "item_id", F.size("whole").cast("long").alias("shown"), (F.size("gold") - F.size(good("whole"))).cast("long").alias("missed"),
+        "item_id", F.size("whole").cast("long").alias("shown"), (F.aggregate("grades", F.lit(0).cast("long"), lambda s, g: s + g["n"]) - F.size(good("whole"))).alias("missed"),
         F.array_join(F.array_sort(F.array_except(good("cut"), good("whole"))).cast("array<string>"), ",").alias("recovered"), F.array_join(F.array_sort(F.array_except(good("whole"), good("cut"))).cast("array<string>"), ",").alias("lost"),
         r(value("cut", "ndcg10") - value("whole", "ndcg10"), 9).alias("gain"), (1 - value("whole", "strong_recall10")).alias("miss"),
     )
