@@ -228,3 +228,35 @@ def test_a_failure_record_holds_no_labels_of_documents_that_are_not_ranked(spark
     found = {r["item_id"]: (r["shown"], r["missed"], r["recovered"], r["lost"]) for r in run_queries.failure_records(spark, str(tmp_path)).collect()}
     assert max(most) <= 40  # of item 1, 152 labels: the odd documents, and two of no language
     assert found[1][1] == 152 - 7  # 0, 1 and 2, and of equal scores of nothing 3, 5, 7 and 9
+
+
+def test_files_are_hashed_whatever_their_bytes(spark, tmp_path):
+    import gzip
+    import hashlib
+    import random
+
+    from tideline.sources import release
+
+    mark, rng = b"\xef\xbb\xbf", random.Random(3)
+    own = {"a.txt": b"one\ntwo\n", "b.txt": b"one\r\ntwo", "mark.txt": mark, "c.txt": mark + b"x\n\n", "d.txt": mark + b"x", "e.txt": b"\n", "f.txt": b"\n\n\nx", "g.txt": mark + b"\n", "z.gz": gzip.compress(b"hidden\n" * 900), "bad.gz": b"no gzip\n", "none": rng.randbytes(3000), "a b%20=.bin": rng.randbytes(200_000), "x/y=1/p.json": b'{"a": 1}\n' * 30_000}
+    for name, data in own.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    setting = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(setting, "1000")
+    try:
+        got = {r["name"]: (r["bytes"], r["sha256"]) for r in release.files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(setting)
+    assert got == {n: (len(x), hashlib.sha256(x).hexdigest()) for n, x in own.items()}
+
+
+def test_the_size_of_a_file_changes_no_verdict(spark, tmp_path, monkeypatch):
+    from tideline.sources import release
+
+    monkeypatch.setattr(release, "MOST", 10, raising=False)  # once, larger files had no digest
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.txt").write_bytes(b"line\n" * 100)
+    manifest = spark.createDataFrame([("a.txt", release.DOWNLOADED, "https://x/a", "0" * 64)], "path string, status string, url string, sha256 string")
+    assert [r["rule"] for r in release.source_violations(spark, manifest, str(tmp_path / "raw"), manifest.select("path"), "https://x/").collect()] == ["changed"]
+    assert release.publish(spark, str(tmp_path / "release"), {"n": spark.range(50).coalesce(1)}).first()["sha256"]
