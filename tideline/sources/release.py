@@ -17,7 +17,6 @@ import json
 import re
 import uuid
 from functools import reduce
-from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,21 +42,23 @@ def line_digests(rows: DataFrame) -> DataFrame:
     Who reads lines drops a byte order mark before the first, and the end of the last isn't told; the size in bytes tells both.
     Where it is null, there is no mark and each line is ended."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         at = None
         for batch in batches:
-            names, sizes, lines = (c.to_pylist() for c in batch.columns)
-            for name, places in groupby(range(batch.num_rows), names.__getitem__):
-                places = list(places)
+            names, start = pc.run_end_encode(batch.column(0)), 0
+            for name, end in zip(names.values.to_pylist(), names.run_ends.to_pylist(), strict=True):
                 if name != at:
                     if at is not None:
                         yield told(at, size, n, own)
-                    at, size, n, own = name, sizes[places[0]], 0, (hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf"))
-                text = b"\n" * (n > 0) + b"\n".join(lines[places[0] : places[-1] + 1])
-                n += len(text) + (n == 0)
+                    at, size, n, own = name, batch.column(1)[start].as_py(), 0, (hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf"))
+                lines = batch.column(2).slice(start, end - start)
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), pa.scalar(b"\n", lines.type))[0].as_buffer()
                 for h in own:
+                    h.update(b"\n" * (n > 0))
                     h.update(text)
+                n, start = n + text.size + 1, end
         if at is not None:
             yield told(at, size, n, own)
 
